@@ -82,13 +82,9 @@ def _slot(key: Column) -> Column:
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
     """A bitmap of the hashed keys, at most BITMAP_BITS / 64 rows: a size bound for its broadcast."""
-    slot = _slot(F.col(key))
-    return (
-        keys.where(F.col(key).isNotNull())
-        .select(F.shiftright(slot, 6).alias("_word"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("_bit"))
-        .groupBy("_word")
-        .agg(F.bit_or("_bit").alias("_bits"))
-    )
+    slots = keys.where(F.col(key).isNotNull()).select(_slot(F.col(key)).alias("_slot"))
+    words = slots.selectExpr("shiftright(_slot, 6) as _word", "shiftleft(1L, cast(_slot % 64 as int)) as _bit")
+    return words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
 
 def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from seedsift.llm import bpe, decontaminate, licenses, quality_rules, token_counts, url_filter
+from seedsift.llm import bpe, chat, decontaminate, licenses, minhash, quality_knn, quality_rules, token_counts, url_filter
 
 
 def queries():
     return {
+        "op1_near_duplicates": minhash.op1_near_duplicates,
+        "op3_chat_format": chat.op3_chat_format,
+        "op4_quality_knn": quality_knn.op4_quality_knn,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_bpe_codec": bpe.op6_bpe_codec,
         "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -18,6 +21,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_near_duplicates": minhash.OP1_SQL,
+        "op3_chat_format": chat.OP3_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op10_url_filter": url_filter.OP10_SQL,

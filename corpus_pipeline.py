@@ -1,3 +1,66 @@
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-duplicates, decontamination, tokens.
+
+Each stage gets what the one before kept, is written as Parquet in the folder that the cluster shares and
+read again. Only the last one's columns differ from those of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seedsift.llm import bpe, decontaminate, line_templates, minhash, quality_knn
+from seedsift.llm.common import Scratch, table, without
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It is fitted on the labelled rows of the table documents."""
+    model = quality_knn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_knn.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go; documents that lose all their words with them go too."""
+    cut = line_templates.drop_recurring_lines(docs)
+    kept = cut.where(r"n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    groups = Scratch(spark).write(minhash.near_duplicates(docs))
+    return without(docs, groups.where("not kept").select("doc_id"), "doc_id").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    scanned = decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark"))
+    return scanned.where("not contaminated").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token count and hashes of ids and decoded text."""
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe tokens", tokens),
+]
+
+#: SQL expresses neither the classifier nor the template tree.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+    return docs

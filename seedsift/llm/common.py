@@ -61,19 +61,34 @@ class Scratch:
                 where.getFileSystem(conf).delete(where, True)
 
 
-def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict | None], schema: str, rows: int = 512) -> DataFrame:
-    """Calls fn on lists of the columns' values, a slice of a batch at a time; fn gives lists or arrays by name, or None for no rows."""
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict | None], schema: str, rows: int = 512, carry: list[str] = ()) -> DataFrame:
+    """Calls fn on lists of the columns' values, a slice of a batch at a time; fn gives lists or arrays by name, or None for no rows.
+
+    Columns in carry go along unchanged, before the others; fn then has to give a row for each it gets.
+    """
+    kept = T.StructType([df.schema[c] for c in carry])
+    made = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                out = fn(*(part.column(i).to_pylist() for i in range(n)))
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                    fields = [*(part.schema.field(i).with_name(c) for i, c in enumerate(carry, n)), *arrow]
+                    arrays = [*(part.column(i) for i in range(n, part.num_columns)), *(pa.array(out[f.name], f.type) for f in arrow)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
+
+    chosen = [*(df[c] for c in columns), *(df[c].alias(f"_carry{k}") for k, c in enumerate(carry))]
+    return df.select(*chosen).mapInArrow(run, T.StructType([*kept.fields, *made.fields]))
+
 
-    return df.select(*columns).mapInArrow(run, schema)
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is not among the ids; only rows that may be are shuffled."""
+    bits = bitmap(ids, key)
+    return surely_not_in(df, key, bits).unionByName(maybe_in(df, key, bits).join(ids.select(key).distinct(), key, "left_anti"))
 
 
 def _slot(key: Column) -> Column:

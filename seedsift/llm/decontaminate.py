@@ -23,7 +23,6 @@ from seedsift.llm.common import ALNUM, Scratch, map_batches
 WINDOW = 13
 #: Bytes of item texts in one automaton and its broadcast.
 BLOCK_BYTES = 200_000
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,stop:int>>"
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -104,11 +103,15 @@ def _row(n_words: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
     return n_words, hit, len(items), digest, hit > 0 and 20 * hit >= n_words, items, [{"start": a, "stop": b} for a, b in spans]
 
 
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+FOUND = "items array<string>, spans array<struct<start:int,stop:int>>"
+
+
 def scan_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Counts, items, spans (in words) and verdict of every row of (doc_id, text) against items (item_id, text)."""
+    """docs with counts, items, spans (in words) and verdict of every row's text against items (item_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    found = docs.select(*(c for c in docs.columns if c not in RESULTS))
     blocks = blocks_of(items)
-    found = docs.select("doc_id", "text")
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         found = _scan(found, spark.sparkContext.broadcast(block), size, last)
@@ -120,28 +123,28 @@ def _scan(docs: DataFrame, sent, size: int, last: bool) -> DataFrame:
     """One block's pass over rows that may carry what earlier passes found."""
     made: list[Automaton] = []
     carried = [c for c in ("items", "spans") if c in docs.columns]
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
 
-    def run(ids, texts, *before):
+    def run(texts, *before):
         if not made:
             made.append(Automaton(sent.value, size))
         rows = []
-        for k, (i, t) in enumerate(zip(ids, texts)):
+        for k, t in enumerate(texts):
             words = normalised(t)
             spans, found = made[0].scan(words)
             if before:
                 found |= set(before[0][k])
                 spans = merged(spans + [(s["start"], s["stop"]) for s in before[1][k]])
-            rows.append((i, *_row(len(words), spans, sorted(found))))
-        return dict(zip(names, zip(*rows))) | ({} if last else {"text": texts})
+            rows.append(_row(len(words), spans, sorted(found)))
+        return dict(zip(RESULTS, zip(*rows)))
 
-    schema = SCHEMA if last else "doc_id long, text string, items array<string>, spans array<struct<start:int,stop:int>>"
-    return map_batches(docs, ["doc_id", "text", *carried], run, schema)
+    schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, " * last + FOUND
+    own = [c for c in docs.columns if c not in carried]
+    return map_batches(docs, ["text", *carried], run, schema, carry=own)
 
 
 def op7_decontaminate(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return scan_documents(docs, items).drop("items", "spans")
+    return scan_documents(docs.select("doc_id", "text"), items).drop("text", "items", "spans")
 
 
 OP7_SQL = r"""

@@ -126,20 +126,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of (doc_id, text)."""
+    """docs with score and predicted of every row's text."""
     sent, made = docs.sparkSession.sparkContext.broadcast(model), []
 
-    def run(ids, texts):
+    def run(texts):
         if not made:
             made.append(Counter())
         rows = np.stack([made[0].counts(t) for t in texts])
-        score = np.where(rows.any(axis=1), sent.value.score(rows), 0.0)
-        return {"doc_id": ids, "score": score}
+        return {"score": np.where(rows.any(axis=1), sent.value.score(rows), 0.0)}
 
-    out = map_batches(docs, ["doc_id", "text"], run, "doc_id long, score double", rows=256)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    out = map_batches(docs, ["text"], run, "score double", rows=256, carry=own)
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_quality_knn(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score_documents(docs, fit(docs, labels))
+    scored = score_documents(docs.select("doc_id", "text"), fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

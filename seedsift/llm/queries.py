@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from seedsift.llm import bpe, chat, decontaminate, licenses, minhash, quality_knn, quality_rules, token_counts, url_filter
+import corpus_pipeline
+from seedsift.llm import bpe, chat, decontaminate, licenses, line_templates, minhash, quality_knn, quality_rules, token_counts, url_filter
 
 
 def queries():
     return {
         "op1_near_duplicates": minhash.op1_near_duplicates,
+        "op2_line_templates": line_templates.op2_line_templates,
         "op3_chat_format": chat.op3_chat_format,
         "op4_quality_knn": quality_knn.op4_quality_knn,
         "op5_license_scan": licenses.op5_license_scan,
@@ -16,6 +18,7 @@ def queries():
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 

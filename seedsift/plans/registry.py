@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seedsift.plans import keyword_queries
+from seedsift.plans import fold_queries, keyword_queries
 
-MODULES = (keyword_queries,)
+MODULES = (keyword_queries, fold_queries)
 
 
 def queries():

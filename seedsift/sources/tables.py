@@ -71,3 +71,29 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("family"),
     )
     return rows.join(seeds(spark, sf_dir), "seed").select("seed_id", "seed", "pos", "keyword", "family")
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of probes, from the events: (seq, seed_id, struct, agent, letter, gap, http_status, n_results, time_ms, ts, keyword, family, batch)."""
+    return log_columns(table(spark, sf_dir, "events"))
+
+
+def log_columns(events: DataFrame) -> DataFrame:
+    """The same projection for a batch or a stream of events."""
+    e = events.withColumn("k", F.from_json("props", "k long")["k"])
+    k, user = F.col("k"), F.col("user_id")
+    return e.select(
+        F.col("event_id").alias("seq"),
+        (user % 20).alias("seed_id"),
+        F.col("event_type").alias("struct"),
+        F.when(k % 2 == 0, "one").otherwise("two").alias("agent"),
+        F.char(97 + k % 26).alias("letter"),
+        (k % 4).alias("gap"),
+        F.when(k % 10 == 9, 429).when(k % 17 == 3, 0).when(k % 23 == 5, 503).otherwise(200).alias("http_status"),
+        (k % 13).alias("n_results"),
+        F.col("value").alias("time_ms"),
+        "ts",
+        F.concat(F.lit("word"), (k % 40).cast("string"), F.when(k % 3 == 0, " Alpha").otherwise(" beta")).alias("keyword"),
+        F.element_at(F.array(*map(F.lit, FAMILIES)), (k % 3 + 1).cast("int")).alias("family"),
+        ((user + k) % 6).alias("batch"),
+    )

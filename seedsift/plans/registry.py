@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seedsift.plans import fold_queries, keyword_queries
+from seedsift.plans import expand_queries, fold_queries, keyword_queries
 
-MODULES = (keyword_queries, fold_queries)
+MODULES = (keyword_queries, fold_queries, expand_queries)
 
 
 def queries():

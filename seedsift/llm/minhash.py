@@ -9,9 +9,11 @@
 3. Banding: ROWS places make a band's key. In each bucket, members are paired with the smallest one only.
 4. Verification: pairs that sizes or one-bit sketches of the signatures leave possible are confirmed on
    the full sets of both texts.
-5. Union-find groups what was confirmed. Buckets whose members then still lie in several components get
-   all their pairs across components verified, and groups are formed again: no pair of a bucket that could
-   add a link is left out.
+5. Union-find groups what was confirmed. In buckets whose members then still lie in several components,
+   every pair across components is settled too: small buckets give pairs as above; large ones are cut into
+   blocks of bounded size, two blocks meet in a task that holds their texts, and only confirmed links come
+   out. A pair is looked at in the first band that it shares. Groups are then formed again, so no pair of
+   a bucket that could add a link is left out.
 
 Null or empty text has an empty set and no links. A row without doc_id has no links, a null component_id and
 is kept. Rows that share a doc_id count as one node and each keeps its row. Very long texts: only the few
@@ -21,6 +23,7 @@ bytes of their bands travel, and their text only if they are candidates. Empty i
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ PLACES = BANDS * ROWS
 WORDS, PERCENT = 5, 80
 #: Of 96 one-bit places, pairs with similarity 0.8 agree in 86.4, with a deviation of 2.9: this is over six below.
 LEAST_AGREEING = 68
+#: Members up to which a bucket gives pairs, and members in a block of a larger one.
+SMALL_BUCKET, BLOCK = 32, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -164,6 +169,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return map_batches(wide, ["a", "text_a", "b", "text_b"], run, "u long, v long", rows=64)
 
 
+def block_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) across components inside large buckets, two blocks of a bucket at a time."""
+    blocks = F.ceil(F.col("m") / BLOCK)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "m")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    dealt = dealt.join(maybe_in(texts, "id", bitmap(members, "id")), "id")
+
+    def settle(pdf):
+        shingler, band = Shingler(words), int(pdf["band"].iloc[0])
+        pdf = pdf.drop_duplicates("id")
+        sets = [shingler.set_of(t) for t in pdf["text"]]
+        sizes, comp, ids, own = (np.array(x) for x in ([len(s) for s in sets], pdf["c"], pdf["id"], pdf["own"]))
+        before = np.stack(pdf["bands"].to_numpy())[:, :band]
+        sketch = np.stack([pdf["s1"].to_numpy(), pdf["s2"].to_numpy()], axis=1).view(np.uint64)
+        second = np.flatnonzero(own == pdf["y"].iloc[0])
+        u, v = [], []
+        for i in np.flatnonzero(own == pdf["x"].iloc[0]):
+            j = second[(comp[second] != comp[i]) & (100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i]))]
+            j = j[PLACES - np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) >= LEAST_AGREEING] if percent >= 80 else j
+            j = j[~(before[j] == before[i]).any(axis=1)]
+            if not len(j):
+                continue
+            all_of = np.concatenate([sets[k] for k in j])
+            at = np.minimum(np.searchsorted(sets[i], all_of), sizes[i] - 1)
+            both = np.add.reduceat(sets[i][at] == all_of, np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+            good = j[100 * both >= percent * (sizes[j] + sizes[i] - both)]
+            u += [ids[i]] * len(good)
+            v += list(ids[good])
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(settle, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -185,20 +224,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     edges = scratch.write(confirm(tried, docs, words, percent))
     groups = scratch.write(components(edges, scratch))
 
-    # Buckets that still hold several components: all pairs across them that sizes and sketches leave possible.
-    placed = reps.join(groups, reps["id"] == groups["node"], "left").select("id", "n", "s1", "s2", "bands", F.coalesce("component", "id").alias("c"))
-    placed = placed.select("id", "n", "s1", "s2", "c", F.explode("bands").alias("bucket"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    left = scratch.write(placed.join(split, "bucket"))
-    one, two = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s1", "s2", "c"))) for s in ("a", "b"))
+    placed = reps.join(groups, reps["id"] == groups["node"], "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+    placed = placed.select("id", "n", "s1", "s2", "c", "bands", F.posexplode("bands").alias("band", "bucket"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
+    left = scratch.write(placed.join(mixed, "bucket"))
+    few = left.where(F.col("m") <= SMALL_BUCKET)
+    one, two = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s1", "s2", "c"))) for s in ("a", "b"))
     across = one.join(two, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fit)
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = scratch.write(across)
+    across = scratch.write(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = confirm(across, docs, words, percent).unionByName(block_links(left.where(F.col("m") > SMALL_BUCKET), docs, words, percent))
+    more = scratch.write(more)
     scratch.drop(reps, left)
-    if not across.isEmpty():
-        more = scratch.write(confirm(across, docs, words, percent))
-        if not more.isEmpty():
-            groups = scratch.write(components(edges.unionByName(more), scratch))
+    if not more.isEmpty():
+        groups = scratch.write(components(edges.unionByName(more), scratch))
     of_class = feats.drop("bands", "s1", "s2").join(classes, ["k1", "k2"], "left")
     out = of_class.join(groups, of_class["rep"] == groups["node"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))

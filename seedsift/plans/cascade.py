@@ -22,9 +22,16 @@ def run_cascade(
     df = clean.dedupe_first(kw)
     df = clean.pre_filter(df) if "pre" in stages else df.withColumn("reason", F.lit(None).cast("string"))
     df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
-    distinct = df.select("tail").where("tail <> ''").distinct().withColumn("_tw", X.words("tail"))
-    hits = detectors.dictionary_hits(distinct, gazetteer, brands, target, retailers)
-    df = arbitration.arbitrate(detectors.signals(df, hits, lexicon)) if "l0" in stages else df
+    if "l0" in stages:
+        # Each seed's distinct tails are decided once; the aggregate also keeps later filters from copying the detectors' expressions.
+        pairs = df.select("seed_id", "seed", "tail").where("tail <> ''").distinct()
+        distinct = pairs.select("tail").distinct().withColumn("_tw", X.words("tail"))
+        hits = detectors.dictionary_hits(distinct, gazetteer, brands, target, retailers)
+        fired = detectors.signals(pairs, hits, lexicon).groupBy("seed_id", "tail").agg(F.first("positive").alias("positive"), F.first("negative").alias("negative"))
+        df = df.join(arbitration.arbitrate(fired), ["seed_id", "tail"], "left")
+        none = F.array().cast("array<string>")
+        df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))
+        df = df.withColumn("label", F.coalesce("label", F.lit("GREY"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
     is_seed = F.coalesce(F.col("tail") == "", F.lit(False))
     df = df.withColumn("stage", F.when(F.col("reason").isNotNull(), "pre").otherwise("l0"))
     label = F.when(F.col("reason").isNotNull(), "TRASH").when(is_seed, "VALID").otherwise(F.col("label"))

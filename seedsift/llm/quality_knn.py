@@ -24,8 +24,8 @@ from seedsift.llm.common import map_batches
 from seedsift.llm.vocabulary import Memory
 
 #: Labelled rows that the classifier is fitted on at most, the ones with the smallest hashes of doc_id.
-SAMPLE = 6000
-TERMS = 4096
+SAMPLE = 4000
+TERMS = 2048
 SHAPES = 512
 DIMS = 64
 VOTERS = 25
@@ -68,8 +68,9 @@ class Model:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         n = max(len(counts), 1)
-        self.idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0, dtype=np.float64))).astype(np.float32) + 1
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
         rows = self._weighted(counts)
+        del counts
         rng = np.random.default_rng(0)
         k = min(DIMS, *rows.shape) if len(rows) else 0
         base = rng.standard_normal((TERMS, min(TERMS, k + 16))).astype(np.float32)
@@ -84,7 +85,12 @@ class Model:
         self.labels = labels.astype(np.float32)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+        """In place of the counts, to spare memory."""
+        np.log1p(counts, out=counts)
+        counts *= self.idf
+        size = np.linalg.norm(counts, axis=1, keepdims=True)
+        counts /= np.where(size > 1e-12, size, 1)
+        return counts
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -116,12 +122,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     schema = "doc_id long, quality int, slots array<int>, counts array<float>"
     texts = texts.withColumn("quality", F.col("quality").cast("int"))
-    table = map_batches(texts, ["doc_id", "text", "quality"], run, schema).toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")[: 2 * sample]
+    table = map_batches(texts, ["doc_id", "text", "quality"], run, schema).toArrow().combine_chunks()
+    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     counts = np.zeros((len(order), TERMS), np.float32)
-    slots, values = table["slots"].to_pylist(), table["counts"].to_pylist()
-    for at, k in enumerate(order):
-        counts[at, slots[k]] = values[k]
+    if len(order):
+        slots, values = table["slots"].chunk(0), table["counts"].chunk(0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rows = np.repeat(place, np.diff(slots.offsets.to_numpy()))
+        counts[rows, slots.values.to_numpy()] = values.values.to_numpy()
     return Model(counts, table["quality"].to_numpy()[order] if len(order) else np.zeros(0))
 
 
@@ -133,7 +142,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         if not made:
             made.append(Counter())
         rows = np.stack([made[0].counts(t) for t in texts])
-        return {"score": np.where(rows.any(axis=1), sent.value.score(rows), 0.0)}
+        known = rows.any(axis=1)
+        return {"score": np.where(known, sent.value.score(rows), 0.0)}
 
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     out = map_batches(docs, ["text"], run, "score double", rows=256, carry=own)

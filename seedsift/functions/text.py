@@ -13,6 +13,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def settled(c: Column) -> Column:
+    """The same value, computed where it stands: the optimizer pushes later filters below a column by copying its
+    expression into them, which repeats long ones for every element of an array; it leaves this one alone."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def norm(c) -> Column:
     """Lower case, without white space at the ends: the key of most dedupes."""
     return F.regexp_replace(F.lower(col(c)), r"(?U)^\s+|\s+$", "")

@@ -104,7 +104,7 @@ def pre_filter(kw: DataFrame) -> DataFrame:
     """Adds reason: the first sanitary rule that rejects the keyword, else null. Null keywords and seeds count as empty."""
     clean = kw.fillna("", ["keyword", "seed"])
     reason = F.coalesce(*(F.when(rule, F.lit(name)) for name, rule in pre_rules()))
-    return pre_columns(clean).withColumn("reason", reason).select(*kw.columns, "reason")
+    return pre_columns(clean).withColumn("reason", X.settled(reason)).select(*kw.columns, "reason")
 
 
 def relevant(kw: DataFrame) -> DataFrame:

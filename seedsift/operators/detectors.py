@@ -152,34 +152,31 @@ def register_detector(name: str, positive: bool, weight: float, build: Callable[
 
 
 def ngrams(tails: DataFrame) -> DataFrame:
-    """(tail, term, n): words, pairs and triples of every distinct tail."""
-    return tails.select(
-        "tail",
-        F.explode(
-            F.expr(
-                """flatten(transform(sequence(1, 3), n -> if(size(_tw) >= n,
-                    transform(sequence(0, size(_tw) - n), i -> named_struct('term', array_join(slice(_tw, i + 1, n), ' '), 'n', n)), array())))"""
-            )
-        ).alias("g"),
-    ).select("tail", "g.term", "g.n")
+    """The rows of tails with term and n: words, pairs and triples of their tail."""
+    terms = F.expr(
+        """flatten(transform(sequence(1, 3), n -> if(size(_tw) >= n,
+            transform(sequence(0, size(_tw) - n), i -> named_struct('term', array_join(slice(_tw, i + 1, n), ' '), 'n', n)), array())))"""
+    )
+    return tails.withColumn("_tw", X.words("tail")).withColumn("_g", F.explode_outer(terms)).select(*tails.columns, "_g.term", "_g.n")
 
 
 def dictionary_hits(tails: DataFrame, gazetteer: DataFrame, brands: DataFrame, target: str, retailers: DataFrame | None = None) -> DataFrame:
-    """What dictionaries know of each tail (tail, _tw): places in and outside the target, brands, a retailer."""
+    """tails, distinct rows with a column tail, and what dictionaries know of it: places in and outside the target, brands, a retailer."""
     grams = ngrams(tails)
-    places = gazetteer.groupBy("name").agg(F.bool_or(F.upper("country") == target.upper()).alias("own"))
-    geo = grams.join(places, grams["term"] == places["name"]).groupBy("tail")
+    places = gazetteer.groupBy(F.col("name").alias("term")).agg(F.bool_or(F.upper("country") == target.upper()).alias("_own"))
+    names = brands.select(F.col("name").alias("term")).distinct().withColumn("_brand", F.lit(True))
+    known = grams.join(places, "term", "left").join(names, "term", "left")
+    brand = F.when(F.col("_brand") & (F.col("n") == 1), F.col("term"))
     # The longest place decides; of equally long ones, one in the target wins.
-    geo = geo.agg(F.max(F.struct("n", "own"))["own"].alias("has_geo")).withColumn("has_foreign", ~F.col("has_geo"))
-    names = brands.select(F.col("name").alias("term")).distinct()
-    known = grams.where("n = 1").join(names, "term").groupBy("tail")
-    known = known.agg(F.count_distinct("term").alias("n_brands"), F.count_distinct(F.when(~F.col("term").isin(*MODEL_NAMES), F.col("term"))).alias("n_brands_apart"))
-    out = tails.join(geo, "tail", "left").join(known, "tail", "left")
+    longest = F.max(F.when(F.col("_own").isNotNull(), F.struct("n", "_own")))["_own"]
+    out = known.groupBy(*tails.columns).agg(
+        longest.alias("_geo"), F.size(F.collect_set(brand)).alias("n_brands"), F.size(F.collect_set(F.when(~brand.isin(*MODEL_NAMES), brand))).alias("n_brands_apart")
+    )
+    out = out.withColumn("has_geo", F.coalesce("_geo", F.lit(False))).withColumn("has_foreign", F.coalesce(~F.col("_geo"), F.lit(False))).drop("_geo")
     if retailers is None:
-        out = out.withColumn("retailer", F.lit(None).cast("string")).withColumn("retailer_foreign", F.lit(False))
-    else:
-        out = out.join(match_retailers(grams, retailers, target), "tail", "left").fillna(False, ["retailer_foreign"])
-    return out.fillna(False, ["has_geo", "has_foreign"]).fillna(0, ["n_brands", "n_brands_apart"])
+        return out.withColumn("retailer", F.lit(None).cast("string")).withColumn("retailer_foreign", F.lit(False))
+    matched = match_retailers(ngrams(tails.select("tail").distinct()), retailers, target)
+    return out.join(matched, "tail", "left").fillna(False, ["retailer_foreign"])
 
 
 def match_retailers(grams: DataFrame, retailers: DataFrame, target: str) -> DataFrame:
@@ -198,14 +195,15 @@ def match_retailers(grams: DataFrame, retailers: DataFrame, target: str) -> Data
     return best.select("tail", F.col("b.name").alias("retailer"), foreign.alias("retailer_foreign"))
 
 
-def signals(kw: DataFrame, hits: DataFrame, lexicon: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """Adds positive and negative: the names of the detectors that fire, in the registry's order."""
+def signals(hits: DataFrame, lexicon: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """(seed_id, tail, positive, negative) of rows (seed_id, seed, tail) with dictionary hits: the detectors that fire, in the registry's order."""
     from seedsift.operators.tails import with_lemmas
 
-    df = kw.withColumn("_sw", X.words("seed")).join(hits, "tail", "left").withColumn("_tw", F.coalesce("_tw", F.array().cast("array<string>")))
+    df = hits.withColumn("_sw", X.words("seed")).withColumn("_tw", X.words("tail"))
     df = with_lemmas(with_lemmas(df, "_tw", "_tl", lexicon), "_sw", "_sl", lexicon).withColumn("_known", F.lit(False))
     chosen = [REGISTRY[n] for n in names] if names else list(REGISTRY.values())
     for side, positive in (("positive", True), ("negative", False)):
         fired = [F.when(F.coalesce(d.build(), F.lit(False)) & (F.size("_tw") > 0), F.lit(d.name)) for d in chosen if d.positive is positive]
         df = df.withColumn(side, F.array_compact(F.array(*fired)) if fired else F.array().cast("array<string>"))
-    return df.select(*kw.columns, "positive", "negative")
+    # The aggregate keeps later filters from copying the detectors' expressions.
+    return df.groupBy("seed_id", "tail").agg(F.first("positive").alias("positive"), F.first("negative").alias("negative"))

@@ -62,7 +62,7 @@ def extract_tail(kw: DataFrame, lexicon: DataFrame | None = None, prepositions:
     df = df.withColumn("_qw", X.words("_q")).withColumn("_sw", X.words("_s"))
     df = with_lemmas(with_lemmas(df, "_qw", "_ql", lexicon), "_sw", "_sl", lexicon)
     tail = F.coalesce(exact(F.col("_q"), F.col("_s"), prepositions), ordered("_qw", "_sw", "_ql", "_sl"), unordered("_qw", "_sw", "_ql", "_sl"))
-    return df.withColumn("tail", F.when(F.col("_q") == F.col("_s"), F.lit("")).otherwise(tail)).select(*kw.columns, "tail")
+    return df.withColumn("tail", X.settled(F.when(F.col("_q") == F.col("_s"), F.lit("")).otherwise(tail))).select(*kw.columns, "tail")
 
 
 def extract_payload(kw: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:

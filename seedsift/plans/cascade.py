@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.functions import text as X
 from seedsift.operators import arbitration, clean, detectors, tails
 
 STAGES = ("pre", "l0")
@@ -23,11 +22,9 @@ def run_cascade(
     df = clean.pre_filter(df) if "pre" in stages else df.withColumn("reason", F.lit(None).cast("string"))
     df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
     if "l0" in stages:
-        # Each seed's distinct tails are decided once; the aggregate also keeps later filters from copying the detectors' expressions.
+        # Each seed's distinct tails are decided once.
         pairs = df.select("seed_id", "seed", "tail").where("tail <> ''").distinct()
-        distinct = pairs.select("tail").distinct().withColumn("_tw", X.words("tail"))
-        hits = detectors.dictionary_hits(distinct, gazetteer, brands, target, retailers)
-        fired = detectors.signals(pairs, hits, lexicon).groupBy("seed_id", "tail").agg(F.first("positive").alias("positive"), F.first("negative").alias("negative"))
+        fired = detectors.signals(detectors.dictionary_hits(pairs, gazetteer, brands, target, retailers), lexicon)
         df = df.join(arbitration.arbitrate(fired), ["seed_id", "tail"], "left")
         none = F.array().cast("array<string>")
         df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))

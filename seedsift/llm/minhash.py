@@ -169,13 +169,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return map_batches(wide, ["a", "text_a", "b", "text_b"], run, "u long, v long", rows=64)
 
 
-def block_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) across components inside large buckets, two blocks of a bucket at a time."""
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "m")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    dealt = dealt.join(maybe_in(texts, "id", bitmap(members, "id")), "id")
+    bits = bitmap(members, "id")
+    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), "id", bits)
+    known = maybe_in(reps, "id", bits).join(texts, "id")
+    dealt = dealt.join(known, "id")
 
     def settle(pdf):
         shingler, band = Shingler(words), int(pdf["band"].iloc[0])
@@ -214,9 +216,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     chosen = feats.where(F.col("n") >= small).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = scratch.write(chosen.dropDuplicates(["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "id").drop("k1", "k2"))
     sketches = reps.select("id", "n", "s1", "s2")
-    members = reps.select("id", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    stars = members.join(heads, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    heads = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m")).where("a < z").drop("z")
+    shared = scratch.write(members.join(heads, "bucket"))
+    stars = shared.where("id > a").select("a", F.col("id").alias("b")).distinct()
     named = lambda side: sketches.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "s1", "s2")))
     stars = stars.join(named("a"), "a").join(named("b"), "b")
     fit = _possible("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b", percent)
@@ -224,17 +227,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     edges = scratch.write(confirm(tried, docs, words, percent))
     groups = scratch.write(components(edges, scratch))
 
-    placed = reps.join(groups, reps["id"] == groups["node"], "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
-    placed = placed.select("id", "n", "s1", "s2", "c", "bands", F.posexplode("bands").alias("band", "bucket"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
+    placed = shared.join(groups, shared["id"] == groups["node"], "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     left = scratch.write(placed.join(mixed, "bucket"))
-    few = left.where(F.col("m") <= SMALL_BUCKET)
+    few = left.where(F.col("m") <= SMALL_BUCKET).join(sketches, "id")
     one, two = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s1", "s2", "c"))) for s in ("a", "b"))
     across = one.join(two, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fit)
     across = scratch.write(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = confirm(across, docs, words, percent).unionByName(block_links(left.where(F.col("m") > SMALL_BUCKET), docs, words, percent))
+    more = confirm(across, docs, words, percent).unionByName(block_links(left.where(F.col("m") > SMALL_BUCKET), reps, docs, words, percent))
     more = scratch.write(more)
-    scratch.drop(reps, left)
+    scratch.drop(reps, left, shared)
     if not more.isEmpty():
         groups = scratch.write(components(edges.unionByName(more), scratch))
     of_class = feats.drop("bands", "s1", "s2").join(classes, ["k1", "k2"], "left")

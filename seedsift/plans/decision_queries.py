@@ -103,12 +103,10 @@ def cost(spark, sf):
     return verdicts.verdict_cost(log, "0.15", "0.6")
 
 
-_CODE = F.element_at(F.array(*map(F.lit, "ABCDEF")), (F.length("p_type") % 6 + 1).cast("int"))
-
-
 def _assigned(spark, sf):
+    code = F.element_at(F.array(*map(F.lit, "ABCDEF")), (F.length("p_type") % 6 + 1).cast("int"))
     part = S.table(spark, sf, "part").where("p_partkey % 11 <> 3")
-    pair = F.concat((F.col("p_partkey") % clusters.CHUNK + 1).cast("string"), F.lit(":"), _CODE, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), "p_type", F.lit(", x)"))).otherwise(""))
+    pair = F.concat((F.col("p_partkey") % clusters.CHUNK + 1).cast("string"), F.lit(":"), code, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), "p_type", F.lit(", x)"))).otherwise(""))
     by = part.groupBy(F.floor(F.col("p_partkey") / clusters.CHUNK).alias("chunk"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", pair.alias("t")))), lambda x: x["t"]), ",")
     return clusters.parse_assignments(by.agg(F.concat(text, F.lit(",bad")).alias("reply")))

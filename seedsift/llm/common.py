@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,18 @@ class Scratch:
                 where.getFileSystem(conf).delete(where, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it holds, batches to and from Python have so many rows at most: long texts then need less memory outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict | None], schema: str, rows: int = 512, carry: list[str] = ()) -> DataFrame:
     """Calls fn on lists of the columns' values, a slice of a batch at a time; fn gives lists or arrays by name, or None for no rows.
 

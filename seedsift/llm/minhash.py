@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.llm.common import Scratch, bitmap, map_batches, maybe_in
+from seedsift.llm.common import Scratch, arrow_rows, bitmap, map_batches, maybe_in
 from seedsift.llm.components import components
 from seedsift.llm.vocabulary import Memory
 
@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 80
 LEAST_AGREEING = 68
 #: Members up to which a bucket gives pairs, and members in a block of a larger one.
 SMALL_BUCKET, BLOCK = 32, 1024
+#: Word hashes that a task remembers in each of two generations, and rows of a batch to Python.
+REMEMBERED, BATCH = 50_000, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -53,7 +55,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self, words: int):
-        self.words, self.hashes = words, Memory(xxhash.xxh3_64_intdigest)
+        self.words, self.hashes = words, Memory(xxhash.xxh3_64_intdigest, REMEMBERED)
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the text's shingles; with fewer words, one hash of them all."""
@@ -207,6 +209,11 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text)."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")

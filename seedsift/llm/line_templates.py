@@ -19,9 +19,13 @@ and count for nothing. Rows that share a doc_id count as one document.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ DEPTH = 3
 SIMILAR = 0.8
 #: Documents that a line has to stand in, and (document, sequence) pairs that a generalised template has to cover.
 MIN_DOCS, MIN_COVERED = 2, 4
-#: Sequences of a leaf that one task clusters at once.
+#: Sequences of a leaf that are compared with its templates one by one; templates of larger leaves are indexed.
 BLOCK = 2000
 ANY = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
@@ -76,6 +80,57 @@ def cluster(sequences: list[list[bytes]]) -> list[int]:
     return out
 
 
+class Templates:
+    """cluster() for a leaf of any size: the templates so far, indexed by pieces of their places.
+
+    What joins a template differs from it in n - need places at most, so that of n - need + 1 pieces of the places
+    behind the leading tokens one at least is equal in both (pigeonhole). All templates with an equal piece are
+    compared; a template that gets variable places is entered again under its new pieces.
+    """
+
+    ANY = xxhash.xxh3_64_intdigest(ANY)
+
+    def __init__(self, n: int):
+        self.need = math.ceil(SIMILAR * n)
+        k = n - self.need + 1
+        self.cuts = [DEPTH + (n - DEPTH) * i // k for i in range(k + 1)]
+        self.rows = np.empty((64, n), np.uint64)
+        self.heads = array("q")
+        self.index: dict[int, array] = {}
+
+    def keys(self, row: np.ndarray) -> list[int]:
+        return [xxhash.xxh3_64_intdigest(row[a:b].tobytes(), seed=i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:]))]
+
+    def join(self, h: int, tokens: list[bytes]) -> int:
+        """Adds the next sequence and gives the hash of the first one in its template."""
+        row = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
+        keys = self.keys(row)
+        some = [np.frombuffer(self.index[x], np.int32) for x in keys if x in self.index]
+        some = np.unique(np.concatenate(some)) if some else np.empty(0, np.int32)
+        for at in range(0, len(some), 1 << 14):
+            part = some[at : at + (1 << 14)]
+            fits = (self.rows[part] == row).sum(axis=1) >= self.need
+            if fits.any():
+                k = int(part[fits.argmax()])
+                differs = self.rows[k] != row
+                if differs.any():
+                    before = set(self.keys(self.rows[k]))
+                    self.rows[k][differs] = self.ANY
+                    self.enter(k, [x for x in self.keys(self.rows[k]) if x not in before])
+                return self.heads[k]
+        k = len(self.heads)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[k] = row
+        self.heads.append(h)
+        self.enter(k, keys)
+        return h
+
+    def enter(self, k: int, keys: list[int]) -> None:
+        for x in keys:
+            self.index.setdefault(x, array("i")).append(k)
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(doc_id, h, leaf) of each distinct masked line of each row."""
 
@@ -108,6 +163,9 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return map_batches(docs, ["text"], run, "h long, tokens string")
 
 
+TEMPLATES = "h long, template long"
+
+
 def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["n", "tokens"], ascending=[False, True], kind="stable")
     sequences = [t.encode().split(b" ") for t in pdf["tokens"]]
@@ -118,6 +176,19 @@ def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h": pdf["h"], "template": [head[k] for k in group]})
 
 
+def _stream_leaves(batches):
+    """The same for whole leaves, one after the other, in the fixed order."""
+    now, made = None, None
+    for batch in batches:
+        out = []
+        for leaf, h, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            tokens = tokens.encode().split(b" ")
+            if leaf != now:
+                now, made = leaf, Templates(len(tokens))
+            out.append(made.join(h, tokens))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["h", "template"])
+
+
 def templates(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, template) of the sequences of every leaf that could hold a generalised template. lines: (h, leaf, n, lo, hi)."""
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("covered"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -127,16 +198,9 @@ def templates(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     some = maybe_in(docs, "doc_id", bitmap(wanted, "lo"))
     spelled = line_tokens(some).groupBy("h").agg(F.first("tokens").alias("tokens"))
     spelled = scratch.write(wanted.drop("lo").join(spelled, "h"))
-    block = F.pmod("h", F.ceil(F.col("size") / BLOCK))
-    first = scratch.write(spelled.withColumn("block", block).groupBy("leaf", "block").applyInPandas(_cluster_leaf, "h long, template long"))
-    # Templates of a leaf's blocks meet in a second round, in other blocks of bounded size.
-    heads = spelled.where(F.col("size") > BLOCK).join(first.select(F.col("template").alias("h")).distinct(), "h", "left_semi")
-    heads = scratch.write(heads.drop("size"))
-    again = heads.join(heads.groupBy("leaf").agg(F.count("*").alias("size")), "leaf")
-    again = again.withColumn("block", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / BLOCK)))
-    second = again.groupBy("leaf", "block").applyInPandas(_cluster_leaf, "h long, template long")
-    second = second.select(F.col("h").alias("template"), F.col("template").alias("merged"))
-    return scratch.write(first.join(second, "template", "left").select("h", F.coalesce("merged", "template").alias("template")))
+    small = spelled.where(F.col("size") <= BLOCK).groupBy("leaf").applyInPandas(_cluster_leaf, TEMPLATES)
+    large = spelled.where(F.col("size") > BLOCK).repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens", "h")
+    return scratch.write(small.unionByName(large.select("leaf", "h", "tokens").mapInArrow(_stream_leaves, TEMPLATES)))
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:

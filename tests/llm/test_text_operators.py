@@ -200,6 +200,26 @@ def test_leaves_in_blocks(spark, monkeypatch):
     assert "exact" in got[0] and not any("exact" in got[k] for k in range(1, 40))
 
 
+def test_large_leaf_equals_the_definition(spark, monkeypatch):
+    """A hot leaf of many templates gives what clustering the whole leaf in order gives, whatever BLOCK is."""
+    rows = [(4 * t + k, f"the same start of template {' '.join(3 * [f'{t:06b}'])} and {w}".translate(str.maketrans("01", "no"))) for t in range(60) for k, w in enumerate(["red", "green", "blue", "7"])]
+    want = lines_brute(rows)
+    assert sum(t == "" for _, t in want) == 180
+    for block in (3, line_templates.BLOCK):
+        monkeypatch.setattr(line_templates, "BLOCK", block)
+        got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(5, 12).flatmap(lambda n: st.lists(st.lists(st.sampled_from([b"a", b"b", b"c", line_templates.ANY]), min_size=n - 3, max_size=n - 3), min_size=1, max_size=60)))
+def test_indexed_templates_equal_the_definition(tails):
+    sequences = [[b"x", b"y", b"z", *t] for t in tails]
+    made, first = line_templates.Templates(len(sequences[0])), {}
+    want = [first.setdefault(k, i) for i, k in enumerate(line_templates.cluster(sequences))]
+    assert [made.join(i, s) for i, s in enumerate(sequences)] == want
+
+
 # quality classifier --------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
 """License scans of whole texts.
 
 A notice is searched with bounded errors: cut into one more piece than it may have errors, at least one
-piece stands unchanged in every match (pigeonhole), so exact seeds find candidates and the regex library's
-bounded-error matching verifies the edits around them and gives spans. Texts are normalised first: A-Z
-lowered, words joined by one blank. A notice without errors is a base place; the places within the error
+piece stands unchanged in every match (pigeonhole), so exact seeds find candidates and bounded edit distances
+between the word borders around them verify them and give spans. Texts are normalised first: A-Z lowered,
+words joined by one blank. A notice without errors is a base place; the places within the error
 bound add labels.
 
 Null or empty text: no words, no places, null first and last word, empty labels, score 0. Repeated rows
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import regex
 from pyspark.sql import DataFrame
 
 from seedsift.llm.common import ALNUM, map_batches
@@ -51,12 +50,26 @@ def pieces(words: str, edits: int) -> list[bytes]:
     return [words[a:b].encode() for a, b in zip(cuts, cuts[1:])]
 
 
+def distances(words: bytes, text: bytes, start: int, most: int) -> dict[int, int]:
+    """The edits by stop of every text[start:stop] that is words but for so many edits at most."""
+    row, longest = {j: j for j in range(most + 1)}, len(text) - start
+    for i, c in enumerate(words, 1):
+        now: dict[int, int] = {}
+        for j in range(max(0, i - most), min(longest, i + most) + 1):
+            e = min(row.get(j, most) + 1, now.get(j - 1, most) + 1)
+            if j:
+                e = min(e, row.get(j - 1, most + 1) + (text[start + j - 1] != c))
+            if e <= most:
+                now[j] = e
+        if not now:
+            return {}
+        row = now
+    return {start + j: e for j, e in row.items()}
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
-        self.notices = [
-            (x, pieces(x.words, x.edits), regex.compile(rb"(?:%s){e<=%d}" % (regex.escape(x.words.encode()), x.edits), regex.BESTMATCH))
-            for x in notices
-        ]
+        self.notices = [(x, pieces(x.words, x.edits)) for x in notices]
 
     def exact(self, text: bytes, words: bytes) -> list[int]:
         """Starts of whole-word places in a text that has a blank at both ends; places may overlap."""
@@ -66,28 +79,24 @@ class Scanner:
             at = text.find(b" " + words + b" ", at + 1)
         return out
 
-    def fuzzy(self, text: bytes, notice: Notice, seeds: list[bytes], pattern) -> list[tuple[int, int, int]]:
-        """Disjoint whole-word spans within the bound, as (start, stop, edits)."""
-        windows, offset, n = [], 0, len(notice.words)
+    def fuzzy(self, text: bytes, notice: Notice, seeds: list[bytes]) -> list[tuple[int, int, int]]:
+        """Disjoint whole-word spans within the bound, as (start, stop, edits); the best one around each seed."""
+        places, offset, words = set(), 0, notice.words.encode()
         for seed in seeds:
             at = text.find(seed)
             while at >= 0:
-                windows.append((max(0, at - offset - notice.edits - 1), min(len(text), at - offset + n + notice.edits + 1)))
+                places.add(at - offset)
                 at = text.find(seed, at + 1)
             offset += len(seed)
-        out, last = [], -1
-        for a, b in sorted(set(windows)):
-            m = pattern.search(text, max(a, last), b) if b > last else None
-            if m is None or m.start() < last:
-                continue
-            start, stop = m.span()
-            while start < stop and text[start] == 32:
-                start += 1
-            while stop > start and text[stop - 1] == 32:
-                stop -= 1
-            if text[start - 1 : start] == b" " and text[stop : stop + 1] == b" ":
-                out.append((start, stop, sum(m.fuzzy_counts)))
-                last = stop
+        out, last = [], 0
+        for place in sorted(places):
+            found = []
+            for start in range(max(1, last, place - notice.edits), place + notice.edits + 1):
+                if text[start - 1] == 32:
+                    found += [(e, start, stop) for stop, e in distances(words, text, start, notice.edits).items() if text[stop : stop + 1] == b" "]
+            if found:
+                e, start, last = min(found)
+                out.append((start, last, e))
         return out
 
     def scan(self, text: str | None) -> tuple:
@@ -97,13 +106,13 @@ class Scanner:
         flat = b" " + flat + b" "
         base: list[int] = []
         base_labels, labels, spans, best = set(), set(), [], 0.0
-        for notice, seeds, pattern in self.notices:
+        for notice, seeds in self.notices:
             if not any(s in flat for s in seeds):
                 continue
             exact = self.exact(flat, notice.words.encode())
             found = [(a, a + len(notice.words), 0) for a in exact]
             if notice.edits:
-                found += [x for x in self.fuzzy(flat, notice, seeds, pattern) if not any(x[0] < b and a < x[1] for a, b, _ in found)]
+                found += [x for x in self.fuzzy(flat, notice, seeds) if not any(x[0] < b and a < x[1] for a, b, _ in found)]
             if notice.base and exact:
                 base += exact
                 base_labels.add(notice.label)

@@ -98,6 +98,50 @@ def test_fuzzy_notices():
     assert (span["start"], span["stop"], span["edits"]) == (2, 6, 1)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def check_fuzzy(text):
+    """Labels and spans against the edit distances of all runs of whole words."""
+    w, got = words_of(text), licenses.Scanner().scan(text)
+    near, labels = [], set()
+    for x in licenses.NOTICES:
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                run = " ".join(w[i:j])
+                if abs(len(run) - len(x.words)) <= x.edits and (e := distance(run, x.words)) <= x.edits:
+                    near.append((x.label, i, j, e))
+                    labels.add(x.label)
+    assert got[5] == ",".join(sorted(labels)), text
+    spans = [(s["label"], s["start"], s["stop"], s["edits"]) for s in got[7]]
+    assert set(spans) <= set(near), text
+    assert all(any(s[0] == x[0] and s[1] < x[2] and x[1] < s[2] for s in spans) for x in near), text
+
+
+def test_fuzzy_notices_at_word_borders():
+    scan = licenses.Scanner().scan
+    for text, label in (("under the mit licenses", "mit"), ("under the mit licences", "mit"), ("GNU General Public Licenses", "gpl"), ("mozilla public licensed", "mpl-2"), ("xunder the mit license", "mit"), ("a xunder the mit licenses b", "mit")):
+        assert scan(text)[5] == label, text
+        check_fuzzy(text)
+    assert scan("xxunder the mit licenses")[5] == "" and scan("under the mit licensing")[5] == ""
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([x for x in licenses.NOTICES if x.edits]), st.lists(st.tuples(st.sampled_from("ids"), st.sampled_from([0.0, 1.0]) | st.floats(0, 1), st.sampled_from("xse ")), max_size=5), st.sampled_from(["", "a ", "see under the ", "the mit license "]), st.sampled_from(["", " b", " license", " version 3"]))
+def test_fuzzy_notices_match_brute_force(notice, edits, before, after):
+    text = notice.words
+    for kind, place, c in edits:
+        k = int(place * len(text))
+        text = text[:k] + (c if kind != "d" else "") + text[k + (kind != "i") :]
+    check_fuzzy(before + text + after)
+
+
 # decontamination -----------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ geo: (name, countries array<string>) in lower case; districts: (name, city, coun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
@@ -19,7 +19,7 @@ TRAVEL = ("в", "во", "из", "до", "через", "на")
 
 def geo_stem(c) -> Column:
     """A word without its case ending, as long as three letters are left."""
-    return F.coalesce(*(F.when(X.col(c).rlike(f"^.{{3,}}{e}$"), F.regexp_replace(X.col(c), f"{e}$", "")) for e in ENDINGS), X.col(c))
+    return F.regexp_replace(X.col(c), f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
 def tokens(kw: DataFrame) -> DataFrame:
@@ -41,38 +41,79 @@ def is_complex() -> Column:
     return F.coalesce(F.col("before").isin(*COMPLEXES), F.lit(False))
 
 
-def precheck(toks: DataFrame, geo: DataFrame) -> DataFrame:
-    """Terms that are places; keywords without any need no further look."""
-    return toks.join(geo.select(F.col("name").alias("term"), "countries"), "term")
+def by_form(toks: DataFrame, dim: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """The terms that are names of dim in any case form, with dim's columns: only exact ones where there are any, then lemmas, then stems."""
+    stem = lambda c: F.array_join(F.transform(F.split(c, " "), geo_stem), " ")
+    keys = lambda *cs: F.explode(F.array(*(F.struct(F.lit(k).alias("form"), c.alias("key")) for k, c in cs)))
+    df, own = toks, [(0, F.col("term")), (2, stem("term"))]
+    if lexicon is not None:
+        first = lexicon.where("rank = 0").groupBy("word").agg(F.min("lemma").alias("lemma"))
+        words = toks.select("term").distinct().select("term", F.posexplode(F.split("term", " ")).alias("i", "word")).join(first, "word", "left")
+        lemmas = words.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("lemma", "word").alias("w"))))["w"].alias("_w"))
+        lemmas = lemmas.select("term", F.array_join("_w", " ").alias("_lemma"))
+        df, own = toks.join(lemmas, "term", "left"), [*own, (1, F.col("_lemma"))]
+    df = df.select(*toks.columns, keys(*own).alias("_k")).select(*toks.columns, "_k.*")
+    names = dim.select("*", keys((0, F.col("name")), (1, F.col("name")), (2, stem("name"))).alias("_k")).select(*dim.columns, "_k.*")
+    best = F.min("form").over(Window.partitionBy("seed_id", "kw_id", "p", "n"))
+    return df.join(names, ["form", "key"]).withColumn("_best", best).where("form = _best").drop("form", "key", "_best")
 
 
-def seed_places(seeds: DataFrame, geo: DataFrame) -> DataFrame:
+def precheck(toks: DataFrame, geo: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Terms that are places, with the names they may stand for and the countries of these; keywords without any need no further look."""
+    hits = by_form(toks, geo.select("name", "countries"), lexicon).groupBy(*toks.columns)
+    return hits.agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_distinct(F.flatten(F.collect_list("countries"))).alias("countries"))
+
+
+def _seed_tokens(seeds: DataFrame) -> DataFrame:
+    return tokens(seeds.select("seed_id", F.lit(0).alias("kw_id"), F.col("seed").alias("keyword")))
+
+
+def seed_places(seeds: DataFrame, geo: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """(seed_id, places): the places in each seed."""
-    toks = tokens(seeds.select("seed_id", F.lit(0).alias("kw_id"), F.col("seed").alias("keyword")))
-    return precheck(toks, geo).groupBy("seed_id").agg(F.collect_set("term").alias("places"))
+    places = precheck(_seed_tokens(seeds), geo, lexicon).select("seed_id", F.explode("names").alias("name"))
+    return places.groupBy("seed_id").agg(F.collect_set("name").alias("places"))
 
 
-def geo_rules(kw: DataFrame, seeds: DataFrame, geo: DataFrame, districts: DataFrame, target: str, blocklist: DataFrame | None = None) -> DataFrame:
+def geo_rules(
+    kw: DataFrame, seeds: DataFrame, geo: DataFrame, districts: DataFrame, target: str, blocklist: DataFrame | None = None,
+    lexicon: DataFrame | None = None, countries: DataFrame | None = None, abbreviations: DataFrame | None = None,
+) -> DataFrame:
     """(seed_id, kw_id, reason): the first rule that blocks each keyword; others are absent. kw: (seed_id, kw_id, keyword).
 
+    Places, districts and countries are found in any case form by stems, and by lemmas with a lexicon.
     blocklist: a caller's list of terms that always block. foreign_city: the longest place at a position lies outside
     the target, is none of the seed's, and stands in no street or complex. foreign_district, other_district:
-    a district of another country, or of another city than the seed's.
+    a district of another country, or of another city than the seed's. abbreviation, with abbreviations (name, country):
+    a short name of a city elsewhere. country, with countries (name, country): another country than the target and
+    those of the seed's places, neither named in the seed nor after a preposition of travel.
     """
     toks = tokens(kw)
     low = target.lower()
-    places = precheck(toks, geo).join(seed_places(seeds, geo), "seed_id", "left")
-    longest = places.groupBy("seed_id", "kw_id", "p").agg(F.max(F.struct("n", "term", "countries", "before", "after", "places")).alias("g")).select("seed_id", "kw_id", "p", "g.*")
-    own_seed = F.coalesce(F.array_contains("places", F.col("term")), F.lit(False))
-    foreign = ~F.array_contains("countries", low) & ~own_seed & ~F.coalesce(is_street(), F.lit(False)) & ~is_complex()
-    hits = longest.where(foreign).select("seed_id", "kw_id", F.lit(2).alias("rule"), F.concat(F.lit("foreign_city:"), "term").alias("reason"))
-    area = toks.join(districts.select(F.lower("name").alias("term"), F.lower("city").alias("city"), F.lower("country").alias("country")), "term").join(seed_places(seeds, geo), "seed_id", "left")
-    hits = hits.unionByName(area.where(F.col("country") != low).select("seed_id", "kw_id", F.lit(3).alias("rule"), F.concat(F.lit("foreign_district:"), "term").alias("reason")))
+    of_seed = seed_places(seeds, geo, lexicon)
+    places = precheck(toks, geo, lexicon).join(of_seed, "seed_id", "left")
+    longest = places.groupBy("seed_id", "kw_id", "p").agg(F.max(F.struct("n", "term", "names", "countries", "before", "after", "places")).alias("g")).select("seed_id", "kw_id", "p", "g.*")
+    own_seed = F.coalesce(F.arrays_overlap("places", "names"), F.lit(False))
+    named = F.coalesce(is_street(), F.lit(False)) | is_complex()
+    reason = lambda df, k, rule: df.select("seed_id", "kw_id", F.lit(k).alias("rule"), F.concat(F.lit(f"{rule}:"), "term").alias("reason"))
+    hits = reason(longest.where(~F.array_contains("countries", low) & ~own_seed & ~named), 2, "foreign_city")
+    area = by_form(toks, districts.select(F.lower("name").alias("name"), F.lower("city").alias("city"), F.lower("country").alias("country")), lexicon).join(of_seed, "seed_id", "left")
+    hits = hits.unionByName(reason(area.where(F.col("country") != low), 3, "foreign_district"))
     other = (F.col("country") == low) & (F.size(F.coalesce("places", F.array())) > 0) & ~F.array_contains("places", F.col("city"))
-    hits = hits.unionByName(area.where(other).select("seed_id", "kw_id", F.lit(4).alias("rule"), F.concat(F.lit("other_district:"), "term").alias("reason")))
+    hits = hits.unionByName(reason(area.where(other), 4, "other_district"))
     if blocklist is not None:
         listed = toks.join(blocklist.select(F.lower("name").alias("term")).distinct(), "term", "left_semi")
-        hits = hits.unionByName(listed.select("seed_id", "kw_id", F.lit(1).alias("rule"), F.concat(F.lit("listed:"), "term").alias("reason")))
+        hits = hits.unionByName(reason(listed, 1, "listed"))
+    if abbreviations is not None:
+        short = toks.join(abbreviations.select(F.lower("name").alias("term"), F.lower("country").alias("country")), "term")
+        hits = hits.unionByName(reason(short.where((F.col("country") != low) & ~named), 5, "abbreviation"))
+    if countries is not None:
+        dim = countries.select(F.lower("name").alias("name"), F.lower("country").alias("country"))
+        seed = _seed_tokens(seeds)
+        own = precheck(seed, geo, lexicon).select("seed_id", F.explode("countries").alias("country"))
+        own = own.unionByName(by_form(seed, dim, lexicon).select("seed_id", "country")).distinct()
+        travel = F.coalesce(F.col("before").isin(*TRAVEL), F.lit(False))
+        abroad = by_form(toks, dim, lexicon).where((F.col("country") != low) & ~named & ~travel).join(own, ["seed_id", "country"], "left_anti")
+        hits = hits.unionByName(reason(abroad, 6, "country"))
     return hits.groupBy("seed_id", "kw_id").agg(F.min(F.struct("rule", "reason"))["reason"].alias("reason"))
 
 
@@ -88,8 +129,9 @@ def own_geo(kw: DataFrame, geo: DataFrame, target: str) -> DataFrame:
 
 def without_seed_place(kw: DataFrame, seeds: DataFrame, geo: DataFrame) -> DataFrame:
     """Keywords of seeds with a place that have none of the seed's places."""
-    wanted = seed_places(seeds, geo).select("seed_id", F.explode("places").alias("term"))
-    has = tokens(kw).join(wanted, ["seed_id", "term"]).select("seed_id", "kw_id").distinct()
+    wanted = seed_places(seeds, geo).select("seed_id", F.explode("places").alias("name"))
+    found = precheck(tokens(kw), geo).select("seed_id", "kw_id", F.explode("names").alias("name"))
+    has = found.join(wanted, ["seed_id", "name"]).select("seed_id", "kw_id").distinct()
     return kw.join(wanted.select("seed_id").distinct(), "seed_id", "left_semi").join(has, ["seed_id", "kw_id"], "left_anti")
 
 

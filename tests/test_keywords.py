@@ -153,3 +153,22 @@ def test_folding_garbage(spark):
     df = spark.createDataFrame([("ремонт пылесосов *", SEED), ("ремонт пылесосов ж дома", SEED), ("ремонт пылесосов киев", SEED), ("ремонт пылесосов тир", SEED)], "k string, s string")
     assert [r.x for r in df.select(fold.garbage_suffix("k", "s").alias("x")).collect()] == [True, True, False, True]
     assert [r.x for r in df.select(fold.letter_artifact("k", "s").alias("x")).collect()] == [False, True, False, False]
+
+
+def test_geo_rules_find_case_forms(spark):
+    """Places in other case forms, by stem or lemma, and the rules of countries and abbreviations."""
+    from seedsift.operators import geo
+
+    seeds = spark.createDataFrame([(1, "ремонт киев"), (2, "тур лондон")], "seed_id long, seed string")
+    texts = ["ремонт в москве", "ремонт в киеве", "ремонт во льве", "ремонт нижним новгородом", "ремонт на оболони", "ремонт на арбате", "ремонт польша", "ремонт из польши", "ремонт спб", "московская улица москва улица"]
+    kw = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)] + [(2, 0, "тур англия")], "seed_id long, kw_id long, keyword string")
+    places = spark.createDataFrame([("москва", ["ru"]), ("киев", ["ua"]), ("лев", ["ru"]), ("нижний новгород", ["ru"]), ("лондон", ["gb"])], "name string, countries array<string>")
+    districts = spark.createDataFrame([("оболонь", "киев", "UA"), ("арбат", "москва", "RU")], "name string, city string, country string")
+    lexicon = spark.createDataFrame([("льве", 0, "лев"), ("нижним", 0, "нижний"), ("новгородом", 0, "новгород")], "word string, rank int, lemma string")
+    countries = spark.createDataFrame([("польша", "PL"), ("англия", "GB")], "name string, country string")
+    short = spark.createDataFrame([("спб", "RU")], "name string, country string")
+    got = {(r.seed_id, r.kw_id): r.reason for r in geo.geo_rules(kw, seeds, places, districts, "UA", None, lexicon, countries, short).collect()}
+    assert got == {(1, 0): "foreign_city:москве", (1, 2): "foreign_city:льве", (1, 3): "foreign_city:нижним новгородом", (1, 5): "foreign_district:арбате", (1, 6): "country:польша", (1, 8): "abbreviation:спб", (1, 9): "foreign_city:москва"}
+    plain = {r.kw_id: r.reason for r in geo.geo_rules(kw, seeds, places, districts, "UA").where("seed_id = 1").collect()}
+    assert plain[0] == "foreign_city:москве" and not {1, 2, 4, 6, 8} & set(plain)
+    assert [r.kw_id for r in geo.without_seed_place(kw.where("seed_id = 1 and kw_id < 2"), seeds, places).collect()] == [0]

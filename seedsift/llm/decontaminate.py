@@ -7,12 +7,14 @@ of their text, whose size is checked: a larger benchmark is dealt into blocks, o
 pass adds to the spans that the ones before found in a document.
 
 Null or empty text: no words, no hits, not contaminated; the hash is that of no bytes. Items without words
-have no window. Repeated rows are scanned one by one; repeated item_ids count once.
+have no window. Repeated rows are scanned one by one; repeated item_ids count once. Items without item_id hit
+like others and count as one item together, which is not listed by name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -36,19 +38,19 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
 class Automaton:
     """All windows of a block of items. Patterns and texts are read byte for byte, so offsets are bytes of the normalised text."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
+        owners: dict[bytes, set[str | None]] = {}
         for item, text in items:
             for w in windows(normalised(text), size):
                 owners.setdefault(b" ".join(w), set()).add(item)
         self.trie = ahocorasick.Automaton()
         for w, names in owners.items():
-            self.trie.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(names))))
+            self.trie.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(names)))
         if owners:
             self.trie.make_automaton()
         self.empty = not owners
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Disjoint spans of hit words (stop excluded) and the items found."""
         if self.empty or not words:
             return [], set()
@@ -85,22 +87,27 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(ends[a][0], ends[b - 1][1]) for a, b in spans]
 
 
-def blocks_of(items: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, cut by running size in id order."""
+def blocks_of(items: DataFrame, scratch: Scratch) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
+    """The items in blocks of bounded size, dealt by id, one collected at a time, and whether it is the last."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     total = items.agg(F.sum(size)).first()[0] or 0
-    named = items.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
+    named = items.select(F.col("item_id").cast("string"), "text").where("text is not null")
     n = -(-total // BLOCK_BYTES)
     if n <= 1:
-        return [[tuple(r) for r in named.collect()]]
-    keyed = named.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
-    return [[tuple(r) for r in keyed.where(F.col("_block") == k).drop("_block").collect()] for k in range(n)]
+        yield [tuple(r) for r in named.collect()], True
+        return
+    keyed = scratch.write(named.withColumn("_block", F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n))))
+    for k in range(n):
+        yield [tuple(r) for r in keyed.where(F.col("_block") == k).drop("_block").collect()], k == n - 1
 
 
-def _row(n_words: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
+def _row(n_words: int, spans: list[tuple[int, int]], items: set[str | None], last: bool) -> tuple:
+    """Before the last pass the items keep the one without a name."""
     hit = sum(b - a for a, b in spans)
-    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-    return n_words, hit, len(items), digest, hit > 0 and 20 * hit >= n_words, items, [{"start": a, "stop": b} for a, b in spans]
+    names = sorted(x for x in items if x is not None)
+    digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+    listed = names if last or None not in items else [*names, None]
+    return n_words, hit, len(items), digest, hit > 0 and 20 * hit >= n_words, listed, [{"start": a, "stop": b} for a, b in spans]
 
 
 RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
@@ -111,9 +118,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
     """docs with counts, items, spans (in words) and verdict of every row's text against items (item_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     found = docs.select(*(c for c in docs.columns if c not in RESULTS))
-    blocks = blocks_of(items)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for block, last in blocks_of(items, scratch):
         found = _scan(found, spark.sparkContext.broadcast(block), size, last)
         found = found if last else scratch.write(found)
     return found
@@ -134,7 +139,7 @@ def _scan(docs: DataFrame, sent, size: int, last: bool) -> DataFrame:
             if before:
                 found |= set(before[0][k])
                 spans = merged(spans + [(s["start"], s["stop"]) for s in before[1][k]])
-            rows.append(_row(len(words), spans, sorted(found)))
+            rows.append(_row(len(words), spans, found, last))
         return dict(zip(RESULTS, zip(*rows)))
 
     schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, " * last + FOUND

@@ -171,6 +171,16 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
     assert decontaminate.scan_documents(frame, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_items_without_id_hit(spark, monkeypatch):
+    """As in OP7_SQL: their hits count, together they are one item, and no name is listed."""
+    docs = spark.createDataFrame([(1, "a short item b"), (2, "other words and short item"), (3, "none")], SCHEMA)
+    bench = spark.createDataFrame([(None, "short item"), (None, "other words"), (5, "and")], "item_id long, text string")
+    for limit in (decontaminate.BLOCK_BYTES, 30):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        got = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated, r["items"]) for r in decontaminate.scan_documents(docs, bench).collect())
+        assert got == [(1, 2, 1, True, []), (2, 5, 2, True, ["5"]), (3, 0, 0, False, [])]
+
+
 def test_offsets_of_the_original():
     text = "Äb, c-d  E9!"
     assert decontaminate.original_offsets(text, [(0, 2), (3, 4)]) == [(0, 5), (9, 11)]

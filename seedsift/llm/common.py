@@ -50,18 +50,28 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/t-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        where, files = self._place(path)
+        files.deleteOnExit(where)  # what is still read by a result goes when the application ends
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
 
+    def _place(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             _, path = self.paths.pop(id(df), (None, None))
             if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                where, files = self._place(path)
+                files.delete(where, True)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these."""
+        kept = {id(df) for df in frames}
+        self.drop(*(df for df, _ in list(self.paths.values()) if id(df) not in kept))
 
 
 @contextlib.contextmanager
@@ -100,6 +110,13 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict | None
     return df.select(*chosen).mapInArrow(run, T.StructType([*kept.fields, *made.fields]))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is not among the ids; only rows that may be are shuffled."""
     bits = bitmap(ids, key)
@@ -117,23 +134,26 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
     return words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
 
+def _looked_up(df: DataFrame, key: str, bits: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """df beside its key's word of the bitmap, and whether the key's bit is set."""
+    slot, word, found = (free(df, x) for x in ("_slot", "_word", "_bits"))
+    joined = df.withColumn(slot, _slot(F.col(key))).join(F.broadcast(bits.toDF(word, found)), F.shiftright(F.col(slot), 6) == F.col(word), how)
+    return joined, F.expr(f"getbit({found}, cast({slot} % 64 as int)) = 1")
+
+
 def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """The rows whose key may be among the bitmap's keys: all that are, and few others. It saves shuffling the rest."""
-    slot = _slot(F.col(key))
-    return (
-        df.withColumn("_slot", slot)
-        .join(F.broadcast(bits), F.shiftright(F.col("_slot"), 6) == F.col("_word"))
-        .where(F.expr("getbit(_bits, cast(_slot % 64 as int)) = 1"))
-        .drop("_slot", "_word", "_bits")
-    )
+    joined, is_set = _looked_up(df, key, bits, "inner")
+    return joined.where(is_set).select(*df.columns)
 
 
 def surely_not_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """The other rows, null keys among them."""
-    slot = _slot(F.col(key))
-    return (
-        df.withColumn("_slot", slot)
-        .join(F.broadcast(bits), F.shiftright(F.col("_slot"), 6) == F.col("_word"), "left")
-        .where(F.col(key).isNull() | F.col("_bits").isNull() | F.expr("getbit(_bits, cast(_slot % 64 as int)) = 0"))
-        .drop("_slot", "_word", "_bits")
-    )
+    joined, is_set = _looked_up(df, key, bits, "left")
+    return joined.where(~F.coalesce(is_set, F.lit(False))).select(*df.columns)
+
+
+def numbered(df: DataFrame, results: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df without columns of the results' names, the others numbered so that none is in an operator's way, and their numbers by name."""
+    names = {c: f"c{i}" for i, c in enumerate(x for x in df.columns if x not in results)}
+    return df.select(*(df[c].alias(n) for c, n in names.items())), names

@@ -6,14 +6,17 @@ A turn renders as an opening mark, its text and a closing mark:
     assistant   (blank) text </s>
     any other   [ROLE name] text [/ROLE]
 
-Each rendered turn is parsed again by a deterministic parser. Where the recovered turn differs from its
-source, the conflicting content is escaped (backslashes doubled, a backslash put after the first character
-of every control string) and rendered again, until both are identical. A turn ends at its first closing
-mark, so turns that come back one by one also come back from the whole conversation.
+Each rendered turn is parsed again by a deterministic parser, which refuses a control string inside a text.
+Where a turn does not come back as its source, the conflicting content is escaped (backslashes doubled, a
+backslash put after the first character of every control string) and rendered again, until both are
+identical: in what is rendered, control strings stand as marks only. A turn ends at its first closing mark,
+so turns that come back one by one also come back from the whole conversation.
 
 Rows are formatted one by one; the digests of a conversation stream over its sorted rows, so a task never
-holds a whole conversation. Null text and null role count as empty. Ties on turn go by role, then text;
-null turns come first; rows without conv_id form one conversation of their own. No rows, no conversations.
+holds a whole conversation, and of a very long text one copy as rendered. Null text and null role count as
+empty. Ties on turn go by role, then text; null turns come first; repeated rows are turns of their own; rows
+without conv_id form one conversation of their own. No rows, no conversations. Only conv_id, turn, role and
+text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -50,12 +53,15 @@ def marks(role: str) -> tuple[str, str]:
         return "[INST] ", " [/INST]"
     if role == "assistant":
         return " ", " </s>"
-    name = role.replace("\\", "\\\\").replace("]", "\\]")
+    name = escape(role).replace("]", "\\]")
     return f"[ROLE {name}] ", " [/ROLE]"
 
 
 def parse_turn(text: str, at: int = 0) -> tuple[str, str, int, int, int] | None:
-    """The turn that starts at a place: role, text, start and stop of the text as rendered, and where the next turn starts."""
+    """The turn that starts at a place: role, text, start and stop of the text as rendered, and where the next turn starts.
+
+    None if no turn starts there, or if a control string or a backslash that escapes nothing stands in its text.
+    """
     if text.startswith("[INST] ", at):
         role, start, close = "user", at + 7, " [/INST]"
     elif m := _ROLE.match(text, at):
@@ -65,7 +71,12 @@ def parse_turn(text: str, at: int = 0) -> tuple[str, str, int, int, int] | None:
     else:
         return None
     stop = text.find(close, start)
-    return None if stop < 0 else (role, unescape(text[start:stop]), start, stop, stop + len(close))
+    if stop < 0:
+        return None
+    body = text[start:stop]
+    if any(c in body for c in CONTROLS) or "\\" in _ESCAPED.sub("", body):
+        return None
+    return role, unescape(body), start, stop, stop + len(close)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -164,11 +175,13 @@ def op3_chat_format(spark, sf_dir):
 OP3_SQL = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, case role when 'user' then ' [/INST]' when 'assistant' then ' </s>' else ' [/ROLE]' end as fin,
-        case role when 'user' then 7 when 'assistant' then 1 else 8 + length(replace(replace(role, '\', '\\'), ']', '\]')) end as head,
-        replace(replace(replace(replace(replace(replace(replace(t, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<s>', '<\s>'), '</s>', '<\/s>'), '[ROLE ', '[\ROLE '), '[/ROLE]', '[\/ROLE]') as esc from c)
+e as (select *,
+        replace(replace(replace(replace(replace(replace(replace(t, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<s>', '<\s>'), '</s>', '<\/s>'), '[ROLE ', '[\ROLE '), '[/ROLE]', '[\/ROLE]') as t_out,
+        replace(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<s>', '<\s>'), '</s>', '<\/s>'), '[ROLE ', '[\ROLE '), '[/ROLE]', '[\/ROLE]') as r_out from c),
+f as (select *, case role when 'user' then '[INST] ' || t_out || ' [/INST]' when 'assistant' then ' ' || t_out || ' </s>'
+        else '[ROLE ' || replace(r_out, ']', '\]') || '] ' || t_out || ' [/ROLE]' end as made from e)
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
   coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(head + length(fin) + length(case when contains(t, '\') or contains(t, fin) then esc else t end))::bigint as formatted_chars
-from e group by conv_id
+  sum(length(made))::bigint as formatted_chars
+from f group by conv_id
 """

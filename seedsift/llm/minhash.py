@@ -11,13 +11,15 @@
    the full sets of both texts.
 5. Union-find groups what was confirmed. In buckets whose members then still lie in several components,
    every pair across components is settled too: small buckets give pairs as above; large ones are cut into
-   blocks of bounded size, two blocks meet in a task that holds their texts, and only confirmed links come
-   out. A pair is looked at in the first band that it shares. Groups are then formed again, so no pair of
+   blocks of bounded size, two blocks meet in a task by sketches first, then the texts of members with a
+   possible partner meet, and only confirmed links come out. A pair is looked at in the first band that it shares. Groups are then formed again, so no pair of
    a bucket that could add a link is left out.
 
 Null or empty text has an empty set and no links. A row without doc_id has no links, a null component_id and
-is kept. Rows that share a doc_id count as one node and each keeps its row. Very long texts: only the few
-bytes of their bands travel, and their text only if they are candidates. Empty input: empty result.
+is kept. Rows that share a doc_id count as one node and each keeps its row; the smallest doc_id of a group
+stays, so there are no ties. Very long texts: only the few bytes of their bands travel, and their text only
+if they are candidates. Only doc_id and text are read, so other columns cannot clash. Empty input: empty
+result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ WORDS, PERCENT = 5, 80
 LEAST_AGREEING = 68
 #: Members up to which a bucket gives pairs, and members in a block of a larger one.
 SMALL_BUCKET, BLOCK = 32, 1024
+#: Shingles in a block on average.
+BLOCK_SHINGLES = 1_000_000
 #: Word hashes that a task remembers in each of two generations, and rows of a batch to Python.
 REMEMBERED, BATCH = 50_000, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -63,7 +67,6 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        self.hashes.trim()
         n = max(1, len(h) - self.words + 1)
         width = min(self.words, len(h))
         out = np.full(n, width, np.uint64)
@@ -171,31 +174,46 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return map_batches(wide, ["a", "text_a", "b", "text_b"], run, "u long, v long", rows=64)
 
 
-def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v) across components inside large buckets, two blocks of a bucket at a time."""
-    blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "m")
-    bits = bitmap(members, "id")
-    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), "id", bits)
-    known = maybe_in(reps, "id", bits).join(texts, "id")
-    dealt = dealt.join(known, "id")
+def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Confirmed links (u, v) across components inside large buckets, two blocks of a bucket at a time.
 
-    def settle(pdf):
-        shingler, band = Shingler(words), int(pdf["band"].iloc[0])
-        pdf = pdf.drop_duplicates("id")
-        sets = [shingler.set_of(t) for t in pdf["text"]]
-        sizes, comp, ids, own = (np.array(x) for x in ([len(s) for s in sets], pdf["c"], pdf["id"], pdf["own"]))
+    Blocks meet twice. First only sizes, sketches and bands travel, and say which members have a possible partner in
+    the other block; then those members' texts do. A block holds BLOCK members and BLOCK_SHINGLES shingles on average.
+    """
+    bits = scratch.write(bitmap(members, "id"))
+    known = scratch.write(members.join(maybe_in(reps, "id", bits), "id"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    counted = known.groupBy("bucket").agg(F.sum("n").alias("weight"))
+    dealt = known.join(counted, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "m", "weight")
+
+    def partners(pdf):
+        """Of each member of the first block: the members of the second one that sizes, sketches and earlier bands leave possible."""
+        band, (sizes, comp, own) = int(pdf["band"].iloc[0]), (pdf[c].to_numpy() for c in ("n", "c", "own"))
         before = np.stack(pdf["bands"].to_numpy())[:, :band]
         sketch = np.stack([pdf["s1"].to_numpy(), pdf["s2"].to_numpy()], axis=1).view(np.uint64)
         second = np.flatnonzero(own == pdf["y"].iloc[0])
-        u, v = [], []
         for i in np.flatnonzero(own == pdf["x"].iloc[0]):
             j = second[(comp[second] != comp[i]) & (100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i]))]
             j = j[PLACES - np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) >= LEAST_AGREEING] if percent >= 80 else j
             j = j[~(before[j] == before[i]).any(axis=1)]
-            if not len(j):
-                continue
+            if len(j):
+                yield i, j
+
+    def meet(pdf):
+        pdf = pdf.drop_duplicates("id")
+        some = np.zeros(len(pdf), bool)
+        for i, j in partners(pdf):
+            some[i] = some[j] = True
+        return pdf.loc[some, ["bucket", "x", "y", "id"]]
+
+    def settle(pdf):
+        shingler = Shingler(words)
+        pdf = pdf.drop_duplicates("id")
+        sets, ids = [shingler.set_of(t) for t in pdf["text"]], pdf["id"].to_numpy()
+        sizes = np.array([len(s) for s in sets])
+        u, v = [], []
+        for i, j in partners(pdf):
             all_of = np.concatenate([sets[k] for k in j])
             at = np.minimum(np.searchsorted(sets[i], all_of), sizes[i] - 1)
             both = np.add.reduceat(sets[i][at] == all_of, np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
@@ -204,7 +222,10 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
             v += list(ids[good])
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(settle, "u long, v long")
+    wanted = scratch.write(dealt.groupBy("bucket", "x", "y").applyInPandas(meet, "bucket long, x int, y int, id long"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    few = maybe_in(texts, "id", bitmap(wanted, "id"))
+    return dealt.join(wanted, ["bucket", "x", "y", "id"]).join(few, "id").groupBy("bucket", "x", "y").applyInPandas(settle, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -237,19 +258,25 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = shared.join(groups, shared["id"] == groups["node"], "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     left = scratch.write(placed.join(mixed, "bucket"))
+    scratch.drop(shared)
     few = left.where(F.col("m") <= SMALL_BUCKET).join(sketches, "id")
     one, two = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s1", "s2", "c"))) for s in ("a", "b"))
     across = one.join(two, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fit)
     across = scratch.write(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = confirm(across, docs, words, percent).unionByName(block_links(left.where(F.col("m") > SMALL_BUCKET), reps, docs, words, percent))
+    more, many = confirm(across, docs, words, percent), left.where(F.col("m") > SMALL_BUCKET)
+    if not many.isEmpty():
+        more = more.unionByName(block_links(many, reps, docs, words, percent, scratch))
     more = scratch.write(more)
-    scratch.drop(reps, left, shared)
+    scratch.drop(left, reps, across, tried)
     if not more.isEmpty():
         groups = scratch.write(components(edges.unionByName(more), scratch))
     of_class = feats.drop("bands", "s1", "s2").join(classes, ["k1", "k2"], "left")
     out = of_class.join(groups, of_class["rep"] == groups["node"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = scratch.write(out)
+    scratch.keep_only(out)
+    return out
 
 
 def op1_near_duplicates(spark, sf_dir):

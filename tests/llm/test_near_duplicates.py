@@ -67,10 +67,31 @@ def test_groups_match_brute_force(spark, words):
 
 def test_large_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(minhash, "BLOCK", 5)
     rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()
-    assert {r.doc_id: r.component_id for r in got} == brute(rows, 2)[0]
+    for members, shingles in ((5, 1_000_000), (1024, 300)):
+        monkeypatch.setattr(minhash, "BLOCK", members)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute(rows, 2)[0]
+
+
+def test_no_tables_stay_behind(spark):
+    """Of the operator's tables only the result's is left."""
+    from pathlib import Path
+
+    from seedsift.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("t-*"))
+    minhash.near_duplicates(spark.createDataFrame(corpus()[:40], SCHEMA), 2)
+    assert len(set(folder.glob("t-*")) - before) == 1
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:140_000])), (3, " ".join(words[:100_000]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (149_996, 1), 2: (139_996, 1), 3: (99_996, 3)}
 
 
 def test_null_ids_texts_repeated_rows_and_extra_columns(spark):

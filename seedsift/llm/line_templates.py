@@ -10,11 +10,14 @@ enough sequences in documents. The document with the smallest doc_id keeps a rec
 drop it. Lines shorter than MIN_TOKENS never count: short ones coincide by chance.
 
 Only hashes of lines are shuffled; token sequences travel just for leaves that could hold a generalised
-template, and texts just for documents that lose a line. A leaf with very many sequences is clustered in
-blocks, and the blocks' templates once more in other blocks.
+template, and texts just for documents that lose a line. Lines meet by the hash of the whole sequence and by
+that of their leaf together, so a chance collision needs two lines of one leaf. A leaf is always clustered as
+a whole: a large one streams through an index of its templates, with the same result.
 
 Null or empty text: no lines, nothing dropped, the text stays as it is. Rows without doc_id are left alone
-and count for nothing. Rows that share a doc_id count as one document.
+and count for nothing. Rows that share a doc_id count as one document. Ties between sequences in as many
+documents go by their text. Very long texts: their lines are hashed one by one and only hashes travel. Columns
+named n_lines or n_dropped are replaced, all others stay. Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.llm.common import Scratch, bitmap, map_batches, maybe_in, surely_not_in
+from seedsift.llm.common import Scratch, bitmap, map_batches, maybe_in, numbered, surely_not_in
 
 MIN_TOKENS = 5
 DEPTH = 3
@@ -149,7 +152,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 def line_tokens(docs: DataFrame) -> DataFrame:
-    """(h, tokens) of each distinct masked line of each row."""
+    """(h, leaf, tokens) of each distinct masked line of each row."""
 
     def run(texts):
         rows = {}
@@ -158,12 +161,12 @@ def line_tokens(docs: DataFrame) -> DataFrame:
                 tokens = masked(line)
                 if tokens is not None:
                     rows.setdefault(hashed(tokens), tokens)
-        return {"h": list(rows), "tokens": [b" ".join(x).decode("utf-8", "replace") for x in rows.values()]} if rows else None
+        return {"h": list(rows), "leaf": [leaf_of(x) for x in rows.values()], "tokens": [b" ".join(x).decode("utf-8", "replace") for x in rows.values()]} if rows else None
 
-    return map_batches(docs, ["text"], run, "h long, tokens string")
+    return map_batches(docs, ["text"], run, "h long, leaf long, tokens string")
 
 
-TEMPLATES = "h long, template long"
+TEMPLATES = "leaf long, h long, template long"
 
 
 def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +176,7 @@ def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     head: dict[int, int] = {}
     for k, h in zip(group, pdf["h"]):
         head.setdefault(k, h)
-    return pd.DataFrame({"h": pdf["h"], "template": [head[k] for k in group]})
+    return pd.DataFrame({"leaf": pdf["leaf"], "h": pdf["h"], "template": [head[k] for k in group]})
 
 
 def _stream_leaves(batches):
@@ -186,18 +189,19 @@ def _stream_leaves(batches):
             if leaf != now:
                 now, made = leaf, Templates(len(tokens))
             out.append(made.join(h, tokens))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["h", "template"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["leaf", "h", "template"])
 
 
 def templates(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, template) of the sequences of every leaf that could hold a generalised template. lines: (h, leaf, n, lo, hi)."""
+    """(leaf, h, template) of the sequences of every leaf that could hold a generalised template. lines: (h, leaf, n, lo, hi)."""
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("covered"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     leaves = scratch.write(leaves.where(f"size > 1 and covered >= {MIN_COVERED} and lo < hi").select("leaf", "size"))
     wanted = scratch.write(lines.join(leaves, "leaf").select("h", "leaf", "size", "n", "lo"))
     # A sequence's first document spells it; only such documents are read closely.
     some = maybe_in(docs, "doc_id", bitmap(wanted, "lo"))
-    spelled = line_tokens(some).groupBy("h").agg(F.first("tokens").alias("tokens"))
-    spelled = scratch.write(wanted.drop("lo").join(spelled, "h"))
+    spelled = line_tokens(some).groupBy("h", "leaf").agg(F.first("tokens").alias("tokens"))
+    spelled = scratch.write(wanted.drop("lo").join(spelled, ["h", "leaf"]))
+    scratch.drop(leaves, wanted)
     small = spelled.where(F.col("size") <= BLOCK).groupBy("leaf").applyInPandas(_cluster_leaf, TEMPLATES)
     large = spelled.where(F.col("size") > BLOCK).repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens", "h")
     return scratch.write(small.unionByName(large.select("leaf", "h", "tokens").mapInArrow(_stream_leaves, TEMPLATES)))
@@ -208,36 +212,37 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.write(line_hashes(docs).distinct())
     lines = scratch.write(found.groupBy("h", "leaf").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
     of = templates(lines, docs, scratch)
-    wide = lines.join(of, "h").groupBy("template").agg(F.sum("n").alias("t_n"), F.min("lo").alias("t_lo"), F.max("hi").alias("t_hi"))
+    wide = lines.join(of, ["h", "leaf"]).groupBy("leaf", "template").agg(F.sum("n").alias("t_n"), F.min("lo").alias("t_lo"), F.max("hi").alias("t_hi"))
     wide = wide.where(f"t_n >= {MIN_COVERED} and t_lo < t_hi")
-    general = of.join(wide, "template").select("h", "t_lo")
-    owner = lines.join(general, "h", "left").select("h", F.coalesce("t_lo", F.expr(f"if(n >= {MIN_DOCS}, lo, null)")).alias("owner"))
+    general = of.join(wide, ["leaf", "template"]).select("h", "leaf", "t_lo")
+    owner = lines.join(general, ["h", "leaf"], "left").select("h", "leaf", F.coalesce("t_lo", F.expr(f"if(n >= {MIN_DOCS}, lo, null)")).alias("owner"))
     owner = scratch.write(owner.where("owner is not null"))
-    lost = found.select("doc_id", "h").join(owner, "h").where("doc_id > owner")
-    return lost.select("doc_id", "h")
+    return found.join(owner, ["h", "leaf"]).where("doc_id > owner").select("doc_id", "h")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs with the text's recurring lines dropped, and n_lines and n_dropped."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")))
-    narrow = docs.select("doc_id", F.col(text).alias("text"))
+    docs, names = numbered(docs, ["n_lines", "n_dropped"])
+    key, text = names["doc_id"], names[text]
+    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     lost = scratch.write(dropped_lines(narrow, scratch))
     bits = scratch.write(bitmap(lost, "doc_id"))
-    per_doc = lost.groupBy("doc_id").agg(F.collect_list("h").alias("_lost"))
-    some = maybe_in(docs, "doc_id", bits).join(per_doc, "doc_id", "left").select(*docs.columns, "_lost")
-    rest = surely_not_in(docs, "doc_id", bits)
+    scratch.keep_only(lost, bits)
+    per_doc = lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("h").alias("_lost"))
+    some = maybe_in(docs, key, bits).join(per_doc, key, "left").select(*docs.columns, "_lost")
+    rest = surely_not_in(docs, key, bits)
 
     lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
     rest = rest.withColumn("n_lines", lines).withColumn("n_dropped", F.lit(0).cast("long"))
-    some = some.withColumn("n_lines", lines).withColumnRenamed(text, "_text")
-    own = [c for c in some.columns if c not in ("_text", "_lost")]
-    some = map_batches(some, ["_text", "_lost"], cut, "text string, n_dropped long", carry=own)
-    some = some.withColumnRenamed("text", text)
-    return some.select(*docs.columns, "n_lines", "n_dropped").unionByName(rest)
+    own = [c for c in docs.columns if c != text]
+    some = map_batches(some.withColumn("n_lines", lines), [text, "_lost"], lambda t, gone: dict(zip((text, "n_dropped"), cut(t, gone))), f"{text} string, n_dropped long", carry=[*own, "n_lines"])
+    out = some.select(*rest.columns).unionByName(rest)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "n_lines", "n_dropped")
 
 
-def cut(texts: list, lost: list) -> dict:
+def cut(texts: list, lost: list) -> tuple[list, list]:
+    """The texts without their lost lines, and how many lines that were."""
     out, gone_lines = [], []
     for text, gone in zip(texts, lost):
         if text is None or gone is None:
@@ -248,7 +253,7 @@ def cut(texts: list, lost: list) -> dict:
         kept = [x for x in lines if (tokens := masked(x)) is None or hashed(tokens) not in gone]
         out.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
         gone_lines.append(len(lines) - len(kept))
-    return {"text": out, "n_dropped": gone_lines}
+    return out, gone_lines
 
 
 def op2_line_templates(spark, sf_dir):

@@ -1,19 +1,25 @@
 """License scans of whole texts.
 
 A notice is searched with bounded errors: cut into one more piece than it may have errors, at least one
-piece stands unchanged in every match (pigeonhole), so exact seeds find candidates and bounded edit distances
-between the word borders around them verify them and give spans. Texts are normalised first: A-Z lowered,
-words joined by one blank. A notice without errors is a base place; the places within the error
+piece stands unchanged in every match (pigeonhole), so exact seeds find candidates: the runs of whole words
+around a seed whose length can fit. The regex library's bounded-error matching verifies each run as a whole,
+says with how many edits, and the best one around a seed gives the span. Texts are normalised first: A-Z
+lowered, words joined by one blank. A notice without errors is a base place; the places within the error
 bound add labels.
 
 Null or empty text: no words, no places, null first and last word, empty labels, score 0. Repeated rows
-are scanned one by one; a notice that occurs often counts at each place.
+are scanned one by one; a notice that occurs often counts at each place, and of runs with equal edits the
+first one is the span. Very long texts: the work is linear in the text and in the seeds found. Only doc_id
+and text are read, so other columns cannot clash. Empty input: empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
 from seedsift.llm.common import ALNUM, map_batches
@@ -50,26 +56,11 @@ def pieces(words: str, edits: int) -> list[bytes]:
     return [words[a:b].encode() for a, b in zip(cuts, cuts[1:])]
 
 
-def distances(words: bytes, text: bytes, start: int, most: int) -> dict[int, int]:
-    """The edits by stop of every text[start:stop] that is words but for so many edits at most."""
-    row, longest = {j: j for j in range(most + 1)}, len(text) - start
-    for i, c in enumerate(words, 1):
-        now: dict[int, int] = {}
-        for j in range(max(0, i - most), min(longest, i + most) + 1):
-            e = min(row.get(j, most) + 1, now.get(j - 1, most) + 1)
-            if j:
-                e = min(e, row.get(j - 1, most + 1) + (text[start + j - 1] != c))
-            if e <= most:
-                now[j] = e
-        if not now:
-            return {}
-        row = now
-    return {start + j: e for j, e in row.items()}
-
-
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = [(x, pieces(x.words, x.edits)) for x in notices]
+        #: A notice's patterns with up to 0, 1, ... errors: the first one that a run matches as a whole says its edits.
+        self.within = {x: [regex.compile(b"(?:%s){e<=%d}" % (regex.escape(x.words).encode(), e)) for e in range(x.edits + 1)] for x in notices}
 
     def exact(self, text: bytes, words: bytes) -> list[int]:
         """Starts of whole-word places in a text that has a blank at both ends; places may overlap."""
@@ -79,21 +70,33 @@ class Scanner:
             at = text.find(b" " + words + b" ", at + 1)
         return out
 
-    def fuzzy(self, text: bytes, notice: Notice, seeds: list[bytes]) -> list[tuple[int, int, int]]:
+    def edits(self, notice: Notice, text: bytes, start: int, stop: int) -> int | None:
+        """By how many edits text[start:stop] differs from the notice, or None beyond its bound."""
+        patterns = self.within[notice]
+        if not patterns[-1].fullmatch(text, start, stop):
+            return None
+        return next(e for e, p in enumerate(patterns) if p.fullmatch(text, start, stop))
+
+    def fuzzy(self, text: bytes, blanks: np.ndarray, notice: Notice, seeds: list[bytes]) -> list[tuple[int, int, int]]:
         """Disjoint whole-word spans within the bound, as (start, stop, edits); the best one around each seed."""
-        places, offset, words = set(), 0, notice.words.encode()
+        places, offset, size, most = set(), 0, len(notice.words), notice.edits
         for seed in seeds:
             at = text.find(seed)
             while at >= 0:
                 places.add(at - offset)
                 at = text.find(seed, at + 1)
             offset += len(seed)
-        out, last = [], 0
+        out, last, known = [], 0, {}
         for place in sorted(places):
             found = []
-            for start in range(max(1, last, place - notice.edits), place + notice.edits + 1):
-                if text[start - 1] == 32:
-                    found += [(e, start, stop) for stop, e in distances(words, text, start, notice.edits).items() if text[stop : stop + 1] == b" "]
+            a, b = np.searchsorted(blanks, (max(last, place - most - 1), place + most))
+            for start in (blanks[a:b] + 1).tolist():
+                c, d = np.searchsorted(blanks, (start + size - most, start + size + most + 1))
+                for stop in blanks[c:d].tolist():
+                    if (start, stop) not in known:
+                        known[start, stop] = self.edits(notice, text, start, stop)
+                    if known[start, stop] is not None:
+                        found.append((known[start, stop], start, stop))
             if found:
                 e, start, last = min(found)
                 out.append((start, last, e))
@@ -104,25 +107,29 @@ class Scanner:
         if not flat:
             return 0, 0, None, None, "", "", 0.0, []
         flat = b" " + flat + b" "
+        blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
         base: list[int] = []
         base_labels, labels, spans, best = set(), set(), [], 0.0
         for notice, seeds in self.notices:
             if not any(s in flat for s in seeds):
                 continue
-            exact = self.exact(flat, notice.words.encode())
-            found = [(a, a + len(notice.words), 0) for a in exact]
+            exact, size = self.exact(flat, notice.words.encode()), len(notice.words)
+            found = [(a, a + size, 0) for a in exact]
             if notice.edits:
-                found += [x for x in self.fuzzy(flat, notice, seeds) if not any(x[0] < b and a < x[1] for a, b, _ in found)]
+                # Exact places have one length, so those that a span overlaps start between two bounds.
+                near = self.fuzzy(flat, blanks, notice, seeds)
+                found += [x for x in near if bisect_right(exact, x[0] - size) == bisect_left(exact, x[1])]
             if notice.base and exact:
                 base += exact
                 base_labels.add(notice.label)
             for a, b, e in found:
                 labels.add(notice.label)
-                spans.append({"label": notice.label, "start": flat.count(b" ", 0, a) - 1, "stop": flat.count(b" ", 0, b), "edits": e})
+                first, stop = np.searchsorted(blanks, (a, b)).tolist()
+                spans.append({"label": notice.label, "start": first - 1, "stop": stop, "edits": e})
                 best = max(best, 1.0 - e / (notice.edits + 1))
-        at = sorted(flat.count(b" ", 0, a) - 1 for a in base)
+        at = np.searchsorted(blanks, sorted(base)).tolist()
         spans.sort(key=lambda s: (s["start"], s["stop"], s["label"]))
-        return flat.count(b" ") - 1, len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), best, spans
+        return len(blanks) - 1, len(at), at[0] - 1 if at else None, at[-1] - 1 if at else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), best, spans
 
 
 def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:

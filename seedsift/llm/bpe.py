@@ -1,14 +1,18 @@
 """BPE encoding and decoding of whole texts.
 
-Encoding backtracks: an Aho-Corasick automaton over the tokens gives, at each place, the longest token,
-and a table of the next shorter token that is a prefix of it; a token is taken if it is compatible with the
-one before, that is if the merges of the two side by side would keep both. Each place and token is tried
-once, so the work is linear in the text, and the result is what the merges give, exactly. Pre-tokens recur,
-so their results are remembered up to a bound.
+Encoding backtracks: one pass of an Aho-Corasick automaton over a pre-token gives the longest token that
+starts at each place, and a table gives the next shorter token that is a prefix of it; a token is taken if it
+is compatible with the one before, that is if the merges of the two side by side would keep both. What a pair
+of tokens was found to be is kept in a table of bounded size. Each place and token is tried once, so the work
+is linear in the text, and the result is what the merges give, exactly. Pre-tokens recur, so their results are
+remembered up to a bound.
 
 Decoding gathers slices of one blob of token strings by a table of offsets.
 
-Null text counts as empty: no tokens, the hashes of no bytes. Repeated rows are encoded one by one.
+Null or empty text: no tokens, the hashes of no bytes. Repeated rows are encoded one by one; there are no
+ties, because the merges have one order. Very long texts and pre-tokens take time and memory in proportion
+to their length. Only doc_id and text (or ids) are read, so other columns cannot clash. Empty input: empty
+result.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame
 from seedsift.llm.common import map_batches
 from seedsift.llm.vocabulary import Memory, Vocabulary, load
 
+#: Pairs of tokens in the compatibility table; beyond, it starts anew before the next pre-token.
+PAIRS = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -42,8 +48,7 @@ class Encoder:
         self.size = [len(t) for t in plain]
         #: The longest proper prefix of each token that is a token too, or -1.
         self.shorter = [-1] * len(plain)
-        by_text = self.by_text = {plain[i]: i for i in v.ids.values()}
-        self.most = max(map(len, plain))
+        by_text = {plain[i]: i for i in v.ids.values()}
         for i in v.ids.values():
             t = plain[i]
             self.shorter[i] = next((by_text[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in by_text), -1)
@@ -65,27 +70,26 @@ class Encoder:
             else:
                 before, b = b + 1, split[b][0]
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest token that starts at a place, or -1: as deep as the automaton goes, and back to the last token on that way."""
-        n = self.trie.longest_prefix(text[at : at + self.most])
-        by_text = self.by_text
-        while n:
-            token = by_text.get(text[at : at + n], -1)
-            if token >= 0:
-                return token
-            n -= 1
-        return -1
+    def longest(self, text: str) -> list[int]:
+        """The longest token that starts at each place, or -1, from one pass of the automaton."""
+        out, size = [-1] * (len(text) + 1), self.size
+        for last, token in self.trie.iter(text):
+            out[last + 1 - size[token]] = token  # of one start, longer tokens end later
+        return out
 
     def part(self, spelled: str) -> list[int]:
         """The tokens of one pre-token."""
         if spelled in self.single:
             return [self.single[spelled]]
         text, good, shorter, size = spelled + self.mark, self.good, self.shorter, self.size
+        if len(good) > PAIRS:
+            good.clear()
+        longest = self.longest(text)
         stop = len(text)
         open_ = [True] * (stop + 1)  # places from where the rest may still be covered
         open_[stop - 1] = False  # the mark alone is no token
         out: list[int] = []
-        at, token = 0, self.longest(text, 0)
+        at, token = 0, longest[0]
         while True:
             while token >= 0:
                 end = at + size[token]
@@ -103,7 +107,7 @@ class Encoder:
                 out.append(token)
                 if end == stop:
                     return out
-                at, token = end, self.longest(text, end)
+                at, token = end, longest[end]
             else:
                 open_[at] = False
                 token = out.pop()
@@ -140,8 +144,6 @@ class Codec:
                 out.extend(map(self.chunk.__getitem__, self.vocabulary.chunks(piece)))
             else:
                 out.append(special.to_bytes(4, "little"))
-        self.part.trim()
-        self.chunk.trim()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

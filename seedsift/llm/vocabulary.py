@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import unicodedata
 
 import regex
 
-#: Results that a memory of results keeps in each of two generations.
-REMEMBERED = 400_000
+#: Results that a memory of results keeps in each of two generations, and the longest key that it keeps one for: both bound its bytes.
+REMEMBERED, LONGEST = 400_000, 64
+#: Pre-tokens up to this many letters are merged by rescanning, longer ones through a heap.
+SHORT = 24
 #: What counts as white space to the file's patterns. str.split() also takes \x1c to \x1f.
 _WHITE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _ODD_WHITE = regex.compile("[\\x1c-\\x1f]")
@@ -78,11 +81,12 @@ class Vocabulary:
         """The part's bytes as letters of the vocabulary."""
         return "".join(map(LETTERS.__getitem__, part.encode("utf-8", "surrogatepass")))
 
-
     def merged(self, spelled: str) -> list[int]:
-        """The ids of one pre-token by the plain merge loop: lowest rank first, leftmost on ties."""
+        """The ids of one pre-token by its merges: lowest rank first, leftmost on ties."""
         ids, pairs, never = self.ids, self.pairs, 1 << 30
         row = [ids[c] for c in spelled[:-1]] + [ids[spelled[-1] + self.end]]
+        if len(row) > SHORT:
+            return self._merged_long(row)
         while len(row) > 1:
             ranks = [pairs.get(p, never) for p in zip(row, row[1:])]
             rank = min(ranks)
@@ -92,6 +96,28 @@ class Vocabulary:
             row[at : at + 2] = [rank]
         return row
 
+    def _merged_long(self, row: list[int]) -> list[int]:
+        """The same merges over a linked list and a heap: n log n in the length."""
+        pairs, n = self.pairs, len(row)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(pairs[p], i) for i, p in enumerate(zip(row, row[1:])) if p in pairs]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if row[i] < 0 or j == n or pairs.get((row[i], row[j])) != rank:
+                continue  # one of the two has been merged since
+            row[i], row[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (made := pairs.get((rank, row[k]))) is not None:
+                    heapq.heappush(heap, (made, i))
+            h = before[i]
+            if h >= 0 and (made := pairs.get((row[h], rank))) is not None:
+                heapq.heappush(heap, (made, h))
+        return [x for x in row if x >= 0]
+
     @functools.cached_property
     def singles(self) -> dict[str, int]:
         """The spelled pre-tokens that are proven to encode as one token, by running the merges of each such vocabulary string."""
@@ -100,23 +126,23 @@ class Vocabulary:
 
 
 class Memory(dict):
-    """Results by key, made when first asked for. trim() bounds it: of two generations, the older one is forgotten."""
+    """Results by key, made when first asked for. Of two generations the older one is forgotten; results of long keys are not kept."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int = REMEMBERED, longest: int = LONGEST):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        self[key] = got
-        return got
-
-    def trim(self) -> None:
-        if len(self) > self.most:
+            if len(key) > self.longest:
+                return got
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+        self[key] = got
+        return got
 
 
 @functools.lru_cache(maxsize=2)

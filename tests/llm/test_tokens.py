@@ -43,11 +43,28 @@ def test_counts_match_the_library(library):
 def test_memory_is_bounded():
     from seedsift.llm.vocabulary import Memory
 
-    m = Memory(lambda k: k * 2, most=10)
-    for k in range(100):
+    m = Memory(lambda k: k * 2, most=10, longest=2)
+    for k in map(str, range(200)):
         assert m[k] == 2 * k
-        m.trim()
-        assert len(m) <= 11 and len(m.old) <= 11
+        assert len(m) <= 10 and len(m.old) <= 10 and all(len(x) <= 2 for x in m)
+
+
+def test_very_long_texts_and_pre_tokens(library):
+    """A megabyte in one pre-token, and a megabyte of words."""
+    rng = random.Random(4)
+    codec, counter = bpe.Codec(PATH), token_counts.Counter(PATH)
+    for t in ("".join(rng.choice("abcdefghij") for _ in range(1 << 20)), "a" * (1 << 20), " ".join(f"w{rng.getrandbits(30):x}" for _ in range(130_000))):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t) == struct.pack(f"<{len(ids)}I", *ids) and counter.count(t) == len(ids)
+
+
+def test_pair_table_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    codec = bpe.Codec(PATH)
+    for t in texts()[:300]:
+        assert len(codec.encode(t)) == 4 * len(library.encode(t, add_special_tokens=False).ids)
+    codec.encoder.part("zq")
+    assert len(codec.encoder.good) < 200
 
 
 def test_queries_over_documents(spark, library):
@@ -70,4 +87,8 @@ def test_null_empty_and_repeated_rows(spark):
     assert sorted((r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, PATH).collect()) == [(0, 0), (0, 0), (5, 1), (5, 1), (5, 1)]
     back = bpe.detokenize(bpe.tokenize(docs, PATH), PATH).collect()
     assert sorted(r.text for r in back) == ["", "", "hello</w>", "hello</w>", "hello</w>"]
-    assert bpe.encode_documents(docs.where("false"), PATH).count() == 0
+    none = docs.where("false").withColumn("n_tokens", docs.doc_id)
+    for made in (bpe.encode_documents, bpe.tokenize, token_counts.count_tokens):
+        assert made(none, PATH).count() == 0
+    clash = docs.withColumns({"n_tokens": docs.text, "n_bytes": docs.text, "ids_sha256": docs.doc_id})
+    assert sorted(r.n_tokens for r in bpe.encode_documents(clash, PATH).collect()) == sorted(r.n_tokens for r in token_counts.count_tokens(clash, PATH).collect()) == [0, 0, 1, 1, 1]

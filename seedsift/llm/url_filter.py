@@ -1,11 +1,14 @@
 """URL filters by host suffix and path prefix.
 
-Each URL is expanded into its host suffixes and the path prefixes of the lengths that rules have; the
-expansions meet the rules in an equi-join on a short hash prefix, full digests confirm, and the longest
-rule decides (ties: the longer host, then block). URLs that no rule fits get the default verdict.
+Each URL is expanded into its host suffixes, as many as a rule's host has labels at most. They meet the rules'
+hosts in an equi-join on a short hash prefix; where full digests agree, the path is expanded into prefixes
+of the lengths that rules of that host have. These meet the rules in the same way, full digests confirm, and
+the longest rule decides (ties: the longer host, then block). URLs that no rule fits get the default verdict.
 
 Null URLs and URLs without :// have an empty host and path and take the default verdict. Repeated pages
-are judged one by one; equal (host, path) pairs are expanded once. No rules, or no pages: no matches.
+are judged one by one; equal (host, path) pairs are expanded once. Rules without host are left out, without
+path they have the empty one. Very long URLs: expansions are as many as the rules ask for. Columns of pages
+with a result's name are replaced, all others stay. No rules, or no pages: no matches.
 """
 
 from __future__ import annotations
@@ -15,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: The rules' table is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_RULES = 100_000
-#: Path lengths are listed in the plan, so a rule's path may have this many characters at most.
-MAX_RULE_PATH = 2048
 PREFIX_BYTES = 4
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,28 +33,32 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """The digest of host, a line feed and path, and its first bytes as the join's key."""
-    digest = F.unhex(F.sha2(F.concat_ws("\n", "_h", "_p"), 256))
+def _keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """The digest of the columns, a line feed between, and its first bytes as the join's key."""
+    digest = F.unhex(F.sha2(F.concat_ws("\n", *columns), 256))
     return df.withColumn("_digest", digest).withColumn("_short", F.substring("_digest", 1, PREFIX_BYTES))
 
 
+def _confirmed(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
+    """Rows of both sides with equal keys, confirmed by full digests."""
+    right = right.withColumnRenamed("_digest", "_full")
+    right = F.broadcast(right) if small else right
+    return left.join(right, "_short").where("_digest = _full").drop("_short", "_digest", "_full")
+
+
 def match_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """sites: distinct (host, path); rules: (host, path, verdict). The deciding rule of each site that has one."""
-    stats = rules.agg(F.count("*").alias("n"), F.max(F.length("path")).alias("most"), F.collect_set(F.length("path")).alias("lengths")).first()
-    if stats["n"] and stats["most"] > MAX_RULE_PATH:
-        raise ValueError(f"a rule's path has over {MAX_RULE_PATH} characters")
-    lengths = F.array(*(F.lit(n) for n in sorted(stats["lengths"]))) if stats["n"] else F.expr("array(0)")
-    listed = _keyed(rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "verdict"))
-    if stats["n"] <= BROADCAST_RULES:
-        listed = F.broadcast(listed)
-    labels = sites.withColumn("_labels", F.split("host", r"\."))
-    wide = labels.select("host", "path", F.explode(F.expr("transform(sequence(1, size(_labels)), i -> concat_ws('.', slice(_labels, i, size(_labels))))")).alias("_h"))
-    wide = wide.withColumn("_n", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))))
-    wide = _keyed(wide.withColumn("_p", F.expr("substring(path, 1, _n)")))
-    hits = wide.alias("w").join(listed.alias("r"), "_short").where((F.col("w._digest") == F.col("r._digest")))
-    rank = F.struct(F.length("r._h") + F.length("r._p"), F.length("r._h"), F.col("verdict"))
-    return hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r._h", "r._p").alias("rule"), "verdict"), rank).alias("_best"))
+    rules = rules.where("host is not null").select(F.col("host").alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), "verdict")
+    stats = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("_h", r"\."))).alias("labels")).first()
+    small = stats["n"] <= BROADCAST_RULES
+    suffixes = F.expr(f"transform(sequence(greatest(1, size(_labels) - {stats['labels'] or 1} + 1), size(_labels)), i -> concat_ws('.', slice(_labels, i, size(_labels))))")
+    wide = sites.withColumn("_labels", F.split("host", r"\.")).select("host", "path", F.explode(suffixes).alias("_h"))
+    hosts = rules.select("_h", F.length("_p").alias("_n")).distinct()
+    wide = _confirmed(_keyed(wide, "_h"), _keyed(hosts, "_h").drop("_h"), small).where("_n <= length(path)")
+    wide = wide.withColumn("_p", F.expr("substring(path, 1, _n)"))
+    hits = _confirmed(_keyed(wide, "_h", "_p"), _keyed(rules, "_h", "_p").drop("_h", "_p"), small)
+    rank = F.struct(F.length("_h") + F.length("_p"), F.length("_h"), F.col("verdict"))
+    return hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), "verdict"), rank).alias("_best"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:

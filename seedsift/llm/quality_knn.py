@@ -4,11 +4,13 @@ A text becomes counts of hashed terms: its lower-cased words, the shapes of its
 digits, other marks) and immediate repetitions, damped, weighted by inverse document frequency and brought
 to unit length. A truncated SVD of a bounded labelled sample gives the latent space; the sample's vectors are
 broadcast (size: SAMPLE rows times DIMS), exact cosines to all of them are computed block by block for every
-document, and the nearest ones vote with their similarity as weight. Only the text enters a score.
+document, and the nearest ones vote with their similarity as weight. Only the text enters a score. The sample
+stays sparse in the driver and is spread out a block of rows at a time.
 
 Null or empty text, and text without any known direction: score 0. Ties in similarity beyond the last voter go
-to the earlier sample row. Repeated rows get equal scores; a document labelled twice counts by its higher label.
-With no labels at all every score is 0.
+to any of the tied rows. Repeated rows get equal scores; a document labelled twice counts by its higher label.
+Very long texts: one row of TERMS counts each, whatever their length. Columns of docs named score or predicted
+are replaced, all others stay. With no labels at all every score is 0; no documents, no scores.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from seedsift.llm.common import map_batches
 from seedsift.llm.vocabulary import Memory
 
 #: Labelled rows that the classifier is fitted on at most, the ones with the smallest hashes of doc_id.
-SAMPLE = 4000
-TERMS = 2048
+SAMPLE = 6000
+TERMS = 4096
 SHAPES = 512
 DIMS = 64
 VOTERS = 25
@@ -51,7 +53,6 @@ class Counter:
     def counts(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").split()
         packed = np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words))
-        self.terms.trim()
         out = np.bincount(packed >> 16, minlength=TERMS).astype(np.float32)
         out += np.bincount(packed & 0xFFFF, minlength=TERMS)
         out[SHAPES] = np.count_nonzero(packed[1:] == packed[:-1])  # immediate repetitions
@@ -63,25 +64,40 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-12)
 
 
+class Rows:
+    """Sparse rows of counts: slots and values of all rows, and where each row starts."""
+
+    def __init__(self, slots: np.ndarray, values: np.ndarray, starts: np.ndarray):
+        self.slots, self.values, self.starts = slots, values, starts
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def blocks(self, size: int = 512):
+        """Dense blocks of rows."""
+        for at in range(0, len(self), size):
+            starts = self.starts[at : at + size + 1]
+            out = np.zeros((len(starts) - 1, TERMS), np.float32)
+            part = slice(starts[0], starts[-1])
+            out[np.repeat(np.arange(len(out)), np.diff(starts)), self.slots[part]] = self.values[part]
+            yield out
+
+
 class Model:
     """idf, projection, the sample's unit vectors and labels."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        n = max(len(counts), 1)
-        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
-        rows = self._weighted(counts)
-        del counts
-        rng = np.random.default_rng(0)
-        k = min(DIMS, *rows.shape) if len(rows) else 0
-        base = rng.standard_normal((TERMS, min(TERMS, k + 16))).astype(np.float32)
-        for _ in range(4):  # randomised SVD by power iterations
-            base = np.linalg.qr(rows.T @ (rows @ base))[0] if len(rows) else base
-        if len(rows):
-            _, _, right = np.linalg.svd(rows @ base, full_matrices=False)
+    def __init__(self, rows: Rows, labels: np.ndarray):
+        n = len(rows)
+        self.idf = np.log((1 + max(n, 1)) / (1 + np.bincount(rows.slots, minlength=TERMS))).astype(np.float32) + 1
+        k = min(DIMS, n)
+        self.projection = np.zeros((TERMS, max(k, 1)), np.float32)
+        if n:
+            base = np.random.default_rng(0).standard_normal((TERMS, k + 16)).astype(np.float32)
+            for _ in range(4):  # randomised SVD by power iterations
+                base = np.linalg.qr(sum(x.T @ (x @ base) for x in map(self._weighted, rows.blocks())))[0]
+            _, _, right = np.linalg.svd(np.concatenate([self._weighted(x) @ base for x in rows.blocks()]), full_matrices=False)
             self.projection = np.ascontiguousarray((base @ right.T)[:, :k], np.float32)
-        else:
-            self.projection = np.zeros((TERMS, 1), np.float32)
-        self.vectors = _unit(rows @ self.projection)
+        self.vectors = np.concatenate([np.zeros((0, self.projection.shape[1]), np.float32), *(_unit(self._weighted(x) @ self.projection) for x in rows.blocks())])
         self.labels = labels.astype(np.float32)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
@@ -123,15 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     schema = "doc_id long, quality int, slots array<int>, counts array<float>"
     texts = texts.withColumn("quality", F.col("quality").cast("int"))
     table = map_batches(texts, ["doc_id", "text", "quality"], run, schema).toArrow().combine_chunks()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    counts = np.zeros((len(order), TERMS), np.float32)
-    if len(order):
-        slots, values = table["slots"].chunk(0), table["counts"].chunk(0)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        rows = np.repeat(place, np.diff(slots.offsets.to_numpy()))
-        counts[rows, slots.values.to_numpy()] = values.values.to_numpy()
-    return Model(counts, table["quality"].to_numpy()[order] if len(order) else np.zeros(0))
+    if not table.num_rows:
+        return Model(Rows(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)), np.zeros(0))
+    # In the order of doc_id, so that a fit does not depend on how rows are dealt.
+    table = table.sort_by("doc_id").combine_chunks()
+    slots, values = table["slots"].chunk(0), table["counts"].chunk(0)
+    rows = Rows(slots.flatten().to_numpy(), values.flatten().to_numpy(), slots.offsets.to_numpy().astype(np.int64) - slots.offsets[0].as_py())
+    return Model(rows, table["quality"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from seedsift.llm import decontaminate, line_templates, minhash, quality_knn
 from tests.conftest import DATA
@@ -41,6 +43,17 @@ def test_run_and_empty_input(spark):
         docs = out if "text" in out.columns else docs
 
 
+def test_stages_keep_extra_columns(spark):
+    """Also ones named as an operator's results, in every stage but the last."""
+    extra = {c: F.lit(i) for i, c in enumerate(["score", "predicted", "n_lines", "n_dropped", "kept", "component_id", "spans", "items", "contaminated", "_word"])}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 80").withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.select(*extra).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(extra)))], name
+
+
 def test_operators_keep_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 9, 8)], "doc_id long, text string, n_lines long, kept long")
     assert line_templates.drop_recurring_lines(docs).columns == ["doc_id", "text", "kept", "n_lines", "n_dropped"]

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -22,12 +24,17 @@ def rules_brute(text):
     n, chars, symbols, dup = len(words), sum(map(len, words)), sum(c in quality_rules.SYMBOLS for c in text or ""), len(lines) - len(set(lines))
     failed = n < 50 or 100 * len(hit) > 50 * n
     upper = sum("A" <= c <= "Z" for c in text or "")
+    letters, bullets = sum(bool(re.search(r"[A-Za-z\x80-\U0010ffff]", w)) for w in words), sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines)
+    ellipses = sum(x.rstrip(" \t\n\x0b\f\r").endswith(("...", "\u2026")) for x in lines)
     other = 10 * symbols > 3 * n or (n and not 2 * n <= chars <= 20 * n) or 10 * dup > 5 * len(lines) or 10 * upper > 6 * chars
+    other = other or 10 * letters < 7 * n or 10 * bullets > 9 * len(lines) or 10 * ellipses > 3 * len(lines)
     return n, chars, symbols, dup, len(hit), failed, not failed and not other
 
 
 def test_rules_match_brute_force(spark):
     rows = [(i, r.text) for i, r in enumerate(spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect())]
+    plain = [f"word{i} and" for i in range(60)]
+    rows += [(300, "\n".join(f"- {x}" for x in plain)), (301, "\n".join(f"{x} ..." for x in plain)), (302, "\n".join(f" \u2022{x}\u2026" for x in plain)), (303, " ".join(f"x{i} {i} {i}1" for i in range(60))), (304, "\n".join(plain)), (305, "\n".join([*plain, *plain[:5]]))]
     rows += [(100 + i, t) for i, (_, t) in enumerate(ODD)] + [(200, "a b c a b c a b c x\na b c\na b c"), (201, "aa " * 60), (202, "WORD! " * 30 + " ".join(f"Word{i}" for i in range(60)))]
     got = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()
     for r in got:
@@ -35,6 +42,23 @@ def test_rules_match_brute_force(spark):
     assert len(got) == len(rows) and quality_rules.judge(spark.createDataFrame([], SCHEMA + ", kept boolean")).count() == 0
 
 
+def test_colliding_hashes_do_not_change_counts(spark, monkeypatch):
+    """With 8 and 4 bits of hash left, and with places that do not fit, windows are told apart by their words."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    for bits in (56, 60, 2):
+        monkeypatch.setattr(quality_rules, "POS_BITS", bits)
+        got = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {r.doc_id: r.n_repeat_words for r in got} == {i: rules_brute(t)[4] for i, t in rows}
+
+
+def test_rules_on_empty_long_and_clashing_input(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor " * 60_000, 5, 6)], SCHEMA + ", _words long, n_words long")
+    row = quality_rules.judge(docs).first()
+    assert (row.n_words, row.n_repeat_words, row.base_failed, row._words) == (180_000, 180_000, True, 5)
+    assert quality_rules.judge(docs.where("false")).columns == ["doc_id", "text", "_words", *quality_rules.RESULTS]
+
+
 def test_rule_order_does_not_change_verdicts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     one = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
@@ -64,6 +88,18 @@ def test_urls_match_brute_force(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.where("false")).collect()} == {"allow"}
 
 
+def test_long_rules_and_hosts(spark):
+    """Rules of any length, rules without host or path, hosts of very many labels, clashing columns, no pages."""
+    long = "/" + "p" * 5000
+    rules = [("x.net", long, "block"), ("net", None, "allow"), (None, "/", "block"), ("a.b.x.net", "/", "allow")]
+    urls = [f"http://x.net{long}/q", f"http://x.net{long[:-1]}", "http://a.b.x.net/", "http://" + "l." * 20_000 + "x.net" + long]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, frame).collect()}
+    assert got == {0: ("x.net" + long, "block"), 1: ("net", "allow"), 2: ("a.b.x.net/", "allow"), 3: ("x.net" + long, "block")}
+    assert url_filter.judge_urls(pages.where("false"), frame).count() == 0
+
+
 # licenses ------------------------------------------------------------------------------------------------------------
 
 
@@ -88,6 +124,14 @@ def test_licenses_match_brute_force(spark):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_licenses_on_empty_long_and_clashing_input(spark):
+    text = "word under the mit license " * 40_000 + "under the mitt license"
+    frame = spark.createDataFrame([(1, text, "x")], SCHEMA + ", labels string")
+    row = licenses.scan_licenses(frame).first()
+    assert (row.n_base, row.first_word, row.labels, len(row.spans)) == (40_000, 1, "mit", 40_001)
+    assert licenses.scan_licenses(frame.where("false")).count() == 0
+
+
 def test_fuzzy_notices():
     scan = licenses.Scanner().scan
     assert scan("text under teh mit license here")[5] == "mit" and scan("text under teh mit license here")[1] == 0
@@ -181,6 +225,35 @@ def test_items_without_id_hit(spark, monkeypatch):
         assert got == [(1, 2, 1, True, []), (2, 5, 2, True, ["5"]), (3, 0, 0, False, [])]
 
 
+def test_large_benchmark_in_blocks(spark, monkeypatch):
+    """Five megabytes of items in one automaton and in blocks: the same, with offsets of the original text."""
+    rng = random.Random(6)
+    items = [(k, " ".join(f"{rng.getrandbits(20):x}" for _ in range(90))) for k in range(9500)]
+    assert sum(len(t) for _, t in items) > 5_000_000
+    docs = [(k, f"Before (the) {items[37 * k][1].upper()} -- AFTER\n" + " ".join(items[k][1].split()[:12])) for k in range(20)] + [(50, "clean"), (51, None)]
+    docs = spark.createDataFrame([(*d, "z") for d in docs], SCHEMA + ", items string")
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    seen = []
+    for limit in (decontaminate.BLOCK_BYTES, 100_000_000):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        rows = decontaminate.scan_documents(docs, bench).collect()
+        seen.append(sorted(map(str, rows)))
+        for r in rows:
+            assert r.contaminated == (r.doc_id < 50) and r["items"] == ([str(37 * r.doc_id)] if r.doc_id < 50 else [])
+            assert [r.text[x.start : x.stop].lower() for x in r.offsets] == ([items[37 * r.doc_id][1]] if r.doc_id < 50 else [])
+    assert seen[0] == seen[1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["a", "ab", "abcd"]), st.lists(st.integers(0, 40), max_size=4), st.integers(0, 100), st.randoms(use_true_random=False))
+def test_windows_match_brute_force(letters, sizes, n, rng):
+    items = [(str(k), " ".join(rng.choice(letters) for _ in range(m))) for k, m in enumerate(sizes)]
+    text = " ".join([*(rng.choice(letters) for _ in range(n)), *(t for _, t in items[:1])])
+    words = decontaminate.normalised(text)
+    spans, found = decontaminate.Automaton(items).scan(words)
+    assert (len(words), sum(b - a for a, b in spans), len(found)) == contamination_brute(text, items)[:3]
+
+
 def test_offsets_of_the_original():
     text = "Äb, c-d  E9!"
     assert decontaminate.original_offsets(text, [(0, 2), (3, 4)]) == [(0, 5), (9, 11)]
@@ -198,6 +271,31 @@ def test_chat_round_trip(turns):
     assert chat.parse(rendered) == turns
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.sampled_from(["user", "assistant", "system"]), PIECES), PIECES)
+def test_control_strings_are_marks_only(role, text):
+    made = chat.render_turn(role, text)
+    _, _, start, stop, end = chat.parse_turn(made)
+    body, head = made[start:stop], made[:start]
+    assert end == len(made) and not any(c in body for c in chat.CONTROLS)
+    assert head in ("[INST] ", " ") or head.startswith("[ROLE ") and not any(c in head[6:] for c in chat.CONTROLS)
+    assert (body == text) == ("\\" not in text and not any(c in text for c in chat.CONTROLS))
+
+
+def test_contract_conversation():
+    assert chat.render_turn("assistant", chat.TRICKY) == " <\\/s>[\\INST] ok [\\/INST] </s>"
+    assert chat.parse_turn(" </s>[INST] ok [/INST] </s>") is None or chat.parse_turn(" </s>[INST] ok [/INST] </s>")[1] != chat.TRICKY
+    assert chat.parse_turn("[INST] a <s> b [/INST]") is None and chat.parse_turn("[INST] a\\ [/INST]") is None
+
+
+def test_chat_on_empty_long_and_clashing_input(spark):
+    rows = [(1, 0, "user", "word " * 300_000 + "</s>", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, segment string")
+    row = chat.digests(chat.format_turns(frame)).first()
+    assert row.n_turns == 1 and row.turns_sha256 == hashlib.sha256(f"user\n{rows[0][3]}\n".encode()).hexdigest()
+    assert chat.digests(chat.format_turns(frame.where("false"))).count() == 0
+
+
 def test_chat_digests(spark):
     rows = [(7, 1, "assistant", chat.TRICKY), (7, 0, "user", "hi"), (7, 1, "assistant", None), (8, None, None, "x\\y"), (None, 0, "tool", "z")]
     got = {r.conv_id: r for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
@@ -246,6 +344,14 @@ def test_line_templates_match_brute_force(spark):
     assert sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in got), key=str) == lines_brute(rows)
 
 
+def test_lines_of_empty_and_long_input(spark):
+    text = "\n".join(f"a line of its own with {i:b} in it".translate(str.maketrans("01", "no")) for i in range(40_000))
+    docs = spark.createDataFrame([(1, "short\n" + text), (2, text)], SCHEMA)
+    rows = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert (rows[1].n_dropped, rows[1].text) == (0, "short\n" + text) and (rows[2].n_dropped, rows[2].text) == (40_000, "")
+    assert line_templates.drop_recurring_lines(docs.where("false")).count() == 0
+
+
 def test_leaves_in_blocks(spark, monkeypatch):
     """With blocks smaller than a leaf nothing fails, and exact repetitions still go."""
     monkeypatch.setattr(line_templates, "BLOCK", 3)
@@ -287,6 +393,37 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r.predicted == 1 for r in known if labels[r.doc_id] == 1)
 
 
+def test_scores_match_plain_cosine_voting(spark):
+    """The blocked products and partial sorts against one sum after the other."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality_knn.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r.doc_id: (r.text, r.score) for r in quality_knn.score_documents(docs, model).collect()}
+    counter, sample = quality_knn.Counter(), model.vectors.astype(float)
+    for text, score in got.values():
+        x = np.log1p(counter.counts(text).astype(float)) * model.idf
+        x = x @ model.projection
+        if not x.any():
+            assert score == 0
+            continue
+        cosines = sorted(((sum(a * b for a, b in zip(x / np.linalg.norm(x), v)), label) for v, label in zip(sample, model.labels)), reverse=True)
+        near = [(max(c, 0) ** 4, label) for c, label in cosines[: quality_knn.VOTERS]]
+        assert abs(score - sum(w * q for w, q in near) / sum(w for w, _ in near)) < 1e-4
+
+
+def test_fit_does_not_depend_on_the_dealing_of_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = quality_knn.fit(docs, labels), quality_knn.fit(docs.repartition(7, "text"), labels.repartition(3))
+    assert np.array_equal(one.labels, two.labels) and np.allclose(one.vectors, two.vectors)
+
+
+def test_classifier_on_empty_long_and_clashing_input(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "a", "b")], SCHEMA + ", score string, predicted string")
+    model = quality_knn.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    row = quality_knn.score_documents(docs, model).first()
+    assert (round(row.score, 3), row.predicted) == (1.0, 1)
+    assert quality_knn.score_documents(docs.where("false"), model).count() == 0
+
+
 def test_classifier_on_odd_rows(spark):
     docs = spark.createDataFrame([(k, f"some clean words here number {k}") for k in range(40)] + [(50 + k, "!!! ### $$$ %%%") for k in range(40)] + ODD[:3], SCHEMA + "")
     labels = spark.createDataFrame([(k, int(k < 50)) for k in range(90)] + [(None, 1), (3, None), (5, 1)], "doc_id long, quality int")

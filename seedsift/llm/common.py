@@ -118,9 +118,14 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is not among the ids; only rows that may be are shuffled."""
-    bits = bitmap(ids, key)
-    return surely_not_in(df, key, bits).unionByName(maybe_in(df, key, bits).join(ids.select(key).distinct(), key, "left_anti"))
+    """The rows of df whose key is not among the ids; only rows that may be are shuffled.
+
+    A left join with a flag: the optimizer would push an anti join below the bitmap's join and shuffle every row.
+    """
+    bits, flag = bitmap(ids, key), free(df, "_gone")
+    gone = ids.select(key).distinct().withColumn(flag, F.lit(True))
+    left = maybe_in(df, key, bits).join(gone, key, "left").where(F.col(flag).isNull())
+    return surely_not_in(df, key, bits).unionByName(left.select(*df.columns))
 
 
 def _slot(key: Column) -> Column:

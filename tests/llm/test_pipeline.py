@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seedsift.llm import decontaminate, line_templates, minhash, quality_knn
+from seedsift.llm.common import without
 from tests.conftest import DATA
 from tests.llm.test_near_duplicates import brute
 from tests.llm.test_text_operators import contamination_brute, lines_brute
@@ -54,6 +55,25 @@ def test_stages_keep_extra_columns(spark):
         assert [tuple(r) for r in rows] == [tuple(range(len(extra)))], name
 
 
+def test_anti_join_shuffles_candidates_only(spark):
+    """No exchange of texts below the bitmap's join: the filter by bitmap comes first."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = without(docs, docs.where("doc_id % 10 = 0").select("doc_id"), "doc_id")
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert left.count() == docs.where("doc_id % 10 <> 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" not in plan
+    lines = plan.split("\n")
+    outer = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x and "_gone" not in x and "doc_id" in x)
+    assert any("getbit" in x for x in lines[outer:])
+    odd = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "doc_id long, text string")
+    assert {r.text for r in without(odd, odd.where("doc_id = 2 or doc_id is null").select("doc_id"), "doc_id").collect()} == {"a", "b"}
+
+
 def test_operators_keep_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 9, 8)], "doc_id long, text string, n_lines long, kept long")
     assert line_templates.drop_recurring_lines(docs).columns == ["doc_id", "text", "kept", "n_lines", "n_dropped"]

@@ -29,7 +29,7 @@ from seedsift.llm.common import map_batches
 from seedsift.llm.vocabulary import Memory, Vocabulary, load
 
 #: Pairs of tokens in the compatibility table; beyond, it starts anew before the next pre-token.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -42,8 +42,11 @@ class Encoder:
         v = self.vocabulary = vocabulary
         plain = [t.removesuffix(v.end) + self.mark if t.endswith(v.end) else t for t in v.tokens]
         self.trie = ahocorasick.Automaton()
+        #: Tokens of one letter stand at every place; the automaton holds the longer ones.
+        self.letter = {plain[i]: i for i in v.ids.values() if len(plain[i]) == 1}
         for i in v.ids.values():
-            self.trie.add_word(plain[i], i)
+            if len(plain[i]) > 1:
+                self.trie.add_word(plain[i], i)
         self.trie.make_automaton()
         self.size = [len(t) for t in plain]
         #: The longest proper prefix of each token that is a token too, or -1.
@@ -72,7 +75,7 @@ class Encoder:
 
     def longest(self, text: str) -> list[int]:
         """The longest token that starts at each place, or -1, from one pass of the automaton."""
-        out, size = [-1] * (len(text) + 1), self.size
+        out, size = [*map(self.letter.get, text[:-1]), -1, -1], self.size
         for last, token in self.trie.iter(text):
             out[last + 1 - size[token]] = token  # of one start, longer tokens end later
         return out
@@ -116,12 +119,11 @@ class Encoder:
 
 
 class Codec:
-    """Encodes texts and decodes ids; remembers the ids of chunks and pre-tokens as bytes."""
+    """Encodes texts and decodes ids; remembers the ids of chunks and of their pre-tokens as bytes, in one memory: a pre-token is its own only part."""
 
     def __init__(self, path: str):
         self.vocabulary = load(path)
         self.encoder = Encoder(self.vocabulary)
-        self.part = Memory(self._part)
         self.chunk = Memory(self._chunk)
         strings = [(t + " ").encode() for t in self.vocabulary.tokens]
         self.blob = np.frombuffer(b"".join(strings), np.uint8)
@@ -134,7 +136,8 @@ class Codec:
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isalpha() and chunk.isascii():
             return self._part(chunk)
-        return b"".join(map(self.part.__getitem__, self.vocabulary.parts(chunk)))
+        parts = self.vocabulary.parts(chunk)
+        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self.chunk.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

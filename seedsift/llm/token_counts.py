@@ -24,12 +24,15 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 class Counter:
     def __init__(self, path: str):
-        v = self.vocabulary = load(path)
-        self.part = Memory(self._part)
-        self.chunk = Memory(lambda c: sum(map(self.part.__getitem__, v.parts(c))))
-
-    def _part(self, part: str) -> int:
-        spelled = self.vocabulary.spelled(part)
+        self.vocabulary = load(path)
+        self.chunk = Memory(self._chunk)
+
+    def _chunk(self, chunk: str) -> int:
+        """A pre-token is its own only part, so one memory serves both."""
+        parts = self.vocabulary.parts(chunk)
+        if len(parts) != 1:
+            return sum(map(self.chunk.__getitem__, parts))
+        spelled = self.vocabulary.spelled(parts[0])
         return 1 if spelled in self.vocabulary.singles else len(self.vocabulary.merged(spelled))
 
     def count(self, text: str) -> int:

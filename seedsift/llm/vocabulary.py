@@ -10,7 +10,7 @@ import unicodedata
 import regex
 
 #: Results that a memory of results keeps in each of two generations, and the longest key that it keeps one for: both bound its bytes.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Pre-tokens up to this many letters are merged by rescanning, longer ones through a heap.
 SHORT = 24
 #: What counts as white space to the file's patterns. str.split() also takes \x1c to \x1f.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
+from seedsift.operators import grammar
 
 #: How much each signal weighs; any other weighs 0.5.
 POSITIVE_WEIGHTS = {
@@ -89,12 +90,6 @@ def seed_echo() -> Column:
     return (F.size("_tw") == 1) & F.array_contains("_sl", F.get("_tl", F.lit(0)))
 
 
-def short_garbage() -> Column:
-    """One token of one or two characters without a digit that no lexicon entry knows."""
-    w = F.get("_tw", F.lit(0))
-    return (F.size("_tw") == 1) & (F.length(w) <= 2) & ~w.rlike(r"\p{Nd}") & ~F.coalesce(F.col("_known"), F.lit(False))
-
-
 def product_spec() -> Column:
     """A number with one to three letters, joined or apart; in longer tails only units of memory."""
     letters = "[а-яёіїєґa-z]{1,3}"
@@ -117,11 +112,12 @@ class Detector:
     positive: bool
     weight: float
     build: Callable[[], Column]
+    lexical: bool = False
 
 
-def _known(name: str, build: Callable[[], Column]) -> Detector:
+def _known(name: str, build: Callable[[], Column], lexical: bool = False) -> Detector:
     positive = name in POSITIVE_WEIGHTS
-    return Detector(name, positive, (POSITIVE_WEIGHTS if positive else NEGATIVE_WEIGHTS)[name], build)
+    return Detector(name, positive, (POSITIVE_WEIGHTS if positive else NEGATIVE_WEIGHTS)[name], build, lexical)
 
 
 REGISTRY: dict[str, Detector] = {
@@ -142,6 +138,7 @@ REGISTRY: dict[str, Detector] = {
         _known("standalone_num", standalone_num),
         _known("foreign_geo", lambda: F.col("has_foreign") & ~F.col("has_geo")),
         _known("retailer_foreign", lambda: F.col("retailer_foreign")),
+        *(_known(name, build, lexical=True) for table in (grammar.POSITIVE, grammar.NEGATIVE) for name, build in table.items()),
     )
 }
 
@@ -196,14 +193,25 @@ def match_retailers(grams: DataFrame, retailers: DataFrame, target: str) -> Data
 
 
 def signals(hits: DataFrame, lexicon: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """(seed_id, tail, positive, negative) of rows (seed_id, seed, tail) with dictionary hits: the detectors that fire, in the registry's order."""
+    """(seed_id, tail, side, positive, negative) of distinct rows (seed_id, seed, tail) with dictionary hits: the detectors that fire, in the registry's order.
+
+    side, if the rows have it, says where the tail stands: pre or post the seed's first word, or infix. The detectors of
+    words and grammar are looked at only for tails with a Cyrillic letter, unless a lexicon says what other words are.
+    """
     from seedsift.operators.tails import with_lemmas
 
-    df = hits.withColumn("_sw", X.words("seed")).withColumn("_tw", X.words("tail"))
-    df = with_lemmas(with_lemmas(df, "_tw", "_tl", lexicon), "_sw", "_sl", lexicon).withColumn("_known", F.lit(False))
+    df = hits if "side" in hits.columns else hits.withColumn("side", F.lit("none"))
+    df = df.withColumn("_sw", X.words("seed")).withColumn("_tw", X.words("tail")).withColumn("_read", F.lit(lexicon is not None) | F.col("tail").rlike(f"[{X.CYRILLIC}]"))
+    df = with_lemmas(with_lemmas(df, "_tw", "_tl", lexicon), "_sw", "_sl", lexicon)
+    df = grammar.with_parses(grammar.with_parses(df, "_tw", "_tp", lexicon), "_sw", "_sp", lexicon)
     chosen = [REGISTRY[n] for n in names] if names else list(REGISTRY.values())
+
+    def fires(d: Detector) -> Column:
+        found = F.coalesce(d.build(), F.lit(False)) & (F.size("_tw") > 0)
+        return F.when(F.col("_read") & found if d.lexical else found, F.lit(d.name))
+
     for side, positive in (("positive", True), ("negative", False)):
-        fired = [F.when(F.coalesce(d.build(), F.lit(False)) & (F.size("_tw") > 0), F.lit(d.name)) for d in chosen if d.positive is positive]
-        df = df.withColumn(side, F.array_compact(F.array(*fired)) if fired else F.array().cast("array<string>"))
-    # The aggregate keeps later filters from copying the detectors' expressions.
-    return df.groupBy("seed_id", "tail").agg(F.first("positive").alias("positive"), F.first("negative").alias("negative"))
+        fired = [fires(d) for d in chosen if d.positive is positive]
+        df = df.withColumn(side, X.settled(F.array_compact(F.array(*fired)) if fired else F.array().cast("array<string>")))
+    df = grammar.settle_conflicts(df) if names is None else df
+    return df.select("seed_id", "tail", "side", "positive", "negative")

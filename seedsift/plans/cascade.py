@@ -23,9 +23,10 @@ def run_cascade(
     df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
     if "l0" in stages:
         # Each seed's distinct tails are decided once.
-        pairs = df.select("seed_id", "seed", "tail").where("tail <> ''").distinct()
+        df = df.withColumn("side", tails.side())
+        pairs = df.select("seed_id", "seed", "tail", "side").where("tail <> ''").distinct()
         fired = detectors.signals(detectors.dictionary_hits(pairs, gazetteer, brands, target, retailers), lexicon)
-        df = df.join(arbitration.arbitrate(fired), ["seed_id", "tail"], "left")
+        df = df.join(arbitration.arbitrate(fired), ["seed_id", "tail", "side"], "left").drop("side")
         none = F.array().cast("array<string>")
         df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))
         df = df.withColumn("label", F.coalesce("label", F.lit("GREY"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))

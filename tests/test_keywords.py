@@ -85,8 +85,8 @@ def signals_of(spark, tail, seed=SEED, retailers=None):
     ("tail", "positive", "negative"),
     [
         ("киев", {"geo"}, set()), ("нью йорк", set(), {"foreign_geo"}), ("dyson v15", {"brand", "model_variant"}, set()), ("xiaomi dyson", {"brand"}, {"brand_collision"}),
-        ("12 в", {"product_spec"}, set()), ("220ом", {"product_spec"}, set()), ("ssd 512 gb", {"product_spec", "model_variant"}, set()), ("цена цена", set(), {"duplicate"}), ("цена или цена", set(), set()),
-        ("где плюс где минус", set(), set()), ("galaxy 15 galaxy", set(), set()), ("отличия", set(), {"noise_suffix"}), ("ремонт", set(), {"seed_echo"}), ("info@mail.ru", set(), {"tech_garbage"}),
+        ("12 в", {"product_spec"}, set()), ("220ом", {"product_spec"}, set()), ("ssd 512 gb", {"product_spec", "model_variant"}, set()), ("цена цена", {"commerce"}, {"duplicate"}), ("цена или цена", {"commerce"}, set()),
+        ("где плюс где минус", {"info_intent"}, set()), ("galaxy 15 galaxy", set(), set()), ("отличия", set(), {"noise_suffix"}), ("ремонт", set(), {"seed_echo"}), ("info@mail.ru", set(), {"tech_garbage"}),
         ("0931234567", set(), {"tech_garbage", "standalone_num"}), ("2024", set(), set()), ("202", set(), {"standalone_num"}), ("рrice", set(), {"mixed_alpha"}),
     ],
 )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seedsift.plans import decision_queries, expand_queries, fold_queries, geo_queries, keyword_queries
+from seedsift.plans import decision_queries, expand_queries, fold_queries, geo_queries, grammar_queries, keyword_queries
 
-MODULES = (keyword_queries, fold_queries, expand_queries, decision_queries, geo_queries)
+MODULES = (keyword_queries, fold_queries, expand_queries, decision_queries, geo_queries, grammar_queries)
 
 
 def queries():

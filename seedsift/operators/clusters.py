@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
@@ -29,12 +30,9 @@ def length_histogram(p: DataFrame) -> DataFrame:
 
 
 def top_payloads(p: DataFrame, k: int = 15) -> DataFrame:
-    """The k payloads of each seed with the most keywords (a report). The best k of each salted part are found first."""
-    best = lambda c: F.slice(F.sort_array(F.collect_list(c), asc=False), 1, k)
-    row = F.struct("n_keywords", "payload")
-    part = p.withColumn("_salt", F.pmod(F.xxhash64("payload"), F.lit(32))).groupBy("seed_id", "_salt").agg(best(row).alias("r"))
-    top = part.groupBy("seed_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("r")), asc=False), 1, k).alias("r"))
-    return top.select("seed_id", F.posexplode("r").alias("rank", "r")).select("seed_id", "rank", "r.payload", "r.n_keywords")
+    """The k payloads of each seed with the most keywords (a report), by rank, which Spark limits before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("n_keywords"), F.desc("payload")))
+    return p.withColumn("rank", rank - 1).where(F.col("rank") < k).select("seed_id", "rank", "payload", "n_keywords")
 
 
 def _pairs(reply: Column) -> Column:

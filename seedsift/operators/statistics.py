@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
@@ -63,20 +64,19 @@ def pole_contrast(vectors: DataFrame, poles: DataFrame, key: str) -> DataFrame:
     return wide.groupBy("vec_id", key).agg(own.alias("own"), other.alias("other")).withColumn("margin", F.col("own") - F.col("other"))
 
 
-def knn_score(queries: DataFrame, base: DataFrame, key: str, k: int = 3, salts: int = 8) -> DataFrame:
+def knn_score(queries: DataFrame, base: DataFrame, key: str, k: int = 3, block: int = 4096) -> DataFrame:
     """Mean cosine of each query to its k nearest base vectors of the same key.
 
-    The base is dealt into salted blocks, so a key with most of the rows is spread; each block keeps the k
-    best of a query, and only those meet in the second round.
+    A key's base vectors are dealt into blocks of bounded size, as many as its count asks for, so a key with most of the
+    rows is spread. The k best of a query are found by rank, which Spark limits before and after the shuffle.
     """
-    q = queries.select("vec_id", key, F.col("embedding").alias("_q")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = base.select(key, F.col("vec_id").alias("_id"), F.col("embedding").alias("_b")).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-    wide = q.join(b, [key, "_salt"]).where("vec_id <> _id").withColumn("_cos", cosine("_q", "_b"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct("_cos", "_id")), asc=False), 1, k)
-    part = wide.groupBy("vec_id", "_salt").agg(top.alias("_top"))
-    best = part.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top")), asc=False), 1, k).alias("_top"))
-    mean = F.aggregate("_top", F.lit(0.0), lambda s, x: s + x["_cos"]) / F.size("_top")
-    return best.select("vec_id", mean.alias("score"))
+    blocks = base.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    q = queries.select("vec_id", key, F.col("embedding").alias("_q")).join(blocks, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    b = base.select(key, F.col("vec_id").alias("_id"), F.col("embedding").alias("_b")).join(blocks, key)
+    b = b.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")).drop("_n")
+    wide = q.join(b, [key, "_block"]).where("vec_id <> _id").select("vec_id", "_id", cosine("_q", "_b").alias("_cos"))
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("_cos"), F.desc("_id")))
+    return wide.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("vec_id").agg(F.avg("_cos").alias("score"))
 
 
 def neighbours(kw: DataFrame, word: str, reach: int = 2, least: int = 2) -> DataFrame:

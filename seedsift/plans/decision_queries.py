@@ -151,7 +151,10 @@ _REPORT = _EVENTS + ", rp as (select stage_no, stage, count(*) as n_in, count(*)
 
 def _streamed(build):
     def run(spark, sf):
-        named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = named or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
         where = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
         return stream.run_available(build(stream.read_log(spark, f"{sf}/events.parquet")), f"{where}/out", f"{where}/state")
 

@@ -86,7 +86,7 @@ QUERIES = {
  count(distinct (seed_id, lower(keyword))) filter (agent = 'one') as one, count(distinct (seed_id, lower(keyword))) filter (agent = 'two') as two from sugg group by struct""")),
     "last_by_label": (lambda s, d: fold.last_by_label(S.fetch_log(s, d)), _q(_LOG, "select struct, letter, max(seq) as seq, arg_max(n_results, seq) as n_results, arg_max(http_status, seq) as http_status from log group by 1, 2")),
     "stage_stats": (lambda s, d: fold.stage_stats(S.fetch_log(s, d)), _q(_LOG, "select struct, count(*) as requests, epoch_us(max(ts)) - epoch_us(min(ts)) as wall_us, round(sum(time_ms), 2) as sum_ms, round(avg(time_ms), 3) as avg_ms, round(count(*) * 1e6 / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) as per_s from log group by 1")),
-    "unique_to_case": (lambda s, d: fold.unique_to(_sugg(s, d).where("n_results > 9"), "letter"), _q(_SUGG, "select lower(keyword) as keyword, min(letter) as letter from sugg where n_results > 9 group by 1 having count(distinct letter) = 1")),
+    "unique_to_case": (lambda s, d: fold.unique_to(_sugg(s, d), "family"), _q(_SUGG, "select lower(keyword) as keyword, min(family) as family from sugg group by 1 having count(distinct family) = 1")),
     "unique_in_case": (lambda s, d: fold.unique_to(_sugg(s, d), "letter", ("struct",)), _q(_SUGG, "select struct, lower(keyword) as keyword, min(letter) as letter from sugg group by 1, 2 having count(distinct letter) = 1")),
     "case_stats": (lambda s, d: fold.case_stats(_sugg(s, d), "letter"), _q(_SUGG, ", u as (select min(letter) as letter from sugg group by lower(keyword) having count(distinct letter) = 1) select letter, count(*) as n_raw, count(distinct lower(keyword)) as n_distinct, (select count(*) from u where u.letter = sugg.letter) as n_unique from sugg group by letter")),
     "active_letters": (lambda s, d: fold.active_letters(S.fetch_log(s, d)), _q(_LOG, "select seed_id, letter from log group by 1, 2 having max(n_results) >= 10")),

@@ -109,3 +109,22 @@ def test_words_of_different_scripts(spark):
     rows = [("айфон", "iphone"), ("скутер", "5v"), ("скутер", "100ah"), ("самсунг", "samsung"), ("samsung", "самсунг"), ("ксиоми", "xiaomi"), ("a", "b"), ("", "x")]
     df = spark.createDataFrame(rows, "a string, b string").select(F.expr(tails.cross_script("a", "b")).alias("x"))
     assert [bool(r.x) for r in df.collect()] == [True, False, False, True, True, True, False, False]
+
+
+def test_payload_cases(spark):
+    flowers, dose, phone = "доставка цветов", "нимесил", "купить айфон 16"
+    cases = [
+        (flowers, "доставка цветов в киеве", "в киеве"), (flowers, "в киеве доставка цветов", "в киеве"), (flowers, flowers, ""), (flowers, "доставку цветов заказать", "заказать"),
+        (flowers, "доставка цветом житомир", "житомир"), (flowers, "заказ цветов на дом", "заказ на дом"), (dose, "как и зачем принимать нимесил", "как и зачем принимать"),
+        (dose, "нимесил детям до года", "детям до года"), (dose, "можно ли пить нимесил при простуде", "можно ли пить при простуде"), (phone, "купить чехол на айфон 16", "чехол на"),
+        (phone, "айфон 16 цена украина", "цена украина"), (flowers, "доставка.цветов", ""), (flowers, "доставка цветов 24/7 киев", "24 7 киев"),
+    ]
+    lex = spark.createDataFrame([("доставку", 0, "доставка"), ("цветов", 0, "цвет"), ("цветом", 0, "цвет")], "word string, rank int, lemma string")
+    rows = spark.createDataFrame([(i, s, k) for i, (s, k, _) in enumerate(cases)], "pos long, seed string, keyword string")
+    assert [r.payload for r in tails.extract_payload(rows, lex).orderBy("pos").collect()] == [c[2] for c in cases]
+
+
+def test_payloads_of_permuted_keywords_are_one(spark):
+    rows = spark.createDataFrame([("доставка цветов", k) for k in ("доставка цветов в киеве", "в киеве доставка цветов", "доставку цветов в киеве")], "seed string, keyword string")
+    lex = spark.createDataFrame([("доставку", 0, "доставка")], "word string, rank int, lemma string")
+    assert [(r.payload, r["count"]) for r in tails.extract_payload(rows, lex).groupBy("payload").count().collect()] == [("в киеве", 3)]

@@ -30,6 +30,8 @@ from seedsift.llm.vocabulary import Memory, Vocabulary, load
 
 #: Pairs of tokens in the compatibility table; beyond, it starts anew before the next pre-token.
 PAIRS = 1 << 18
+#: Chunks and pre-tokens remembered in each of two generations: half of what counting remembers, as their ids take more bytes.
+CHUNKS = 100_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -124,7 +126,7 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = load(path)
         self.encoder = Encoder(self.vocabulary)
-        self.chunk = Memory(self._chunk)
+        self.chunk = Memory(self._chunk, CHUNKS)
         strings = [(t + " ").encode() for t in self.vocabulary.tokens]
         self.blob = np.frombuffer(b"".join(strings), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype(np.int64)

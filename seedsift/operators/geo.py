@@ -75,7 +75,7 @@ def seed_places(seeds: DataFrame, geo: DataFrame, lexicon: DataFrame | None = No
 
 
 def geo_rules(
-    kw: DataFrame, seeds: DataFrame, geo: DataFrame, districts: DataFrame, target: str, blocklist: DataFrame | None = None,
+    kw: DataFrame, seeds: DataFrame, geo: DataFrame, districts: DataFrame | None, target: str, blocklist: DataFrame | None = None,
     lexicon: DataFrame | None = None, countries: DataFrame | None = None, abbreviations: DataFrame | None = None,
 ) -> DataFrame:
     """(seed_id, kw_id, reason): the first rule that blocks each keyword; others are absent. kw: (seed_id, kw_id, keyword).
@@ -96,10 +96,11 @@ def geo_rules(
     named = F.coalesce(is_street(), F.lit(False)) | is_complex()
     reason = lambda df, k, rule: df.select("seed_id", "kw_id", F.lit(k).alias("rule"), F.concat(F.lit(f"{rule}:"), "term").alias("reason"))
     hits = reason(longest.where(~F.array_contains("countries", low) & ~own_seed & ~named), 2, "foreign_city")
-    area = by_form(toks, districts.select(F.lower("name").alias("name"), F.lower("city").alias("city"), F.lower("country").alias("country")), lexicon).join(of_seed, "seed_id", "left")
-    hits = hits.unionByName(reason(area.where(F.col("country") != low), 3, "foreign_district"))
-    other = (F.col("country") == low) & (F.size(F.coalesce("places", F.array())) > 0) & ~F.array_contains("places", F.col("city"))
-    hits = hits.unionByName(reason(area.where(other), 4, "other_district"))
+    if districts is not None:
+        area = by_form(toks, districts.select(F.lower("name").alias("name"), F.lower("city").alias("city"), F.lower("country").alias("country")), lexicon).join(of_seed, "seed_id", "left")
+        hits = hits.unionByName(reason(area.where(F.col("country") != low), 3, "foreign_district"))
+        other = (F.col("country") == low) & (F.size(F.coalesce("places", F.array())) > 0) & ~F.array_contains("places", F.col("city"))
+        hits = hits.unionByName(reason(area.where(other), 4, "other_district"))
     if blocklist is not None:
         listed = toks.join(blocklist.select(F.lower("name").alias("term")).distinct(), "term", "left_semi")
         hits = hits.unionByName(reason(listed, 1, "listed"))

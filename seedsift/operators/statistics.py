@@ -92,23 +92,32 @@ def question_anchors(kw: DataFrame, adverbs, least: int = 2) -> DataFrame:
     return kw.withColumn("word", first).where(F.col("word").isin(*adverbs)).groupBy("seed_id", "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def apply_l2(kw: DataFrame, pmi_valid: float = PMI_VALID) -> DataFrame:
-    """Decides grey keywords tail by tail. kw: (seed_id, keyword, tail, label, positive, negative, demoted).
+def _grey(known: DataFrame) -> DataFrame:
+    hard = F.size(F.array_except("negative", F.array(*(F.lit(s) for s in SOFT)))) > 0
+    return known.where("label = 'GREY'").withColumn("_pure", hard & (F.size("positive") == 0))
+
+
+def l2_decisions(kw: DataFrame, pmi_valid: float = PMI_VALID) -> DataFrame:
+    """(seed_id, tail, pmi, rule, l2_label): one decision for each grey tail. kw: (seed_id, pos, tail, label, positive, negative, demoted).
 
-    Document frequencies come from valid and grey tails; one decision per tail goes to all its keywords.
+    Document frequencies come from valid and grey tails. The first keyword of a tail gives its signals.
     """
     known = kw.where("label in ('VALID', 'GREY') and tail <> ''")
     scores = pmi(known, word_df(known))
-    hard = F.size(F.array_except("negative", F.array(*(F.lit(s) for s in SOFT)))) > 0
-    grey = known.where("label = 'GREY'").withColumn("_pure", hard & (F.size("positive") == 0))
-    per_tail = grey.groupBy("seed_id", "tail").agg(F.min(F.struct("pos", "_pure", "demoted")).alias("_first"))
+    per_tail = _grey(known).groupBy("seed_id", "tail").agg(F.min(F.struct("pos", "_pure", "demoted")).alias("_first"))
     per_tail = per_tail.join(scores, ["seed_id", "tail"]).withColumn("_spec", spec_token("tail"))
     high, pure, demoted = F.col("pmi") >= pmi_valid, F.col("_first._pure"), F.col("_first.demoted")
     rule = (
         F.when(demoted, "r0_demoted").when(high & ~pure, "r1_pmi").when(high & pure, "r2_conflict").when(F.col("_spec").isNotNull() & ~pure, "r28_spec").otherwise("r6_grey")
     )
     decided = per_tail.withColumn("rule", rule).withColumn("l2_label", F.when(F.col("rule").isin("r1_pmi", "r28_spec"), "VALID").otherwise("GREY"))
-    return grey.select("seed_id", "pos", "keyword", "tail").join(decided.select("seed_id", "tail", "pmi", "rule", "l2_label"), ["seed_id", "tail"])
+    return decided.select("seed_id", "tail", "pmi", "rule", "l2_label")
+
+
+def apply_l2(kw: DataFrame, pmi_valid: float = PMI_VALID) -> DataFrame:
+    """The grey keywords with the decision of their tail. kw: as for l2_decisions, with keyword."""
+    grey = kw.where("label = 'GREY' and tail <> ''").select("seed_id", "pos", "keyword", "tail")
+    return grey.join(l2_decisions(kw, pmi_valid), ["seed_id", "tail"])
 
 
 def l2_stats(decided: DataFrame) -> DataFrame:

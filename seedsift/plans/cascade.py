@@ -1,4 +1,4 @@
-"""The cascade: dedupe, sanitary rules, tails, detectors, arbitration, groups; one lazily built plan for all seeds.
+"""The cascade: dedupe, sanitary rules, places, tails, detectors, arbitration, statistics of grey tails, verdicts, groups; one lazily built plan for all seeds.
 
 Every deduped keyword comes out once, with the stage that decided it, so VALID, GREY and TRASH add up.
 """
@@ -8,18 +8,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.operators import arbitration, clean, detectors, tails
+from seedsift.operators import arbitration, clean, detectors, geo, statistics, tails
 
 STAGES = ("pre", "l0")
+#: All stages in their order.
+ALL_STAGES = ("pre", "geo", "l0", "l2", "verdict")
+
+
+def places_of(gazetteer: DataFrame) -> DataFrame:
+    """(name, countries) in lower case, from (name, country)."""
+    return gazetteer.groupBy(F.lower("name").alias("name")).agg(F.collect_set(F.lower("country")).alias("countries"))
+
+
+def _block_places(df: DataFrame, places: DataFrame, districts: DataFrame | None, target: str, lexicon: DataFrame | None) -> DataFrame:
+    """Gives keywords that have no reason yet the reason of the first geography rule. After dedupe a keyword is a seed's own key."""
+    rest = df.where("reason is null").select("seed_id", F.col("keyword").alias("kw_id"), "keyword")
+    found = geo.geo_rules(rest, df.select("seed_id", "seed").distinct(), places, districts, target, lexicon=lexicon)
+    found = found.select("seed_id", F.col("kw_id").alias("keyword"), F.col("reason").alias("_geo"))
+    df = df.join(found, ["seed_id", "keyword"], "left")
+    return df.withColumn("stage", F.when(F.col("reason").isNull() & F.col("_geo").isNotNull(), "geo")).withColumn("reason", F.coalesce("reason", "_geo")).drop("_geo")
+
+
+def _decide_grey(df: DataFrame) -> DataFrame:
+    """Grey tails by their statistics; one decision for all keywords of a tail."""
+    decided = statistics.l2_decisions(df.withColumn("demoted", F.lit(False))).select("seed_id", "tail", "l2_label")
+    hit = (F.col("label") == "GREY") & F.col("l2_label").isNotNull()
+    df = df.join(decided, ["seed_id", "tail"], "left").withColumn("stage", F.when(hit, "l2").otherwise(F.col("stage")))
+    return df.withColumn("label", F.when(hit, F.col("l2_label")).otherwise(F.col("label"))).drop("l2_label")
+
+
+def _apply_verdicts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Landed verdicts on what is VALID or GREY: 1 is VALID, 0 is TRASH; without one the label stays. verdicts: (seed_id, keyword, verdict)."""
+    one = verdicts.where("verdict in (0, 1)").groupBy("seed_id", "keyword").agg(F.min("verdict").alias("_verdict"))
+    hit = F.col("label").isin("VALID", "GREY") & F.col("_verdict").isNotNull()
+    df = df.join(one, ["seed_id", "keyword"], "left").withColumn("stage", F.when(hit, "verdict").otherwise(F.col("stage")))
+    return df.withColumn("label", F.when(hit, F.when(F.col("_verdict") == 1, "VALID").otherwise("TRASH")).otherwise(F.col("label"))).drop("_verdict")
 
 
 def run_cascade(
     kw: DataFrame, gazetteer: DataFrame, brands: DataFrame, target: str, retailers: DataFrame | None = None,
-    lexicon: DataFrame | None = None, stages: tuple[str, ...] = STAGES,
+    lexicon: DataFrame | None = None, stages: tuple[str, ...] = STAGES, places: DataFrame | None = None,
+    districts: DataFrame | None = None, verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """(seed_id, seed, pos, keyword, family) with stage, reason, tail, signals, label, confidence and group."""
+    """(seed_id, seed, pos, keyword, family) with stage, reason, tail, signals, label, confidence and group.
+
+    stages names those of ALL_STAGES that run. geo needs places (name, countries) and may have districts; places come
+    from the gazetteer where none are given. l2 and verdict follow l0; verdict needs verdicts (seed_id, keyword,
+    verdict), of which the least one counts. The confidence is that of the detectors.
+    """
+    if {"l2", "verdict"} & {*stages} and "l0" not in stages:
+        raise ValueError("l2 and verdict judge what l0 labelled")
+    if "verdict" in stages and verdicts is None:
+        raise ValueError("the verdict stage needs verdicts")
     df = clean.dedupe_first(kw)
     df = clean.pre_filter(df) if "pre" in stages else df.withColumn("reason", F.lit(None).cast("string"))
+    if "geo" in stages:
+        df = _block_places(df, places_of(gazetteer) if places is None else places, districts, target, lexicon)
+    else:
+        df = df.withColumn("stage", F.lit(None).cast("string"))
     df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
     if "l0" in stages:
         # Each seed's distinct tails are decided once.
@@ -31,8 +77,12 @@ def run_cascade(
         df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))
         df = df.withColumn("label", F.coalesce("label", F.lit("GREY"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
     is_seed = F.coalesce(F.col("tail") == "", F.lit(False))
-    df = df.withColumn("stage", F.when(F.col("reason").isNotNull(), "pre").otherwise("l0"))
+    df = df.withColumn("stage", F.coalesce("stage", F.when(F.col("reason").isNotNull(), "pre").otherwise("l0")))
     label = F.when(F.col("reason").isNotNull(), "TRASH").when(is_seed, "VALID").otherwise(F.col("label"))
     df = df.withColumn("label", label).withColumn("confidence", F.when(is_seed | F.col("reason").isNotNull(), 1.0).otherwise(F.col("confidence")))
+    if "l2" in stages:
+        df = _decide_grey(df)
+    if "verdict" in stages:
+        df = _apply_verdicts(df, verdicts)
     grouped = arbitration.group_keywords(df)
     return grouped.withColumn("group", F.when(F.col("label") == "VALID", F.col("group")))

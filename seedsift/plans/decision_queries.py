@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seedsift.operators import clean, clusters, report, statistics, tails, verdicts
 from seedsift.plans import cascade
-from seedsift.plans.keyword_queries import _FIRST, _L0, TARGET, _with
+from seedsift.plans.keyword_queries import _FIRST, _L0, _PRE, TARGET, _l0, _with
 from seedsift.sources import tables as S
 from seedsift.streaming import log as stream
 
@@ -50,7 +50,7 @@ def l2(spark, sf):
     return _l2(spark, sf).select("seed_id", "pos", "keyword", F.round("pmi", 6).alias("pmi"), "rule", "l2_label")
 
 
-_L2 = _L0 + r""",
+_GREY = r""",
 kn as (select * from l0 where label in ('VALID', 'GREY') and t <> ''),
 kx as (select seed_id, t, unnest(list_distinct(w)) as word from kn), kd as (select seed_id, word, count(*) as df from kx group by 1, 2),
 kp as (select seed_id, t, coalesce(min(log2(df + 1)) filter (length(word) > 2 or regexp_matches(word, '^[0-9]+$')), min(log2(df + 1))) as pmi from (select distinct * from kx) join kd using (seed_id, word) group by 1, 2),
@@ -59,6 +59,32 @@ ft as (select seed_id, t, arg_min(pure, pos * 2 + pure::int) as pure from gr gro
 dc as (select seed_id, t, pmi, case when pmi >= 2.5 and not pure then 'r1_pmi' when pmi >= 2.5 then 'r2_conflict'
   when len(list_filter(string_split(t, ' '), lambda z: regexp_matches(z, '[0-9]') and regexp_matches(z, '[a-z]'))) > 0 and not pure then 'r28_spec' else 'r6_grey' end as rule from ft join kp using (seed_id, t)),
 l2 as (select seed_id, pos, keyword, round(pmi, 6) as pmi, rule, case when rule in ('r1_pmi', 'r28_spec') then 'VALID' else 'GREY' end as l2_label from gr join dc using (seed_id, t))"""
+_L2 = _L0 + _GREY
+
+
+def cascade_stages(spark, sf):
+    """The cascade with all its stages. Brands are districts; the return flag of a line item is its keyword's verdict."""
+    kw = S.keywords(spark, sf)
+    flag = S.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("pos"))
+    flag = flag.agg(F.min(F.expr("case l_returnflag when 'R' then 0 when 'A' then 1 end")).alias("verdict"))
+    landed = kw.select("seed_id", "pos", "keyword").join(flag, "pos").select("seed_id", "keyword", "verdict")
+    area = S.brands(spark, sf).select("name", F.lit("nation_1").alias("city"), F.when(F.length("name") % 2 == 0, "ASIA").otherwise("EUROPE").alias("country"))
+    out = cascade.run_cascade(kw, S.gazetteer(spark, sf), S.brands(spark, sf), TARGET, stages=cascade.ALL_STAGES, districts=area, verdicts=landed)
+    return out.select("seed_id", "pos", "keyword", "stage", "reason", "tail", "label", F.col("group").alias("kw_group"))
+
+
+_PLACES = _PRE + r""",
+gh as (select seed_id, keyword, 2 as r, 'foreign_city:' || name as reason from (select *, unnest(qw) as name from pre where reason is null) join gazetteer using (name) where country <> '""" + TARGET + r"""'
+  union all select seed_id, keyword, 3, 'foreign_district:' || name from (select *, unnest(qw) as name from pre where reason is null) join brands using (name) where length(name) % 2 = 1),
+gf as (select seed_id, keyword, (list(reason order by r, reason))[1] as geo from gh group by 1, 2),
+pg as (select pre.* replace (coalesce(reason, geo) as reason) from pre left join gf using (seed_id, keyword))"""
+_STAGED = _l0(_PLACES, "pg") + _GREY + r""",
+vf as (select l_orderkey * 10 + l_linenumber as pos, min(case l_returnflag when 'R' then 0 when 'A' then 1 end) as verdict from lineitem group by 1),
+vk as (select seed_id, keyword, min(verdict) as verdict from keywords join vf using (pos) group by 1, 2),
+s1 as (select l0.*, rule, verdict from l0 left join dc on dc.seed_id = l0.seed_id and dc.t = l0.t and label = 'GREY' left join vk on vk.seed_id = l0.seed_id and vk.keyword = l0.keyword),
+s2 as (select * replace (case when rule in ('r1_pmi', 'r28_spec') then 'VALID' else label end as label, case when rule is not null then 'l2' when contains(reason, ':') then 'geo' else stage end as stage) from s1),
+s3 as (select * replace (case when label = 'TRASH' or verdict is null then label when verdict = 1 then 'VALID' else 'TRASH' end as label, case when label = 'TRASH' or verdict is null then stage else 'verdict' end as stage) from s2),
+staged as (select * replace (case when label = 'VALID' then case when list_contains(positive, 'geo') then 'geo' when list_contains(positive, 'brand') then 'brand' when q = s then 'exact_seed' else 'other' end end as "group") from s3)"""
 
 
 def knn(spark, sf):
@@ -168,6 +194,7 @@ QUERIES = {
     "word_df": (word_df, _with(_TAILS, "select * from df")),
     "document_df": (document_df, r"with w as (select lang, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))) as word from documents) select lang, word, count(*) as df from w group by 1, 2 having count(*) > 1"),
     "pmi": (pmi, _with(_TAILS, "select seed_id, tail, round(pmi, 6) as pmi from pm")),
+    "cascade_stages": (cascade_stages, _with(_STAGED, "select seed_id, pos, keyword, stage, reason, t as tail, label, \"group\" as kw_group from staged")),
     "apply_l2": (l2, _with(_L2, "select * from l2")),
     "l2_stats": (lambda s, d: statistics.l2_stats(_l2(s, d)), _with(_L2, "select rule, count(*) as n, min(pmi) as lo, max(pmi) as hi, round(avg(pmi), 6) as mean from l2 group by 1")),
     "knn_score": (knn, """with c as (select a.vec_id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as cos

@@ -25,8 +25,10 @@ pre as (select *, case when (length(q) - length(replace(q, s, ''))) / length(s)
   when len(list_filter(range(2, len(tw) + 1), lambda i: tw[i] = tw[i - 1])) > 0 then 'repeat'
   when length(t) = 1 and not regexp_matches(t, '^[0-9]$') then 'single_char'
   when len(list_filter(tw, lambda w: not regexp_matches(w, '[a-z]') and regexp_matches(w, '[^a-z0-9]'))) > 0 then 'symbol' end as reason from p3)"""
-_L0 = _PRE + r""",
-tails as (select * replace (case when reason is null then case when q = s then '' else t end end as t) from pre),
+def _l0(before: str, source: str) -> str:
+    """The detectors' labels of the rows of source, a table of before."""
+    return before + r""",
+tails as (select * replace (case when reason is null then case when q = s then '' else t end end as t) from """ + source + r"""),
 d1 as (select *, case when t <> '' then string_split(t, ' ') else [] end as w, (select list(name) from gazetteer where country = '""" + TARGET + r"""') as g_own,
   (select list(name) from gazetteer) as g_all, (select list(name) from brands) as b_all from tails),
 d2 as (select *, list_has_any(w, g_own) as own, list_has_any(w, g_all) as place, len(list_intersect(list_distinct(w), b_all)) as nb from d1),
@@ -49,6 +51,9 @@ l0 as (select *, case when label = 'VALID' then coalesce(case when list_contains
     case when reason is not null then 'pre' else 'l0' end as stage from d6)"""
 
 
+_L0 = _l0(_PRE, "pre")
+
+
 def _with(ctes: str, select: str) -> str:
     return f"with {PROJECTION}, {ctes} {select}" if ctes else f"with {PROJECTION} {select}"
 

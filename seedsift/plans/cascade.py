@@ -1,4 +1,6 @@
-"""The cascade: dedupe, sanitary rules, places, tails, detectors, arbitration, statistics of grey tails, verdicts, groups; one lazily built plan for all seeds.
+"""The cascade: dedupe, sanitary rules, places, tails, detectors, arbitration, statistics of grey tails, verdicts, groups; one plan for all seeds.
+
+The stages geo and l2 read their input several times, so it is written to the shared folder once before each.
 
 Every deduped keyword comes out once, with the stage that decided it, so VALID, GREY and TRASH add up.
 """
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.operators import arbitration, clean, detectors, geo, statistics, tails
+from seedsift.sources.shared import written
 
 STAGES = ("pre", "l0")
 #: All stages in their order.
@@ -63,7 +66,7 @@ def run_cascade(
     df = clean.dedupe_first(kw)
     df = clean.pre_filter(df) if "pre" in stages else df.withColumn("reason", F.lit(None).cast("string"))
     if "geo" in stages:
-        df = _block_places(df, places_of(gazetteer) if places is None else places, districts, target, lexicon)
+        df = _block_places(written(df), places_of(gazetteer) if places is None else places, districts, target, lexicon)
     else:
         df = df.withColumn("stage", F.lit(None).cast("string"))
     df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
@@ -81,7 +84,7 @@ def run_cascade(
     label = F.when(F.col("reason").isNotNull(), "TRASH").when(is_seed, "VALID").otherwise(F.col("label"))
     df = df.withColumn("label", label).withColumn("confidence", F.when(is_seed | F.col("reason").isNotNull(), 1.0).otherwise(F.col("confidence")))
     if "l2" in stages:
-        df = _decide_grey(df)
+        df = _decide_grey(written(df))
     if "verdict" in stages:
         df = _apply_verdicts(df, verdicts)
     grouped = arbitration.group_keywords(df)

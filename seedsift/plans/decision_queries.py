@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from seedsift.operators import clean, clusters, report, statistics, tails, verdi
 from seedsift.plans import cascade
 from seedsift.plans.keyword_queries import _FIRST, _L0, _PRE, TARGET, _l0, _with
 from seedsift.sources import tables as S
+from seedsift.sources.shared import shared_dir
 from seedsift.streaming import log as stream
 
 
@@ -177,11 +177,7 @@ _REPORT = _EVENTS + ", rp as (select stage_no, stage, count(*) as n_in, count(*)
 
 def _streamed(build):
     def run(spark, sf):
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = named or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-        where = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+        where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
         return stream.run_available(build(stream.read_log(spark, f"{sf}/events.parquet")), f"{where}/out", f"{where}/state")
 
     return run

@@ -1,6 +1,7 @@
-"""The cascade: dedupe, sanitary rules, places, tails, detectors, arbitration, statistics of grey tails, verdicts, groups; one plan for all seeds.
+"""The cascade: dedupe, sanitary rules, places, tails, detectors, arbitration, anchors of meaning,
+statistics of grey tails, verdicts, groups; one plan for all seeds.
 
-The stages geo and l2 read their input several times, so it is written to the shared folder once before each.
+The stages geo, anchor and l2 read their input several times, so it is written to the shared folder once before each.
 
 Every deduped keyword comes out once, with the stage that decided it, so VALID, GREY and TRASH add up.
 """
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.operators import arbitration, clean, detectors, geo, statistics, tails
+from seedsift.operators import anchors, arbitration, clean, detectors, geo, statistics, tails
 from seedsift.sources.shared import written
 
 STAGES = ("pre", "l0")
 #: All stages in their order.
-ALL_STAGES = ("pre", "geo", "l0", "l2", "verdict")
+ALL_STAGES = ("pre", "geo", "l0", "anchor", "l2", "verdict")
 
 
 def places_of(gazetteer: DataFrame) -> DataFrame:
@@ -32,6 +33,16 @@ def _block_places(df: DataFrame, places: DataFrame, districts: DataFrame | None,
     return df.withColumn("stage", F.when(F.col("reason").isNull() & F.col("_geo").isNotNull(), "geo")).withColumn("reason", F.coalesce("reason", "_geo")).drop("_geo")
 
 
+def _prove_anchors(df: DataFrame, lexicon: DataFrame, thesaurus: dict[str, DataFrame]) -> DataFrame:
+    """Grey keywords that show too little of their seed become TRASH. Valid keywords give a seed's neighbours."""
+    axes = anchors.seed_axes(df.select("seed_id", "seed").distinct(), lexicon, thesaurus.get("facts"))
+    grey, valid = (df.where(F.col("label") == x).select("seed_id", "keyword") for x in ("GREY", "VALID"))
+    judged = anchors.judge_grey(grey, valid, written(axes), lexicon, thesaurus.get("relations"), thesaurus.get("vectors"))
+    gone = judged.where("anchor_label = 'TRASH'").select("seed_id", "keyword", F.col("anchor_reason").alias("_anchor"))
+    df = df.join(gone, ["seed_id", "keyword"], "left").withColumn("stage", F.when(F.col("_anchor").isNotNull(), "anchor").otherwise(F.col("stage")))
+    return df.withColumn("label", F.when(F.col("_anchor").isNotNull(), "TRASH").otherwise(F.col("label"))).withColumn("reason", F.coalesce("reason", "_anchor")).drop("_anchor")
+
+
 def _decide_grey(df: DataFrame) -> DataFrame:
     """Grey tails by their statistics; one decision for all keywords of a tail."""
     decided = statistics.l2_decisions(df.withColumn("demoted", F.lit(False))).select("seed_id", "tail", "l2_label")
@@ -52,15 +63,19 @@ def run_cascade(
     kw: DataFrame, gazetteer: DataFrame, brands: DataFrame, target: str, retailers: DataFrame | None = None,
     lexicon: DataFrame | None = None, stages: tuple[str, ...] = STAGES, places: DataFrame | None = None,
     districts: DataFrame | None = None, verdicts: DataFrame | None = None,
+    thesaurus: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """(seed_id, seed, pos, keyword, family) with stage, reason, tail, signals, label, confidence and group.
 
     stages names those of ALL_STAGES that run. geo needs places (name, countries) and may have districts; places come
-    from the gazetteer where none are given. l2 and verdict follow l0; verdict needs verdicts (seed_id, keyword,
-    verdict), of which the least one counts. The confidence is that of the detectors.
+    from the gazetteer where none are given. anchor, l2 and verdict follow l0; anchor needs the lexicon and may have a
+    thesaurus of the tables facts, relations and vectors; verdict needs verdicts (seed_id, keyword, verdict), of which
+    the least one counts. The confidence is that of the detectors.
     """
-    if {"l2", "verdict"} & {*stages} and "l0" not in stages:
-        raise ValueError("l2 and verdict judge what l0 labelled")
+    if {"anchor", "l2", "verdict"} & {*stages} and "l0" not in stages:
+        raise ValueError("anchor, l2 and verdict judge what l0 labelled")
+    if "anchor" in stages and lexicon is None:
+        raise ValueError("the anchor stage needs a lexicon")
     if "verdict" in stages and verdicts is None:
         raise ValueError("the verdict stage needs verdicts")
     df = clean.dedupe_first(kw)
@@ -83,6 +98,8 @@ def run_cascade(
     df = df.withColumn("stage", F.coalesce("stage", F.when(F.col("reason").isNotNull(), "pre").otherwise("l0")))
     label = F.when(F.col("reason").isNotNull(), "TRASH").when(is_seed, "VALID").otherwise(F.col("label"))
     df = df.withColumn("label", label).withColumn("confidence", F.when(is_seed | F.col("reason").isNotNull(), 1.0).otherwise(F.col("confidence")))
+    if "anchor" in stages:
+        df = _prove_anchors(written(df), lexicon, thesaurus or {})
     if "l2" in stages:
         df = _decide_grey(written(df))
     if "verdict" in stages:

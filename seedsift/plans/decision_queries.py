@@ -63,13 +63,13 @@ _L2 = _L0 + _GREY
 
 
 def cascade_stages(spark, sf):
-    """The cascade with all its stages. Brands are districts; the return flag of a line item is its keyword's verdict."""
+    """The cascade with all its stages but the anchors, which need a lexicon. Brands are districts; the return flag of a line item is its keyword's verdict."""
     kw = S.keywords(spark, sf)
     flag = S.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("pos"))
     flag = flag.agg(F.min(F.expr("case l_returnflag when 'R' then 0 when 'A' then 1 end")).alias("verdict"))
     landed = kw.select("seed_id", "pos", "keyword").join(flag, "pos").select("seed_id", "keyword", "verdict")
     area = S.brands(spark, sf).select("name", F.lit("nation_1").alias("city"), F.when(F.length("name") % 2 == 0, "ASIA").otherwise("EUROPE").alias("country"))
-    out = cascade.run_cascade(kw, S.gazetteer(spark, sf), S.brands(spark, sf), TARGET, stages=cascade.ALL_STAGES, districts=area, verdicts=landed)
+    out = cascade.run_cascade(kw, S.gazetteer(spark, sf), S.brands(spark, sf), TARGET, stages=("pre", "geo", "l0", "l2", "verdict"), districts=area, verdicts=landed)
     return out.select("seed_id", "pos", "keyword", "stage", "reason", "tail", "label", F.col("group").alias("kw_group"))
 
 

@@ -97,27 +97,30 @@ def _grey(known: DataFrame) -> DataFrame:
     return known.where("label = 'GREY'").withColumn("_pure", hard & (F.size("positive") == 0))
 
 
-def l2_decisions(kw: DataFrame, pmi_valid: float = PMI_VALID) -> DataFrame:
+def l2_decisions(kw: DataFrame, pmi_valid: float = PMI_VALID, morph: DataFrame | None = None) -> DataFrame:
     """(seed_id, tail, pmi, rule, l2_label): one decision for each grey tail. kw: (seed_id, pos, tail, label, positive, negative, demoted).
 
-    Document frequencies come from valid and grey tails. The first keyword of a tail gives its signals.
+    Document frequencies come from valid and grey tails. The first keyword of a tail gives its signals. morph (seed_id,
+    tail, morph) has the agreement of tails with their seed's head; leave out tails that follow a place of the seed.
     """
     known = kw.where("label in ('VALID', 'GREY') and tail <> ''")
     scores = pmi(known, word_df(known))
     per_tail = _grey(known).groupBy("seed_id", "tail").agg(F.min(F.struct("pos", "_pure", "demoted")).alias("_first"))
     per_tail = per_tail.join(scores, ["seed_id", "tail"]).withColumn("_spec", spec_token("tail"))
+    scored = per_tail.withColumn("morph", F.lit(None).cast("double")) if morph is None else per_tail.join(morph, ["seed_id", "tail"], "left")
     high, pure, demoted = F.col("pmi") >= pmi_valid, F.col("_first._pure"), F.col("_first.demoted")
     rule = (
-        F.when(demoted, "r0_demoted").when(high & ~pure, "r1_pmi").when(high & pure, "r2_conflict").when(F.col("_spec").isNotNull() & ~pure, "r28_spec").otherwise("r6_grey")
+        F.when(demoted, "r0_demoted").when(high & ~pure, "r1_pmi").when(high & pure, "r2_conflict")
+        .when((F.col("morph") >= MORPH_VALID) & ~pure, "r25_morph").when(F.col("_spec").isNotNull() & ~pure, "r28_spec").otherwise("r6_grey")
     )
-    decided = per_tail.withColumn("rule", rule).withColumn("l2_label", F.when(F.col("rule").isin("r1_pmi", "r28_spec"), "VALID").otherwise("GREY"))
+    decided = scored.withColumn("rule", rule).withColumn("l2_label", F.when(F.col("rule").isin("r1_pmi", "r25_morph", "r28_spec"), "VALID").otherwise("GREY"))
     return decided.select("seed_id", "tail", "pmi", "rule", "l2_label")
 
 
-def apply_l2(kw: DataFrame, pmi_valid: float = PMI_VALID) -> DataFrame:
+def apply_l2(kw: DataFrame, pmi_valid: float = PMI_VALID, morph: DataFrame | None = None) -> DataFrame:
     """The grey keywords with the decision of their tail. kw: as for l2_decisions, with keyword."""
     grey = kw.where("label = 'GREY' and tail <> ''").select("seed_id", "pos", "keyword", "tail")
-    return grey.join(l2_decisions(kw, pmi_valid), ["seed_id", "tail"])
+    return grey.join(l2_decisions(kw, pmi_valid, morph), ["seed_id", "tail"])
 
 
 def l2_stats(decided: DataFrame) -> DataFrame:

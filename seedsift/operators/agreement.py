@@ -1,5 +1,5 @@
-"""How a tail fits its seed: the seed's head noun, agreement in gender and number, words shared with valid tails, and
-what is left of a suggestion without its seed and foreign places.
+"""How a tail fits its seed: the seed's head noun, agreement in gender and number, words shared with valid tails,
+mismatch of categories, and what is left of a suggestion without its seed and foreign places.
 
 The lexicon has (word, rank, lemma, pos, gender, number); the parse of rank 0 counts.
 """
@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
+from seedsift.operators.statistics import cosine, norm
 
 #: Adjectives and participles, and the scores of agreement.
 ADJECTIVES, PARTICIPLE = ("ADJF", "ADJS"), "PRTF"
 AGREES, AGREES_PARTICIPLE, NUMERIC, PARTLY, NOT_AT_ALL = 1.0, 0.9, 0.8, 0.5, 0.3
+#: Shares of common letter triples up to and from which they decide alone, and the least cosine between.
+FAR, NEAR, LEAST_COSINE = 0.05, 0.20, 0.35
 #: Words that say nothing about a tail.
 STOP_WORDS = (
     "и", "или", "на", "в", "для", "с", "по", "от", "из", "к", "у", "а", "но", "не", "ни", "да", "же", "ли", "бы", "то", "что",
@@ -112,3 +115,32 @@ def strip_to_anchor(kw: DataFrame, places: DataFrame, target: str, lexicon: Data
     stays = F.col("word").isNotNull() & ((F.length("word") < 2) | (F.col("_own").isNull() & ~foreign))
     per = flat.groupBy("seed_id", "keyword").agg(F.coalesce(F.bool_or(local), F.lit(False)).alias("_local"), F.array_sort(F.collect_list(F.when(stays, F.struct("p", "word")))).alias("_left"))
     return per.select("seed_id", "keyword", F.when(F.col("_local"), "").otherwise(F.array_join(F.transform("_left", lambda x: x["word"]), " ")).alias("anchor"))
+
+
+def _triples(c) -> Column:
+    """Distinct runs of three characters, blanks as underscores; a shorter text is its own only one, an empty one has none."""
+    text = F.replace(X.col(c), F.lit(" "), F.lit("_"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
+    return F.when(F.length(text) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def category_mismatch(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(seed_id, tail, overlap, mismatch) of each distinct row of (seed_id, seed, tail).
+
+    Few common letter triples are a mismatch, many are none; between them the cosine of seed and tail decides, if both
+    have a vector in vectors (text, embedding), one row for a text; without one it is no mismatch. A vector of zeros has
+    cosine 0. Null or empty seeds and tails never mismatch.
+    """
+    rows = pairs.select("seed_id", "tail", X.norm(F.coalesce("seed", F.lit(""))).alias("_s"), X.norm(F.coalesce("tail", F.lit(""))).alias("_t")).distinct()
+    rows = rows.withColumn("_a", _triples("_s")).withColumn("_b", _triples("_t"))
+    least, common = F.least(F.size("_a"), F.size("_b")), F.size(F.array_intersect("_a", "_b"))
+    rows = rows.withColumn("overlap", F.when(least > 0, common / F.greatest(least, F.lit(1)))).drop("_a", "_b")
+    between = (F.col("overlap") > FAR) & (F.col("overlap") < NEAR)
+    if vectors is None:
+        rows = rows.withColumn("_cos", F.lit(None).cast("double"))
+    else:
+        for text, key, vector in (("_s", "_sk", "_sv"), ("_t", "_tk", "_tv")):
+            rows = rows.withColumn(key, F.when(between, F.col(text))).join(vectors.select(F.col("text").alias(key), F.col("embedding").alias(vector)), key, "left")
+        rows = rows.withColumn("_cos", F.when((norm("_sv") == 0) | (norm("_tv") == 0), 0.0).otherwise(cosine("_sv", "_tv")))
+    mismatch = (F.col("overlap") <= FAR) | (between & (F.col("_cos") < LEAST_COSINE))
+    return rows.select("seed_id", "tail", "overlap", F.coalesce(mismatch, F.lit(False)).alias("mismatch"))

@@ -2,7 +2,7 @@
 
 The lexicon has (word, rank, lemma, pos, known) and may have grammemes; words that it lacks are their own lemma and have
 no part of speech. A thesaurus is two tables: facts (lemma, hyponyms, deverbal), one row for a lemma, and relations
-(lemma, related, kind), where kind is synonym or cohyponym. vectors has (lemma, embedding). All but the lexicon may be
+(lemma, rel, other), where rel is synonym or cohyponym. vectors has (lemma, embedding). All but the lexicon may be
 missing; then their ways of proof never hold.
 
 Keywords meet what is known of their seed by equi-joins on (seed_id, lemma), and one aggregate of a keyword's lemmas
@@ -119,8 +119,8 @@ def seed_words(valid: DataFrame, axes: DataFrame, lexicon: DataFrame, reach: int
 def _relatives(axes: DataFrame, relations: DataFrame) -> DataFrame:
     """(seed_id, lemma, syn_of, cohyp_of): which of a seed's lemmas a lemma is a synonym or a cohyponym of."""
     own = axes.select("seed_id", F.explode("content").alias("_axis"))
-    wide = own.join(relations.select(F.col("lemma").alias("_axis"), F.col("related").alias("lemma"), "kind"), "_axis")
-    of = {k: F.collect_set(F.when(F.col("kind") == k, F.col("_axis"))) for k in ("synonym", "cohyponym")}
+    wide = own.join(relations.select(F.col("lemma").alias("_axis"), F.col("other").alias("lemma"), "rel"), "_axis")
+    of = {k: F.collect_set(F.when(F.col("rel") == k, F.col("_axis"))) for k in ("synonym", "cohyponym")}
     return wide.groupBy("seed_id", "lemma").agg(of["synonym"].alias("syn_of"), of["cohyponym"].alias("cohyp_of"))
 
 

@@ -62,6 +62,16 @@ def allowed(spark, sf):
     return agreement.city_allowed(words, places, TARGET, _lexicon(spark, sf))
 
 
+def mismatch(spark, sf):
+    """Seeds and tails have the vectors whose ids are seven times a seed's length and a tail's length."""
+    pairs = _tails(spark, sf).join(S.seeds(spark, sf), "seed_id")
+    vectors = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    seeds = S.seeds(spark, sf).select(F.col("seed").alias("text"), (F.length("seed") * 7).cast("long").alias("vec_id"))
+    tails = _tails(spark, sf).select(F.col("tail").alias("text"), F.length("tail").cast("long").alias("vec_id"))
+    texts = seeds.join(tails, "text", "left_anti").union(tails.distinct())
+    return agreement.category_mismatch(pairs, texts.join(vectors, "vec_id").select("text", "embedding"))
+
+
 _HEADS = _TAILS + r""",
 lx as (select word, length(word) % 2 = 1 as adj, case when ascii(word) % 2 = 0 then 'plur' else 'sing' end as number, case when length(word) % 2 = 0 or ascii(word) % 2 = 1 then ['masc', 'femn', 'neut'][ascii(word) % 3 + 1] end as gender
   from (select distinct unnest(string_split(lower(p_name || ' ' || p_type), ' ')) as word from part)),
@@ -79,6 +89,13 @@ bw as (select distinct seed_id, tail, pos % 3 = 0 as ok, unnest(list_transform(s
 rf as (select distinct bw.seed_id, word from bw join hd on hd.seed_id = bw.seed_id where ok and length(word) >= 2 and not regexp_matches(word, '^[0-9]+$') and word is distinct from head
   and word not in (""" + ", ".join(f"'{w}'" for w in agreement.STOP_WORDS) + "))"
 
+_MISMATCH = _TAILS + r""",
+mp as (select distinct seed_id, seed, tail from tl join seeds using (seed_id)),
+mt as (select *, list_distinct(list_transform(range(1, greatest(length(seed) - 2, 1) + 1), lambda i: substr(replace(seed, ' ', '_'), i, 3))) as a, list_distinct(list_transform(range(1, greatest(length(tail) - 2, 1) + 1), lambda i: substr(replace(tail, ' ', '_'), i, 3))) as b from mp),
+mo as (select *, len(list_intersect(a, b)) / least(len(a), len(b)) as overlap from mt)
+select seed_id, tail, overlap, overlap <= 0.05 or (overlap < 0.2 and coalesce(list_cosine_similarity(s.embedding::double[], t.embedding::double[]) < 0.35, false)) as mismatch
+  from mo left join embeddings s on s.vec_id = case when seed in (select tail from tl) then length(seed) else length(seed) * 7 end left join embeddings t on t.vec_id = length(tail)"""
+
 _ANCHOR = r""",
 dk as (select distinct seed_id, replace(seed, '_', '-') as seed, replace(keyword, '_', '-') as keyword from keywords), pl as (select replace(name, '_', '-') as name, country from gazetteer),
 aw as (select seed_id, keyword, i, w[i] as word, list_contains(sw, w[i]) as own from (select *, unnest(range(1, len(w) + 1)) as i from (select *, regexp_extract_all(lower(keyword), '[a-z0-9-]+') as w, list_filter(regexp_extract_all(lower(seed), '[a-z0-9-]+'), lambda x: length(x) >= 2) as sw from dk))),
@@ -89,6 +106,7 @@ QUERIES = {
     "morph_scores": (scores, _with(_SCORES, "")),
     "reference_words": (reference, _with(_REFERENCE, "select seed_id, word from rf")),
     "reference_overlap": (overlap, _with(_REFERENCE, "select bw.seed_id, tail, coalesce(string_agg(distinct rf.word, ',' order by rf.word), '') as shared from bw left join rf on rf.seed_id = bw.seed_id and rf.word = bw.word where not ok group by 1, 2")),
+    "category_mismatch": (mismatch, _with(_MISMATCH, "")),
     "city_allowed": (allowed, _with(_ANCHOR.lstrip(",\n"), "select word, coalesce(country = 'ASIA', true) as allowed from (select distinct unnest(string_split_regex(trim(lower(keyword)), '\\s+')) as word from dk) x left join pl on pl.name = word")),
     "strip_to_anchor": (anchor, _with(_ANCHOR.lstrip(",\n"), "select seed_id, keyword, case when here then '' else coalesce(anchor, '') end as anchor from ag")),
 }

@@ -60,9 +60,9 @@ def _facts(spark, sf):
 
 def _relations(spark, sf):
     part = _parts(spark, sf)
-    pairs = part.select(F.col("n2").alias("lemma"), F.col("ty").alias("related")).union(part.select("n1", "n2")).distinct()
-    apart = F.abs(F.length("lemma") - F.length("related"))
-    return pairs.withColumn("kind", F.when(apart == 0, "synonym").when(apart == 1, "cohyponym")).where("kind is not null")
+    pairs = part.select(F.col("n2").alias("lemma"), F.col("ty").alias("other")).union(part.select("n1", "n2")).distinct()
+    apart = F.abs(F.length("lemma") - F.length("other"))
+    return pairs.withColumn("rel", F.when(apart == 0, "synonym").when(apart == 1, "cohyponym")).where("rel is not null")
 
 
 def _vectors(spark, sf):

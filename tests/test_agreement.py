@@ -62,3 +62,20 @@ def test_stripped_anchors(spark, lexicon):
     assert {r.keyword: r.anchor for r in got} == want and len(got) == len(want)
     words = spark.createDataFrame([(w,) for w in ("Киева", "москве", "гелевый", None)], "word string")
     assert {r.word: r.allowed for r in agreement.city_allowed(words, places, "ua", lexicon).collect()} == {"Киева": True, "москве": False, "гелевый": True, None: True}
+
+
+def test_mismatch_of_categories(spark):
+    pairs = [(1, "ремонт пылесосов", "ремонтник"), (1, "ремонт пылесосов", "щербет"), (1, "ремонт пылесосов", ""), (1, "ремонт пылесосов", None), (1, None, "щербет"), (2, "абвгдежз", "абв"), (2, "ab", "ab")]
+    df = spark.createDataFrame(pairs + pairs[:1], "seed_id long, seed string, tail string")
+    got = agreement.category_mismatch(df).collect()
+    assert len(got) == 7 and {(r.tail, round(r.overlap, 3) if r.overlap is not None else None, r.mismatch) for r in got} == {
+        ("ремонтник", 0.571, False), ("щербет", 0.0, True), ("щербет", None, False), ("", None, False), (None, None, False), ("абв", 1.0, False), ("ab", 1.0, False)
+    }
+
+
+def test_vectors_decide_between(spark):
+    seed, tails = "abcdefghijkl", ["abc mnopqrst", "abc uvwxyz12", "abc 34567890"]
+    df = spark.createDataFrame([(1, seed, t) for t in tails], "seed_id long, seed string, tail string")
+    vectors = spark.createDataFrame([(seed, [1.0, 0.0]), (tails[0], [1.0, 1.0]), (tails[1], [0.0, 1.0])], "text string, embedding array<double>")
+    got = {r.tail: r.mismatch for r in agreement.category_mismatch(df, vectors).collect()}
+    assert got == dict(zip(tails, (False, True, False)))

@@ -53,7 +53,7 @@ def judged(spark, lexicon, facts, seed, grey, valid=(), **more):
 
 
 def test_proofs(spark, lexicon, facts):
-    relations = spark.createDataFrame([("цветок", "букет", "synonym"), ("цветок", "тюльпан", "cohyponym"), ("доставка", "заказать", "synonym")], "lemma string, related string, kind string")
+    relations = spark.createDataFrame([("цветок", "букет", "synonym"), ("цветок", "тюльпан", "cohyponym"), ("доставка", "заказать", "synonym")], "lemma string, other string, rel string")
     vectors = spark.createDataFrame([("цветок", [1.0, 0.0]), ("роза", [1.0, 0.1]), ("хлеб", [1.0, 0.0]), ("доставка", [0.0, 1.0])], "lemma string, embedding array<double>")
     valid = ["доставка цветов роза", "цветов роза", "где доставка цветов", "где доставка роза", "ящик цветов", "цветов ящик"]
     grey = ["доставка хлеб", "заказать букет", "заказать букет", "доставка тюльпан", "доставка роза", "где роза", "ящик заказать", "букет", "***"]
@@ -90,7 +90,7 @@ def test_stage_of_the_cascade(spark, lexicon, facts):
     keys = ["доставка цветов", "доставка хлеб", "доставка цветов хлеб", "заказать букет", "доставка букет"]
     rows = spark.createDataFrame([(1, "доставка цветов", i, k, "suffix") for i, k in enumerate(keys)], "seed_id long, seed string, pos long, keyword string, family string")
     words = lexicon.selectExpr("*", "'nomn' as case", "'sing' as number", "'masc' as gender", "1.0 as score")
-    relations = spark.createDataFrame([("цветок", "букет", "synonym")], "lemma string, related string, kind string")
+    relations = spark.createDataFrame([("цветок", "букет", "synonym")], "lemma string, other string, rel string")
     places, brands = spark.createDataFrame([], "name string, country string"), spark.createDataFrame([], "name string")
     run = {s: cascade.run_cascade(rows, places, brands, "UA", lexicon=words, stages=s, thesaurus={"facts": facts, "relations": relations}) for s in (("pre", "l0"), ("pre", "l0", "anchor"))}
     before, after = ({r.keyword: (r.label, r.stage, r.reason) for r in df.collect()} for df in run.values())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seedsift.llm import alignment, bpe, chat, decontaminate, licenses, line_templates, minhash, quality_knn, quality_rules, token_counts, url_filter
+from seedsift.llm import alignment, bpe, chat, conversations, decontaminate, html_text, licenses, line_templates, minhash, quality_knn, quality_rules, token_counts, url_filter
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_html_text": html_text.op12_html_text,
         "op13_token_alignment": alignment.op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }

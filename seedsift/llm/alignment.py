@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
-import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -55,8 +55,10 @@ def from_pairs(rows: np.ndarray, columns: np.ndarray, height: int, width: int) -
 
 
 def transposed(m: Csr) -> Csr:
-    """Counting sort by column."""
+    """Rows and columns exchanged."""
     rows = np.repeat(np.arange(len(m.starts) - 1), np.diff(m.starts))
+    if (m.columns[1:] >= m.columns[:-1]).all():
+        return from_pairs(m.columns, rows, m.width, len(m.starts) - 1)
     order = np.argsort(m.columns, kind="stable")
     return from_pairs(m.columns[order], rows[order], m.width, len(m.starts) - 1)
 
@@ -98,8 +100,10 @@ class Alignment(NamedTuple):
 def align(a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
     """Aligns two rows of tokens, given by their sizes, over the same bytes."""
     n = int(a_size.sum())
-    a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
-    cuts = np.intersect1d(a_end, b_end)
+    a_end, b_end = np.cumsum(a_size, dtype=np.int64), np.cumsum(b_size, dtype=np.int64)
+    ended = np.zeros(n + 1, bool)
+    ended[a_end] = True
+    cuts = b_end[ended[b_end]]
     a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
     by_group = [from_pairs(np.arange(len(g)), g, len(g), len(cuts)) for g in (a_group, b_group)]
     ends = product(last_bytes_of(a_size, n), transposed(last_bytes_of(b_size, n)))
@@ -108,26 +112,44 @@ def align(a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
     return Alignment(cuts, a_group, b_group, ends[:2], overlaps, shared[:2])
 
 
+#: Fixed value: the pattern for pre-tokens that the byte-level file asks for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class _Side:
+    """The bytes and decimal names of a tokenizer's ids."""
+
+    def __init__(self, tokens: list[bytes], inside: str, after: str):
+        self.size = np.array([len(t) for t in tokens], np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self.inside, self.after = (np.array([f"{i}{x}" for i in range(len(tokens))], object) for x in (inside, after))
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids].astype(np.int64)
+        first = np.cumsum(size) - size
+        return self.blob[np.arange(int(size.sum())) + np.repeat(self.start[ids] - first, size)].tobytes()
+
+
 class Encoders:
-    """Both tokenizers, and the bytes and decimal names of their ids."""
+    """Both tokenizers. The byte-level file's merges are in the order of its ids, so its vocabulary alone gives the ranks."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = {c: i for i, c in enumerate(byte_letters())}
         with open(a_path, encoding="utf-8") as f:
-            ids = json.load(f)["model"]["vocab"]
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for t, i in ids.items():
-            self.a_bytes[i] = bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else b""
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.size = [np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes)]
-        self.named = [[np.array([f"{i}{end}" for i in range(len(t))], object) for end in ends] for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
+            spec = json.load(f)
+        special = {x["content"] for x in spec["added_tokens"]}
+        ids = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in ids.items()}
+        self.a = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        tokens = [b""] * (max(ids.values()) + 1)
+        for t, i in ranks.items():
+            tokens[i] = t
+        self.sides = _Side(tokens, ",", "|"), _Side([self._piece(i) for i in range(self.b.get_piece_size())], ",", ";")
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -135,15 +157,17 @@ class Encoders:
             return b""
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of both sides for each text; none where the bytes of one are not the text's."""
-        whole = [" " + t for t in texts]
-        out = []
-        for w, a, b in zip(whole, self.a.encode_batch_fast(whole, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            a, raw = a.ids, w.encode()
-            good = len(w) > 1 and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((a, b) if good else ([], []))
-        return out
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts and how many each text has; none where the bytes of one side are not the text's."""
+        coded = [self.a.encode_ordinary(f" {t}") for t in texts], self.b.encode(texts, num_threads=1)
+        n = [np.fromiter(map(len, c), np.int64, len(texts)) for c in coded]
+        ids = [np.fromiter(itertools.chain.from_iterable(c), np.int64, int(k.sum())) for c, k in zip(coded, n)]
+        raw = [f" {t}".encode() if t else b"" for t in texts]
+        good = np.fromiter(map(bool, raw), bool, len(texts))
+        for side, i, k in zip(self.sides, ids, n):
+            said, size = side.bytes_of(i), np.bincount(np.repeat(np.arange(len(texts)), k), side.size[i], len(texts)).astype(int)
+            good &= [said[stop - z : stop] == r for r, stop, z in zip(raw, np.cumsum(size).tolist(), size.tolist())]
+        return [(i[np.repeat(good, k)], np.where(good, k, 0)) for i, k in zip(ids, n)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -166,11 +190,8 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def aligned_texts(e: Encoders, texts: list[str | None]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
     """Counts and hash of each text, the id pairs (A's id << 32 | B's id) of all links of tokens that end together, and where each text's begin."""
-    coded = e.encode([t or "" for t in texts])
-    n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
-    a = np.fromiter((i for c in coded for i in c[0]), np.int64, int(n_a.sum()))
-    b = np.fromiter((i for c in coded for i in c[1]), np.int64, int(n_b.sum()))
-    al = align(e.size[0][a], e.size[1][b])  # texts end at cuts, so no group or link crosses them
+    (a, n_a), (b, n_b) = e.encode([t or "" for t in texts])
+    al = align(e.sides[0].size[a], e.sides[1].size[b])  # texts end at cuts, so no group or link crosses them
     a_doc = np.repeat(np.arange(len(texts)), n_a)
     group_doc = np.zeros(len(al.cuts), np.int64)
     group_doc[al.a_group] = a_doc
@@ -189,9 +210,9 @@ def aligned_texts(e: Encoders, texts: list[str | None]) -> tuple[dict[str, list]
 def _spelled(e: Encoders, a: np.ndarray, b: np.ndarray, al: Alignment) -> tuple[np.ndarray, np.ndarray]:
     """Each token's id with the separator after it, and the order that puts each group's A tokens before its B tokens."""
     parts = []
-    for side, (ids, group) in enumerate(((a, al.a_group), (b, al.b_group))):
+    for side, ids, group in zip(e.sides, (a, b), (al.a_group, al.b_group)):
         last = np.append(group[1:] != group[:-1], True)[: len(group)]
-        parts.append(np.where(last, e.named[side][1][ids], e.named[side][0][ids]))
+        parts.append(np.where(last, side.after[ids], side.inside[ids]))
     order = np.argsort(np.concatenate((al.a_group * 2, al.b_group * 2 + 1)), kind="stable")
     return np.concatenate(parts), order
 

@@ -27,7 +27,9 @@ STOP_WORDS = (
 
 
 def _first_parse(lexicon: DataFrame, *columns: str) -> DataFrame:
-    return lexicon.where("rank = 0").groupBy("word").agg(*(F.first(c).alias(c) for c in columns))
+    """The parse of rank 0 by word, the least of several."""
+    least = lexicon.where("rank = 0").groupBy("word").agg(F.min(F.struct(*columns)).alias("_p"))
+    return least.select("word", *(F.col("_p")[c].alias(c) for c in columns))
 
 
 def seed_heads(seeds: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
 
-#: Endings that a stem loses, the longest first; markers of streets and complexes; prepositions of travel.
-ENDINGS = ("ского", "скому", "ском", "ская", "ской", "скую", "ский", "ские", "ских", "ами", "ями", "ах", "ях", "ов", "ев", "ом", "ем", "ой", "ей", "ам", "ям", "а", "я", "у", "ю", "е", "и", "ы", "ь")
+#: Endings that a stem loses, the longest that fits; markers of streets and complexes; prepositions of travel.
+ENDINGS = (
+    "ская", "ский", "ской", "ском", "скими", "ских", "скую", "ское", "кая", "кий", "кой", "ком", "кими", "ких", "кую", "кое",
+    "ой", "ый", "ий", "ом", "ем", "ам", "ях", "ах", "ою", "ее", "ие", "ые", "е", "и", "у", "ю", "а", "я", "ы",
+)
 STREETS = ("улица", "ул", "проспект", "пр", "переулок", "шоссе", "бульвар", "площадь")
 COMPLEXES = ("жк", "тц", "трц", "бц", "комплекс")
 TRAVEL = ("в", "во", "из", "до", "через", "на")

@@ -63,30 +63,3 @@ def intent_fingerprint(kw: DataFrame, lexicon: DataFrame, gazetteer: DataFrame)
     term = F.when(F.col("_geo"), F.lit("__GEO__")).otherwise(F.col("lemma"))
     found = kept.groupBy("seed_id", "kw_id").agg(F.array_join(F.array_sort(F.collect_set(term)), "|").alias("fp"))
     return kw.select("seed_id", "kw_id").join(found, ["seed_id", "kw_id"], "left").withColumn("fp", F.coalesce("fp", F.lit("__EMPTY__")))
-
-
-def lexical_signals(tails: DataFrame, terms: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """(tail, signals): the signals whose terms stand in a tail, as words, pairs or triples, or as first lemmas of its words.
-
-    terms: (signal, term), the caller's lists for commerce, reputation, location, time, contacts and so on.
-    """
-    from seedsift.operators.detectors import ngrams
-
-    grams = ngrams(tails.select("tail").distinct()).select("tail", "term")
-    if lexicon is not None:
-        first = lexicon.where("rank = 0").select(F.col("word").alias("term"), "lemma")
-        grams = grams.unionByName(grams.join(first, "term").select("tail", F.col("lemma").alias("term")))
-    return grams.join(terms.select("signal", F.lower("term").alias("term")), "term").groupBy("tail").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
-
-
-def prep_modifier(tails: DataFrame, lexicon: DataFrame, governed: DataFrame) -> DataFrame:
-    """(tail, fits): a tail that opens with a preposition, and whether a parse of the next noun has a case that it governs.
-
-    governed: (prep, case). Without any parse of the noun the tail is absent.
-    """
-    two = tails.select("tail").distinct().withColumn("_w", X.words("tail")).where("size(_w) >= 2")
-    pairs = two.select("tail", F.get("_w", F.lit(0)).alias("prep"), F.get("_w", F.lit(1)).alias("word"))
-    preps = governed.select("prep").distinct()
-    nouns = lexicon.where("pos = 'NOUN'").select("word", "case")
-    wide = pairs.join(preps, "prep", "left_semi").join(nouns, "word").join(governed.withColumn("_ok", F.lit(True)), ["prep", "case"], "left")
-    return wide.groupBy("tail").agg(F.max(F.coalesce("_ok", F.lit(False))).alias("fits"))

@@ -72,11 +72,11 @@ def with_lemma_sets(df: DataFrame, source: str, target: str, lexicon: DataFrame)
     return df.join(looked, source, "left").withColumn(target, F.coalesce(target, F.transform(source, lambda w: F.array(w))))
 
 
-# Letters in Latin, and Latin spellings of one sound, in this order.
+# Letters in Latin; Latin spellings of one sound, in this order.
 LATIN_LETTERS = {
-    "ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": "", "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e",
-    "ё": "e", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h",
-    "ы": "i", "э": "e",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "i", "ь": "", "э": "e", "ю": "yu",
+    "я": "ya",
 }
 ONE_SOUND = (("ph", "f"), ("th", "t"), ("ck", "k"), ("qu", "kv"), ("wh", "v"), ("x", "ks"), ("w", "v"), ("q", "k"), ("y", "i"))
 #: Least similarity by edits and least share of common pairs of letters.
@@ -113,7 +113,13 @@ def _match(kw: str, seed: str, kl: str, sl: str, content: str | None) -> str:
     return f"aggregate({rows}, {first}, {step(f'{content} and ' + cross_script(f'{seed}[s]', f'{kw}[q]'))})"
 
 
-def _left(kw: str, taken: str) -> str:
+def matched(kw: str, seed: str, kl: str, sl: str) -> str:
+    """SQL: which word of the keyword, by number, each word of the seed takes in turn by word or lemma; -1 for none."""
+    return _match(kw, seed, kl, sl, None)
+
+
+def left_over(kw: str, taken: str) -> str:
+    """SQL: the keyword's words that none took."""
     return f"array_join(filter(transform({kw}, (w, i) -> if(array_contains({taken}, i), null, w)), w -> w is not null), ' ')"
 
 
@@ -142,21 +148,27 @@ def by_sets(df: DataFrame, lexicon: DataFrame) -> DataFrame:
     rest = "filter(transform(_qp, (p, i) -> if(array_contains(_any_order, i), null, p)), p -> p is not null)"
     opens = f"coalesce(_sp[_missing].pos = 'PREP' and get({rest}, 0).pos = 'PREP', false)"
     partial = f"array_join(transform(if({opens}, slice({rest}, 2, size({rest})), {rest}), p -> p.word), ' ')"
-    tail = f"""case when size(_in_order) = size(_sw) then {in_order} when forall(_any_order, v -> v >= 0) then {_left('_qw', '_any_order')}
+    tail = f"""case when size(_in_order) = size(_sw) then {in_order} when forall(_any_order, v -> v >= 0) then {left_over('_qw', '_any_order')}
         when _missing is not null and size(filter(_any_order, v -> v >= 0)) >= 2 then {partial} end"""
     return df.withColumn("_by_sets", X.settled(F.expr(tail))).drop("_qs", "_ss", "_sp", "_qp", "_in_order", "_any_order", "_missing")
 
 
-def extract_tail(kw: DataFrame, lexicon: DataFrame | None = None, prepositions: tuple[str, ...] = PREPOSITIONS) -> DataFrame:
-    """Adds tail: exact place first, then the seed's words in order, then in any order; with a lexicon by sets of lemmas, by sound and without an empty word too."""
+def extract_tail(kw: DataFrame, lexicon: DataFrame | None = None, prepositions: tuple[str, ...] = PREPOSITIONS, places: DataFrame | None = None) -> DataFrame:
+    """Adds tail: exact place first, then the seed's words in order, then in any order; with a lexicon by sets of lemmas, by sound and without an empty word too.
+
+    With places (seedsift.operators.geo_tails.place_kinds) keywords that name a place of the target are cut by it before all.
+    """
+    from seedsift.operators.geo_tails import geo_first_tail
+
     own = kw.columns
+    kw = kw.withColumn("geo_tail", F.lit(None).cast("string")) if places is None else geo_first_tail(kw, places, lexicon)
     df = kw.withColumn("_q", X.squeeze("keyword")).withColumn("_s", X.squeeze("seed"))
     df = df.withColumn("_qw", X.words("_q")).withColumn("_sw", X.words("_s"))
     if lexicon is None:
         loose = F.coalesce(ordered("_qw", "_sw"), unordered("_qw", "_sw"))
     else:
         df, loose = by_sets(df, lexicon), F.col("_by_sets")
-    tail = F.coalesce(exact(F.col("_q"), F.col("_s"), prepositions), loose)
+    tail = F.coalesce("geo_tail", exact(F.col("_q"), F.col("_s"), prepositions), loose)
     return df.withColumn("tail", X.settled(F.when(F.col("_q") == F.col("_s"), F.lit("")).otherwise(tail))).select(*own, "tail")
 
 

@@ -34,12 +34,3 @@ def test_nominative_and_intent(spark, lexicon):
     places = spark.createDataFrame([("Киев",)], "name string")
     got = {r.kw_id: r.fp for r in M.intent_fingerprint(kw, lexicon, places).collect()}
     assert got == {1: "__GEO__|в", 2: "__EMPTY__", 3: "дешево|стать", 4: "__EMPTY__"}
-
-
-def test_lexical_signals_and_prepositions(spark, lexicon):
-    tails = spark.createDataFrame([("цена дома",), ("на дому срочно",), ("для дома",), ("для киеве",), ("для слова",)], "tail string")
-    terms = spark.createDataFrame([("commerce", "цена"), ("location", "на дому"), ("thing", "дом")], "signal string, term string")
-    got = {r.tail: r.signals for r in M.lexical_signals(tails, terms, lexicon).collect()}
-    assert got == {"цена дома": ["commerce", "thing"], "на дому срочно": ["location"], "для дома": ["thing"]}
-    fits = {r.tail: r.fits for r in M.prep_modifier(tails, lexicon, spark.createDataFrame([("для", "gent")], "prep string, case string")).collect()}
-    assert fits == {"для дома": True, "для киеве": False}

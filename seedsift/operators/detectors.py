@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
-from seedsift.operators import grammar
+from seedsift.operators import grammar, places
 
 #: How much each signal weighs; any other weighs 0.5.
 POSITIVE_WEIGHTS = {
@@ -29,6 +29,16 @@ NEGATIVE_WEIGHTS = {
     "single_infinitive": 0.5, "intent_mismatch": 0.9, "wrong_district": 0.95, "wrong_geo_token": 0.95, "unknown_district": 0.4,
     "retailer_foreign": 0.95,
 }
+#: Detectors that read a column of seedsift.operators.places or of agreement.category_mismatch; without the column they never fire.
+BY_FLAG = {
+    "category_mismatch": "mismatch", "truncated_geo": "truncated", "truncated_geo_foreign": "truncated_foreign", "wrong_district": "wrong_district",
+    "unknown_district": "unknown_district", "wrong_geo_token": "wrong_city",
+}
+#: Positive signals beside which a mismatch of categories says nothing.
+SURE = (
+    "geo", "brand", "location", "contacts", "time", "verb_modifier", "prep_modifier", "conjunctive", "info_intent", "premod_adj", "postmod_adj",
+    "commerce", "reputation", "action", "type_spec", "product_spec", "retailer",
+)
 #: Unfinished words, question words, conjunctions, memory units, and model names that are no brands of their own.
 NOISE_WORDS = ("различия", "отличия", "особенности", "преимущества", "недостатки", "разница", "разницы", "означает", "значит", "включает", "содержит", "относится")
 QUESTION_WORDS = ("где", "как", "куда", "когда", "какой", "какая", "какое", "сколько")
@@ -138,6 +148,7 @@ REGISTRY: dict[str, Detector] = {
         _known("standalone_num", standalone_num),
         _known("foreign_geo", lambda: F.col("has_foreign") & ~F.col("has_geo")),
         _known("retailer_foreign", lambda: F.col("retailer_foreign")),
+        *(_known(name, lambda c=c: F.col(c)) for name, c in BY_FLAG.items()),
         *(_known(name, build, lexical=True) for table in (grammar.POSITIVE, grammar.NEGATIVE) for name, build in table.items()),
     )
 }
@@ -197,10 +208,16 @@ def signals(hits: DataFrame, lexicon: DataFrame | None = None, names: list[str]
 
     side, if the rows have it, says where the tail stands: pre or post the seed's first word, or infix. The detectors of
     words and grammar are looked at only for tails with a Cyrillic letter, unless a lexicon says what other words are.
+    The rows may have the flags of places.place_signals with seed_city, own_geo and after_city, and mismatch; own_geo
+    and after_city are part of a row's key then and stay.
     """
     from seedsift.operators.tails import with_lemmas
 
+    keys = ["seed_id", "tail", "side", *(c for c in ("own_geo", "after_city") if c in hits.columns)]
+    missing = [c for c in (*BY_FLAG.values(), "own_geo", "after_city") if c not in hits.columns]
     df = hits if "side" in hits.columns else hits.withColumn("side", F.lit("none"))
+    df = df.withColumns({c: F.lit(False) for c in missing})
+    df = df if "seed_city" in df.columns else df.withColumn("seed_city", F.lit(None).cast("string"))
     df = df.withColumn("_sw", X.words("seed")).withColumn("_tw", X.words("tail")).withColumn("_read", F.lit(lexicon is not None) | F.col("tail").rlike(f"[{X.CYRILLIC}]"))
     df = with_lemmas(with_lemmas(df, "_tw", "_tl", lexicon), "_sw", "_sl", lexicon)
     df = grammar.with_parses(grammar.with_parses(df, "_tw", "_tp", lexicon), "_sw", "_sp", lexicon)
@@ -213,5 +230,17 @@ def signals(hits: DataFrame, lexicon: DataFrame | None = None, names: list[str]
     for side, positive in (("positive", True), ("negative", False)):
         fired = [fires(d) for d in chosen if d.positive is positive]
         df = df.withColumn(side, X.settled(F.array_compact(F.array(*fired)) if fired else F.array().cast("array<string>")))
-    df = grammar.settle_conflicts(df) if names is None else df
-    return df.select("seed_id", "tail", "side", "positive", "negative")
+    once = lambda d: d.withColumns({c: X.settled(F.col(c)) for c in ("positive", "negative")})
+    if "own_geo" in keys or "after_city" in keys:
+        df = once(places.settle_places(df))
+    if "mismatch" in hits.columns:
+        df = once(df.withColumn("negative", F.when(_explained(), F.array_remove("negative", "category_mismatch")).otherwise(F.col("negative"))))
+    df = once(grammar.settle_conflicts(df)) if names is None else df
+    return df.select(*keys, "positive", "negative")
+
+
+def _explained() -> Column:
+    """Whether a sure signal, or a verb without a foreign noun, explains why a tail shares no letters with its seed."""
+    verb = "exists(p.all, a -> coalesce(a.pos in ('INFN', 'VERB'), false))"
+    acts = f"exists(_tp, p -> {verb}) and not exists(_tp, p -> not {verb} and coalesce(p.pos = 'NOUN', false) and not array_contains(p.marks, 'Geox'))"
+    return F.arrays_overlap("positive", F.array(*map(F.lit, SURE))) | F.coalesce(F.expr(acts), F.lit(False))

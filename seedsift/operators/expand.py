@@ -28,7 +28,7 @@ LETTER_STRUCTS = [
     ("L_col", "{s} {x} :", "end"), ("hyp_B_trail", "{s} - {x} ", "end"), ("hyp_Lwc", "{s} - {x} *", "end"), ("hyp_wcL", "{s} - * {x}", "end"), ("L_hyp", "{s} {x} -", "end"),
 ]
 PREFIX_STRUCTS = [("plain", "{x} {s}", "start"), ("star", "{x} * {s}", "start"), ("dash", "{x} - {s}", "start"), ("colon", "{x} : {s}", "start")]
-QUESTIONS = ["как", "что", "где", "почему", "сколько", "какой", "когда", "зачем"]
+QUESTIONS = ["как", "какой", "где", "сколько", "почему"]
 LATIN_LETTERS, CYRILLIC_LETTERS = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщэюя"
 UKRAINIAN_LETTERS = "абвгдежзийклмнопрстуфхцчшщюяіїєґ"
 #: A probe's priority by the seed's marker and the template's kind, 1 where nothing is said; the least over the markers counts.

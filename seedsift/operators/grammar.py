@@ -312,9 +312,11 @@ NEGATIVE = {
 
 
 def settle_conflicts(df: DataFrame) -> DataFrame:
-    """Adds intent_mismatch where the seed asks for what no price or place answers; a specification drops what it explains."""
+    """Adds intent_mismatch where the seed asks for what no price or place answers; a district's word is no location of its own, and a
+    specification drops what it explains."""
     first = "get(_sw, 0)"
     clash = f"({_in(first, NO_PRICE)} and array_contains(positive, 'commerce')) or ({_in(first, NO_PLACE)} and array_contains(positive, 'geo'))"
     df = df.withColumn("negative", F.expr(f"if({clash}, array_append(negative, 'intent_mismatch'), negative)"))
+    df = df.withColumn("positive", F.expr("if(arrays_overlap(negative, array('wrong_district', 'unknown_district')), array_remove(positive, 'location'), positive)"))
     names = ", ".join(map(repr, BY_SPEC))
     return df.withColumn("negative", F.expr(f"if(array_contains(positive, 'product_spec'), array_except(negative, array({names})), negative)"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedsift.operators import anchors, arbitration, clean, detectors, geo, statistics, tails
+from seedsift.operators import agreement, anchors, arbitration, clean, detectors, geo, geo_tails, places as seed_places, seed_match, statistics, tails
 from seedsift.sources.shared import written
 
 STAGES = ("pre", "l0")
@@ -43,9 +43,48 @@ def _prove_anchors(df: DataFrame, lexicon: DataFrame, thesaurus: dict[str, DataF
     return df.withColumn("label", F.when(F.col("_anchor").isNotNull(), "TRASH").otherwise(F.col("label"))).withColumn("reason", F.coalesce("reason", "_anchor")).drop("_anchor")
 
 
+def label_tails(
+    kw: DataFrame, gazetteer: DataFrame, brands: DataFrame, target: str, retailers: DataFrame | None = None, lexicon: DataFrame | None = None,
+    geo_db: DataFrame | None = None, names: DataFrame | None = None, districts: DataFrame | None = None, vectors: DataFrame | None = None,
+    categories: bool = False, detector_names: list[str] | None = None,
+) -> DataFrame:
+    """kw (seed_id, seed, keyword, tail, side, ...) with positive, negative, label and confidence; each seed's distinct tails are decided once.
+
+    With geo_db (name, countries), names (name, canonical) and districts places count beside the seed's city, and a column own_geo of kw may say
+    that earlier rules confirmed a place. categories adds the mismatch of seed and tail, with vectors (text, embedding) where triples do not decide.
+    """
+    keys = ["seed_id", "tail", "side"]
+    if geo_db is not None:
+        dims = (geo_db, names, districts, target, lexicon)
+        kw = seed_places.content_after_city(kw, *dims)
+        kw, keys = kw if "own_geo" in kw.columns else kw.withColumn("own_geo", F.lit(False)), [*keys, "own_geo", "after_city"]
+        kw = written(kw)
+    pairs = kw.select("seed", *keys).where("tail <> ''").distinct()
+    hits = detectors.dictionary_hits(pairs, gazetteer, brands, target, retailers)
+    if geo_db is not None:
+        found = seed_places.place_signals(pairs.select("seed_id", "seed", "tail").distinct(), *dims).drop("seed")
+        hits = hits.join(found, ["seed_id", "tail"], "left")
+    if categories:
+        hits = hits.join(agreement.category_mismatch(pairs, vectors).select("seed_id", "tail", "mismatch"), ["seed_id", "tail"], "left")
+    fired = detectors.signals(hits, lexicon, detector_names)
+    df = kw.join(arbitration.arbitrate(fired), keys, "left").drop("after_city")
+    none = F.array().cast("array<string>")
+    df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))
+    return df.withColumn("label", F.coalesce("label", F.lit("GREY"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+
+
+def _demote(df: DataFrame, profiles: DataFrame, lexicon: DataFrame | None, brands: DataFrame) -> DataFrame:
+    """Valid keywords that lack what their seed cannot do without become GREY."""
+    valid = df.where("label = 'VALID'").select("seed_id", "keyword").distinct()
+    lost = seed_match.sanity_demotions(valid, profiles, lexicon, brands).where("demoted_reason is not null")
+    df = df.join(lost, ["seed_id", "keyword"], "left").withColumn("demoted", (F.col("label") == "VALID") & F.col("demoted_reason").isNotNull())
+    reason = F.when(F.col("demoted"), F.concat(F.lit("sanity_mismatch:"), "demoted_reason")).otherwise(F.col("reason"))
+    return df.withColumn("reason", reason).withColumn("label", F.when(F.col("demoted"), "GREY").otherwise(F.col("label"))).drop("demoted_reason")
+
+
 def _decide_grey(df: DataFrame) -> DataFrame:
     """Grey tails by their statistics; one decision for all keywords of a tail."""
-    decided = statistics.l2_decisions(df.withColumn("demoted", F.lit(False))).select("seed_id", "tail", "l2_label")
+    decided = statistics.l2_decisions(df if "demoted" in df.columns else df.withColumn("demoted", F.lit(False))).select("seed_id", "tail", "l2_label")
     hit = (F.col("label") == "GREY") & F.col("l2_label").isNotNull()
     df = df.join(decided, ["seed_id", "tail"], "left").withColumn("stage", F.when(hit, "l2").otherwise(F.col("stage")))
     return df.withColumn("label", F.when(hit, F.col("l2_label")).otherwise(F.col("label"))).drop("l2_label")
@@ -63,7 +102,7 @@ def run_cascade(
     kw: DataFrame, gazetteer: DataFrame, brands: DataFrame, target: str, retailers: DataFrame | None = None,
     lexicon: DataFrame | None = None, stages: tuple[str, ...] = STAGES, places: DataFrame | None = None,
     districts: DataFrame | None = None, verdicts: DataFrame | None = None,
-    thesaurus: dict[str, DataFrame] | None = None,
+    thesaurus: dict[str, DataFrame] | None = None, names: DataFrame | None = None, seed_rules: bool = False,
 ) -> DataFrame:
     """(seed_id, seed, pos, keyword, family) with stage, reason, tail, signals, label, confidence and group.
 
@@ -71,11 +110,17 @@ def run_cascade(
     from the gazetteer where none are given. anchor, l2 and verdict follow l0; anchor needs the lexicon and may have a
     thesaurus of the tables facts, relations and vectors; verdict needs verdicts (seed_id, keyword, verdict), of which
     the least one counts. The confidence is that of the detectors.
+
+    With names (name, canonical), and districts, tails that name a place come first and places count beside the seed's city. seed_rules judges keywords
+    without their seed, looks again without its last word, adds the mismatch of categories (by the thesaurus's texts where triples do not
+    decide) and demotes valid keywords that lack what the seed needs.
     """
     if {"anchor", "l2", "verdict"} & {*stages} and "l0" not in stages:
         raise ValueError("anchor, l2 and verdict judge what l0 labelled")
     if "anchor" in stages and lexicon is None:
         raise ValueError("the anchor stage needs a lexicon")
+    if names is not None and districts is None:
+        raise ValueError("places beside the seed's city need districts")
     if "verdict" in stages and verdicts is None:
         raise ValueError("the verdict stage needs verdicts")
     df = clean.dedupe_first(kw)
@@ -84,20 +129,25 @@ def run_cascade(
         df = _block_places(written(df), places_of(gazetteer) if places is None else places, districts, target, lexicon)
     else:
         df = df.withColumn("stage", F.lit(None).cast("string"))
-    df = tails.extract_tail(df, lexicon).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
+    kinds = None if names is None else geo_tails.place_kinds(places_of(gazetteer) if places is None else places, None, districts, target)
+    df = df if kinds is None else written(df)
+    df = tails.extract_tail(df, lexicon, places=kinds).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail")))
+    profiles = None
+    if seed_rules:
+        df = written(df)
+        profiles = written(seed_match.seed_profiles(df.select("seed_id", "seed").distinct(), lexicon, brands))
+        judged = seed_match.no_seed_rules(written(seed_match.short_seed_tails(df, profiles, lexicon)), profiles)
+        df = judged.withColumn("stage", F.when(F.col("reason").isNull() & F.col("no_seed_reason").isNotNull(), "l0").otherwise(F.col("stage")))
+        df = df.withColumn("reason", F.coalesce("reason", "no_seed_reason")).withColumn("tail", F.when(F.col("reason").isNull(), F.col("tail"))).drop("no_seed_reason")
     if "l0" in stages:
-        # Each seed's distinct tails are decided once.
-        df = df.withColumn("side", tails.side())
-        pairs = df.select("seed_id", "seed", "tail", "side").where("tail <> ''").distinct()
-        fired = detectors.signals(detectors.dictionary_hits(pairs, gazetteer, brands, target, retailers), lexicon)
-        df = df.join(arbitration.arbitrate(fired), ["seed_id", "tail", "side"], "left").drop("side")
-        none = F.array().cast("array<string>")
-        df = df.withColumn("positive", F.coalesce("positive", none)).withColumn("negative", F.coalesce("negative", none))
-        df = df.withColumn("label", F.coalesce("label", F.lit("GREY"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+        where = {} if names is None else {"geo_db": places_of(gazetteer) if places is None else places, "names": names, "districts": districts}
+        df = label_tails(df.withColumn("side", tails.side()), gazetteer, brands, target, retailers, lexicon, **where, categories=seed_rules, vectors=(thesaurus or {}).get("texts")).drop("side", "own_geo")
     is_seed = F.coalesce(F.col("tail") == "", F.lit(False))
     df = df.withColumn("stage", F.coalesce("stage", F.when(F.col("reason").isNotNull(), "pre").otherwise("l0")))
     label = F.when(F.col("reason").isNotNull(), "TRASH").when(is_seed, "VALID").otherwise(F.col("label"))
     df = df.withColumn("label", label).withColumn("confidence", F.when(is_seed | F.col("reason").isNotNull(), 1.0).otherwise(F.col("confidence")))
+    if seed_rules and "l0" in stages:
+        df = _demote(written(df), profiles, lexicon, brands)
     if "anchor" in stages:
         df = _prove_anchors(written(df), lexicon, thesaurus or {})
     if "l2" in stages:

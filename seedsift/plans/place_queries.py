@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
-from seedsift.operators import geo_tails, places
+from seedsift.operators import detectors, geo_tails, places
+from seedsift.plans import cascade
 from seedsift.sources import tables as S
 from seedsift.sources.shared import written
 
@@ -121,6 +122,18 @@ def tails(spark, sf):
     return geo_tails.geo_first_tail(rows, written(kinds), written(_lexicon(spark, sf))).drop("seed")
 
 
+def labels(spark, sf):
+    """Tails by places, brands and categories alone. Keywords with another spelling of a city count as confirmed."""
+    geo, names, districts, target, lexicon = _dims(spark, sf)
+    gazetteer = geo.select("name", F.explode("countries").alias("country"))
+    brands = _parts(spark, sf).where("length(n2) = 4").select(cyrillic("n2").alias("name")).distinct()
+    kw = _keywords(spark, sf).withColumns({"side": F.lit("none"), "own_geo": F.contains("keyword", cyrillic(F.lit("alt")))})
+    chosen = ["geo", "brand", "foreign_geo", *detectors.BY_FLAG]
+    out = cascade.label_tails(kw, gazetteer, brands, target, None, lexicon, geo, names, districts, categories=True, detector_names=chosen)
+    joined = {c: F.array_join(F.array_sort(c), ",") for c in ("positive", "negative")}
+    return out.select("seed_id", "keyword", "tail", *(c.alias(n) for n, c in joined.items()), "label")
+
+
 def _cy(c: str) -> str:
     return f"translate(lower({c}), '{LATIN}', '{CYRILLIC}')"
 
@@ -191,10 +204,37 @@ tk as (select *, list_reduce(range(1, len(sw) + 1), lambda acc, s: list_append(a
 ou as (select seed_id, keyword, nullif(array_to_string(list_transform(list_filter(range(1, len(qw) + 1), lambda x: not list_contains(taken, x)), lambda x: qw[x]), ' '), '') as tail from tk where shown and len(list_filter(range(pl, pl + n), lambda x: not list_contains(taken, x))) > 0)
 select kd.seed_id, kd.keyword, ou.tail as geo_tail from (select distinct seed_id, keyword from kr) kd left join ou on ou.seed_id = kd.seed_id and ou.keyword = kd.keyword"""
 
+_LABELS = (
+    _SIGNALS.replace("select tl.seed_id, tl.tail, truncated,", "sg as (select tl.seed_id, tl.tail, truncated,", 1).replace("\nsg as", ",\nsg as", 1)
+    + r""")"""
+    + _AFTER.removeprefix(_DIMS).replace("select kd.seed_id, kd.keyword, exists", "af as (select kd.seed_id, kd.keyword, exists", 1).replace("\naf as", ",\naf as", 1)
+    + r"""),
+gz as (select name, bool_or(list_contains(countries, 'asia')) as own from ge group by 1),
+br as (select distinct """
+    + _cy("n2")
+    + r""" as name from pt where length(n2) = 4),
+hi as (select seed_id, tail, coalesce(bool_or(gz.own), false) as own, coalesce(bool_or(gz.name is not null), false) as place, bool_or(br.name is not null) as brand from (select seed_id, tail, unnest(string_split(tail, ' ')) as word from tl) x left join gz on gz.name = word left join br on br.name = word group by 1, 2),
+tt as (select distinct kr.seed_id, kr.tail, replace(seed, ' ', '_') as a, replace(tail, ' ', '_') as b from kr),
+tp as (select seed_id, tail, list_distinct(list_transform(range(1, greatest(length(a) - 2, 1) + 1), lambda i: a[i:i + 2])) as x, list_distinct(list_transform(range(1, greatest(length(b) - 2, 1) + 1), lambda i: b[i:i + 2])) as y from tt),
+mi as (select seed_id, tail, len(list_intersect(x, y)) / least(len(x), len(y)) <= 0.05 as far from tp),
+j as (select kr.seed_id, kr.keyword, kr.tail, own or (contains(kr.keyword, """
+    + _cy("'alt'")
+    + r""") and sg.seed_city is null) as g0, contains(kr.keyword, """
+    + _cy("'alt'")
+    + r""") as conf, after_city, own, place, brand, far, truncated, truncated_foreign, wrong_district, unknown_district, wrong_city
+  from kr join sg on sg.seed_id = kr.seed_id and sg.tail = kr.tail join af on af.seed_id = kr.seed_id and af.keyword = kr.keyword join hi on hi.seed_id = kr.seed_id and hi.tail = kr.tail join mi on mi.seed_id = kr.seed_id and mi.tail = kr.tail),
+f as (select *, list_filter([case when brand then 'brand' end, case when g0 and not after_city then 'geo' end], lambda x: x is not null) as positive from j),
+n as (select *, list_sort(list_filter([case when far and len(positive) = 0 then 'category_mismatch' end, case when place and not own and not conf then 'foreign_geo' end, case when truncated and not conf then 'truncated_geo' end, case when truncated_foreign and not conf then 'truncated_geo_foreign' end,
+    case when unknown_district then 'unknown_district' end, case when wrong_district then 'wrong_district' end, case when wrong_city then 'wrong_geo_token' end], lambda x: x is not null)) as negative,
+    list_has_any([case when place and not own and not conf then 'x' end, case when truncated_foreign and not conf then 'x' end, case when wrong_district then 'x' end, case when wrong_city then 'x' end], ['x']) as absolute from f)
+select seed_id, keyword, tail, array_to_string(positive, ',') as positive, array_to_string(negative, ',') as negative, case when len(positive) > 0 and len(negative) = 0 then 'VALID' when len(positive) = 0 and len(negative) = 0 then 'GREY' when absolute then 'TRASH' when len(positive) > 0 then 'VALID' else 'GREY' end as label from n"""
+)
+
 QUERIES = {
     "place_parts": (parts, _DIMS + " select part, name, array_to_string(countries, ',') as countries from np"),
     "seed_cities": (cities, _DIMS + " select seed_id, city, array_to_string(cities, ',') as cities from ct"),
     "place_signals": (signals, _SIGNALS),
     "after_city": (after, _AFTER),
     "geo_tails": (tails, _TAILS),
+    "place_labels": (labels, _LABELS),
 }

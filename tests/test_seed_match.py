@@ -148,3 +148,27 @@ def test_cascade_of_domains(spark, lexicon):
     out = {(r.keyword, r.n): (r.label, r.domain_reason) for r in domain_anchors.apply_domain(kw, axes(spark, lexicon, "аккумулятор на скутер", "роза"), lexicon).collect()}
     assert out[("букет", 1)] == ("TRASH", "no_domain_anchor") and out[("букет", 2)] == ("VALID", None) and out[("x", 3)] == ("GREY", "too_few")
     assert sum(v == ("GREY", "shown") for v in out.values()) == 9
+
+
+def test_cascade_with_places_and_seed_rules(spark, lexicon, brands):
+    """Places come first, keywords without their seed are judged, and what lacks the model is demoted and stays grey in the statistics."""
+    from seedsift.plans import cascade
+
+    geo = spark.createDataFrame([("москва", "ru"), ("киев", "ua"), ("йошкар-ола", "ru")], "name string, country string")
+    names = spark.createDataFrame([("москва", "moscow"), ("киев", "kyiv")], "name string, canonical string")
+    districts = spark.createDataFrame([("голосеевский район", "киев", "ua")], "name string, city string, country string")
+    rows = {
+        "доставка цветов киев": ("VALID", "l0", None), "доставка цветов йошкар": ("TRASH", "l0", None), "букет роза": ("GREY", None, None), "їх доставка": ("TRASH", "l0", "wrong_language:letter"),
+    }
+    other = {"ремонт s7": ("TRASH", "l0", "wrong_model"), "ремонт samsung": ("GREY", None, "sanity_mismatch:missing_model:s21"), "ремонт samsung s21 киев": ("VALID", "l0", None), "ремонт s21 киев": ("GREY", "l2", "sanity_mismatch:missing_brand")}
+    kw = spark.createDataFrame(
+        [(0, "доставка цветов", i, k, "suffix") for i, k in enumerate(rows)] + [(1, "ремонт samsung s21", i, k, "suffix") for i, k in enumerate(other)], "seed_id long, seed string, pos long, keyword string, family string"
+    )
+    out = cascade.run_cascade(kw, geo, brands, "ua", lexicon=lexicon, stages=("pre", "l0", "l2"), names=names, districts=districts, seed_rules=True)
+    found = out.select("keyword", "label", "stage", "reason", "demoted").collect()
+    got = {r.keyword: (r.label, r.stage, r.reason) for r in found}
+    for k, (label, stage, reason) in (rows | other).items():
+        assert got[k][0] == label and got[k][2] == reason and (stage is None or got[k][1] == stage), (k, got[k])
+    assert {r.keyword for r in found if r.demoted} == {"ремонт s21 киев", "ремонт samsung"}
+    with pytest.raises(ValueError):
+        cascade.run_cascade(kw, geo, brands, "ua", names=names)

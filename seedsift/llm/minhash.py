@@ -16,8 +16,8 @@
    a bucket that could add a link is left out.
 
 Null or empty text has an empty set and no links. A row without doc_id has no links, a null component_id and
-is kept. Rows that share a doc_id count as one node and each keeps its row; the smallest doc_id of a group
-stays, so there are no ties. Very long texts: only the few bytes of their bands travel, and their text only
+is kept. Rows that share a doc_id count as one node, linked by each of their texts, and each keeps its row and the
+size of its own set; the smallest doc_id of a group stays, so there are no ties. Very long texts: only the few bytes of their bands travel, and their text only
 if they are candidates. Only doc_id and text are read, so other columns cannot clash. Empty input: empty
 result.
 """
@@ -111,6 +111,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_key(s: np.ndarray) -> np.ndarray:
+    """128 bits of a set, in two halves; the first one tells the texts of one document apart."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+
+
 def features(docs: DataFrame, words: int) -> DataFrame:
     """Of every row of (doc_id, text): set size, a key of the set in two halves, band keys and two sketches."""
     made: list[Shingler] = []
@@ -121,7 +126,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             made.append(Shingler(words))
         sets = [made[0].set_of(t) for t in texts]
         n = np.array([len(s) for s in sets])
-        key = np.array([[0, 0] if not len(s) else np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64)
+        key = np.array([[0, 0] if not len(s) else set_key(s) for s in sets], np.int64)
         bands = np.zeros((len(sets), BANDS), np.uint64)
         sketch = np.zeros((len(sets), 2), np.uint64)
         full = np.flatnonzero(n)
@@ -148,18 +153,23 @@ def _possible(n_a, n_b, s1_a, s1_b, s2_a, s2_b, percent: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold, as edges (u, v)."""
+    """The pairs (a, ka, b, kb) whose full sets meet the threshold, as edges (u, v). Of several texts of a document the one with the set's key counts."""
     made: list = []
 
-    def run(a, texts_a, b, texts_b):
+    def run(a, keys_a, texts_a, b, keys_b, texts_b):
         if not made:
             made.extend((Shingler(words), {}))
         shingler, last = made
         u, v = [], []
-        for i, s, j, t in zip(a, texts_a, b, texts_b):
-            if last.get("id") != i:
-                last.update(id=i, set=shingler.set_of(s))
+        for i, ki, s, j, kj, t in zip(a, keys_a, texts_a, b, keys_b, texts_b):
+            if last.get("text") != s:
+                found = shingler.set_of(s)
+                last.update(text=s, set=found, key=set_key(found)[0])
+            if last["key"] != ki:
+                continue
             mine, other = last["set"], shingler.set_of(t)
+            if set_key(other)[0] != kj:
+                continue
             both = len(np.intersect1d(mine, other, assume_unique=True))
             if 100 * both >= percent * (len(mine) + len(other) - both):
                 u.append(i)
@@ -171,7 +181,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     some = maybe_in(second, "b", bitmap(pairs, "b"))
     wide = pairs.join(some, "b")
     wide = wide.join(maybe_in(first, "a", bitmap(pairs, "a")), "a")
-    return map_batches(wide, ["a", "text_a", "b", "text_b"], run, "u long, v long", rows=64)
+    return map_batches(wide, ["a", "ka", "text_a", "b", "kb", "text_b"], run, "u long, v long", rows=64)
 
 
 def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -181,10 +191,10 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     the other block; then those members' texts do. A block holds BLOCK members and BLOCK_SHINGLES shingles on average.
     """
     bits = scratch.write(bitmap(members, "id"))
-    known = scratch.write(members.join(maybe_in(reps, "id", bits), "id"))
+    known = scratch.write(members.join(maybe_in(reps, "id", bits), ["id", "k"]))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     counted = known.groupBy("bucket").agg(F.sum("n").alias("weight"))
-    dealt = known.join(counted, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    dealt = known.join(counted, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "k"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "m", "weight")
 
     def partners(pdf):
@@ -201,17 +211,19 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
                 yield i, j
 
     def meet(pdf):
-        pdf = pdf.drop_duplicates("id")
+        pdf = pdf.drop_duplicates(["id", "k"])
         some = np.zeros(len(pdf), bool)
         for i, j in partners(pdf):
             some[i] = some[j] = True
-        return pdf.loc[some, ["bucket", "x", "y", "id"]]
+        return pdf.loc[some, ["bucket", "x", "y", "id", "k"]]
 
     def settle(pdf):
         shingler = Shingler(words)
-        pdf = pdf.drop_duplicates("id")
-        sets, ids = [shingler.set_of(t) for t in pdf["text"]], pdf["id"].to_numpy()
-        sizes = np.array([len(s) for s in sets])
+        sets = [shingler.set_of(t) for t in pdf["text"]]
+        kept = np.array([i for i, (s, k) in enumerate(zip(sets, pdf["k"])) if len(s) and set_key(s)[0] == k], np.intp)
+        kept = kept[~pdf[["id", "k"]].iloc[kept].duplicated().to_numpy()]
+        pdf, sets = pdf.iloc[kept], [sets[i] for i in kept]
+        ids, sizes = pdf["id"].to_numpy(), np.array([len(s) for s in sets])
         u, v = [], []
         for i, j in partners(pdf):
             all_of = np.concatenate([sets[k] for k in j])
@@ -222,10 +234,10 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
             v += list(ids[good])
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    wanted = scratch.write(dealt.groupBy("bucket", "x", "y").applyInPandas(meet, "bucket long, x int, y int, id long"))
+    wanted = scratch.write(dealt.groupBy("bucket", "x", "y").applyInPandas(meet, "bucket long, x int, y int, id long, k long"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     few = maybe_in(texts, "id", bitmap(wanted, "id"))
-    return dealt.join(wanted, ["bucket", "x", "y", "id"]).join(few, "id").groupBy("bucket", "x", "y").applyInPandas(settle, "u long, v long")
+    return dealt.join(wanted, ["bucket", "x", "y", "id", "k"]).join(few, "id").groupBy("bucket", "x", "y").applyInPandas(settle, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -241,28 +253,32 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     feats = scratch.write(features(docs, words))
     classes = scratch.write(feats.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     small = percent / (100 - percent) if percent < 100 else float("inf")  # smaller sets link to equal ones only
-    chosen = feats.where(F.col("n") >= small).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = scratch.write(chosen.dropDuplicates(["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "id").drop("k1", "k2"))
-    sketches = reps.select("id", "n", "s1", "s2")
-    members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    heads = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m")).where("a < z").drop("z")
-    shared = scratch.write(members.join(heads, "bucket"))
-    stars = shared.where("id > a").select("a", F.col("id").alias("b")).distinct()
-    named = lambda side: sketches.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "s1", "s2")))
-    stars = stars.join(named("a"), "a").join(named("b"), "b")
+    chosen = feats.where(F.col("n") >= small).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
+    reps = scratch.write(chosen.dropDuplicates(["doc_id", "k1", "k2"]).withColumnsRenamed({"doc_id": "id", "k1": "k"}).drop("k2"))
+    sketches = reps.select("id", "k", "n", "s1", "s2")
+    members = reps.select("id", "k", F.posexplode("bands").alias("band", "bucket"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("id", "k")).alias("h"), F.max("id").alias("z"), F.count("*").alias("m")).where("h.id < z")
+    shared = scratch.write(members.join(heads.select("bucket", F.col("h.id").alias("a"), F.col("h.k").alias("ka"), "m"), "bucket"))
+    stars = shared.where("id > a").select("a", "ka", F.col("id").alias("b"), F.col("k").alias("kb")).distinct()
+    named = lambda side: sketches.select(F.col("id").alias(side), F.col("k").alias(f"k{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "s1", "s2")))
+    stars = stars.join(named("a"), ["a", "ka"]).join(named("b"), ["b", "kb"])
     fit = _possible("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b", percent)
-    tried = scratch.write(stars.where(fit).select("a", "b").distinct())
-    edges = scratch.write(confirm(tried, docs, words, percent))
+    pair = ["a", "ka", "b", "kb"]
+    tried = scratch.write(stars.where(fit).select(*pair).distinct())
+    # A document with several texts is one node: its own id and the ids that stand for its texts belong together.
+    several = feats.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id")
+    own = feats.select("doc_id", "k1", "k2").join(several, "doc_id", "left_semi").join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    edges = scratch.write(confirm(tried, docs, words, percent).unionByName(own))
     groups = scratch.write(components(edges, scratch))
 
-    placed = shared.join(groups, shared["id"] == groups["node"], "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("c"))
+    placed = shared.join(groups, shared["id"] == groups["node"], "left").select("bucket", "band", "m", "id", "k", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     left = scratch.write(placed.join(mixed, "bucket"))
     scratch.drop(shared)
-    few = left.where(F.col("m") <= SMALL_BUCKET).join(sketches, "id")
-    one, two = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s1", "s2", "c"))) for s in ("a", "b"))
+    few = left.where(F.col("m") <= SMALL_BUCKET).join(sketches, ["id", "k"])
+    one, two = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "k", "n", "s1", "s2", "c"))) for s in ("a", "b"))
     across = one.join(two, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fit)
-    across = scratch.write(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    across = scratch.write(across.select(*(F.col(f"{c}_{s}").alias(x) for c, s, x in zip(("id", "k") * 2, "aabb", pair))).distinct().join(tried, pair, "left_anti"))
     more, many = confirm(across, docs, words, percent), left.where(F.col("m") > SMALL_BUCKET)
     if not many.isEmpty():
         more = more.unionByName(block_links(many, reps, docs, words, percent, scratch))
@@ -270,8 +286,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     scratch.drop(left, reps, across, tried)
     if not more.isEmpty():
         groups = scratch.write(components(edges.unionByName(more), scratch))
-    of_class = feats.drop("bands", "s1", "s2").join(classes, ["k1", "k2"], "left")
-    out = of_class.join(groups, of_class["rep"] == groups["node"], "left")
+    of_class = feats.drop("bands", "s1", "s2").join(classes, ["k1", "k2"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    out = of_class.join(groups, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     out = scratch.write(out)
@@ -284,13 +300,13 @@ def op1_near_duplicates(spark, sf_dir):
 
 
 OP1_SQL = r"""
-with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
-s as (select distinct doc_id, g from (select doc_id, unnest(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) when len(ws) = 1 then ws else [] end) as g from d)),
-n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
-e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * n_both >= 80 * (x.n + y.n - n_both)),
-r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.other),
+with recursive d as (select doc_id, row_number() over () as r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, r, g from (select doc_id, r, unnest(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) when len(ws) = 1 then ws else [] end) as g from d)),
+n as (select r, count(*) as n from s group by r),
+p as (select a.doc_id as a, b.doc_id as b, a.r as ra, b.r as rb, count(*) as n_both from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select distinct a, b from p join n x on x.r = ra join n y on y.r = rb where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+r(doc_id, other) as (select distinct doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.other),
 c as (select doc_id, min(other) as component_id from r group by doc_id)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
-from d left join n using (doc_id) left join c using (doc_id)
+from d left join n on n.r = d.r left join c on c.doc_id = d.doc_id
 """

@@ -75,6 +75,34 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == brute(rows, 2)[0]
 
 
+def brute_rows(rows, words):
+    """Components by comparing all rows' texts with all; rows of one id are one node."""
+    texts = [brute([(0, t)], words)[1][0] for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().translate(minhash.LOWER).split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    links = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return groups(links, {i for i, _ in rows}), texts
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_several_texts_of_one_id(spark, monkeypatch, small):
+    """Every text of an id links, whatever the order of its rows."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+    rng = random.Random(small)
+    texts = [t for _, t in corpus()]
+    for _ in range(2):
+        rows = [(rng.randrange(90), rng.choice(texts)) for _ in range(170)]
+        got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 2).collect()
+        want, _ = brute_rows(rows, 2)
+        assert {(r.doc_id, r.component_id) for r in got} == set(want.items()) and len(got) == len(rows)
+    rows = [(2, texts[0]), (2, texts[30]), (7, texts[30] + " x"), (8, texts[0] + " y"), (9, ""), (9, texts[0])]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, SCHEMA), 2).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(2, 2), (7, 2), (8, 2), (9, 2)}
+
+
 def test_no_tables_stay_behind(spark):
     """Of the operator's tables only the result's is left."""
     from pathlib import Path

@@ -16,6 +16,17 @@ def chunk(payloads: DataFrame, order: str = "id", size: int = CHUNK) -> DataFram
     return payloads.withColumn("chunk", F.floor(F.col(order) / size)).withColumn("local_id", F.col(order) % size + 1)
 
 
+#: What a search without a place or language is about.
+REGION, LANGUAGE = "Украина", "русский"
+
+
+def cluster_inputs(results: DataFrame) -> DataFrame:
+    """(seed, keyword, region, language), one row for each keyword of rows (seed, keywords array<string>, region, language). A row without seed or keywords is an error."""
+    asked = F.assert_true(F.coalesce(F.col("seed") != "", F.lit(False)), "seed missing"), F.assert_true(F.coalesce(F.size("keywords") > 0, F.lit(False)), "keywords missing or empty")
+    checked = results.withColumn("_checked", F.struct(*(a.isNull().alias(f"c{i}") for i, a in enumerate(asked)))).where("_checked.c0 and _checked.c1")
+    return checked.select("seed", F.explode("keywords").alias("keyword"), F.coalesce("region", F.lit(REGION)).alias("region"), F.coalesce("language", F.lit(LANGUAGE)).alias("language"))
+
+
 def validate_payloads(p: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Per seed: payloads, empty ones, those of one and of up to two characters, and those with a seed word. p: (seed_id, seed, payload, n_keywords)."""
     leaked = F.arrays_overlap(X.words("payload"), X.words("seed"))

@@ -48,14 +48,22 @@ PREPOSITIONS = (
 ENDINGS = ("а", "у", "е", "и", "ы", "ой", "ом", "ам", "ах")
 
 
-def analyze_seeds(seeds: DataFrame) -> DataFrame:
-    """Adds words, markers (Q question, T trade, P preposition), level L1 to L6+ by length, and whether there is a digit."""
+def analyze_seeds(seeds: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Adds words, markers (Q question, T trade, P preposition and, with a lexicon, S service), level L1 to L6+ by length, and whether there is a digit."""
     w = X.words("seed")
     has = lambda names: F.arrays_overlap(w, F.array(*(F.lit(n) for n in names)))
     markers = F.array_compact(F.array(F.when(has(QUESTION_MARKERS), "Q"), F.when(has(TRADE_MARKERS), "T"), F.when(has(PREPOSITIONS), "P")))
     n = F.size(w)
     level = F.when(n >= 6, "L6+").when(n == 5, "L5+").otherwise(F.concat(F.lit("L"), F.greatest(n, F.lit(1)).cast("string")))
     own = seeds.withColumn("seed", X.norm("seed"))
+    if lexicon is not None:
+        from seedsift.operators.morph_probes import service_words
+
+        each = own.select("seed", F.explode(X.words("seed")).alias("word")).distinct()
+        service = each.join(service_words(each, lexicon), "word").select("seed").distinct().withColumn("_service", F.lit(True))
+        own = own.join(service, "seed", "left").select(*seeds.columns, "_service")
+        markers = F.when(F.col("_service"), F.array_append(markers, F.lit("S"))).otherwise(markers)
+        return own.withColumn("words", w).withColumn("markers", markers).withColumn("level", level).withColumn("has_digit", F.col("seed").rlike(r"\p{Nd}")).drop("_service")
     return own.withColumn("words", w).withColumn("markers", markers).withColumn("level", level).withColumn("has_digit", F.col("seed").rlike(r"\p{Nd}"))
 
 

@@ -48,6 +48,11 @@ def fold_keywords(suggestions: DataFrame) -> DataFrame:
     return by.groupBy("seed_id", "keyword").agg(F.sum("n").alias("weight"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources"))
 
 
+def by_weight(folded: DataFrame) -> DataFrame:
+    """Folded keywords in the order of a reply: heavier ones first, then by the keyword."""
+    return folded.orderBy(F.desc("weight"), "keyword")
+
+
 def exclusive_keywords(suggestions: DataFrame) -> DataFrame:
     """Keywords that exactly one struct produced, with it."""
     by = suggestions.groupBy("seed_id", F.lower(F.trim("keyword")).alias("keyword"))

@@ -33,15 +33,15 @@ def spec_token(c) -> Column:
     return F.get(F.filter(X.words(c), lambda w: w.rlike(r"\p{Nd}") & w.rlike(r"\p{L}")), F.lit(0))
 
 
-def dot(a: str, b: str) -> Column:
+def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: str) -> Column:
+def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: str, b: str) -> Column:
+def cosine(a, b) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
@@ -52,16 +52,22 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return places.groupBy(key).agg(F.transform(pairs, lambda x: x["m"]).alias("centroid"))
 
 
-def pole_contrast(vectors: DataFrame, poles: DataFrame, key: str) -> DataFrame:
-    """Each vector's cosine to its own pole's centroid, to the best other one, and the margin. poles: (key, centroid), a few rows."""
-    known = poles.count()
-    if known > 10_000:
-        raise ValueError("poles are broadcast; there are too many")
-    pole = F.broadcast(poles.select(F.col(key).alias("_pole"), "centroid"))
-    wide = vectors.crossJoin(pole).withColumn("_cos", cosine("embedding", "centroid"))
-    own = F.max(F.when(F.col("_pole") == F.col(key), F.col("_cos")))
-    other = F.max(F.when(F.col("_pole") != F.col(key), F.col("_cos")))
-    return wide.groupBy("vec_id", key).agg(own.alias("own"), other.alias("other")).withColumn("margin", F.col("own") - F.col("other"))
+def pole_contrast(vectors: DataFrame, poles: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """Each vector's cosine to its own pole's centroid, to the best other one, and the margin. poles: (key, centroid), any number of rows.
+
+    Poles are dealt into blocks of bounded size. A vector meets each block once and keeps the best of its poles there, so what is
+    shuffled are a block's maxima, and no list of all poles is held anywhere.
+    """
+    n = max(1, -(-poles.count() // block))
+    dealt = poles.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_block"), F.struct(F.col(key).alias("k"), "centroid").alias("p"))
+    blocks = dealt.groupBy("_block").agg(F.collect_list("p").alias("_poles"))
+    asked = vectors.select("vec_id", key, "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
+    met = asked.join(blocks, "_block")
+    cosines = F.transform("_poles", lambda p: F.struct((p["k"] == F.col(key)).alias("own"), cosine("embedding", p["centroid"]).alias("c")))
+    met = met.select("vec_id", key, X.settled(cosines).alias("_c"))
+    best = lambda own: F.array_max(F.transform(F.filter("_c", lambda x: x["own"] == own), lambda x: x["c"]))
+    out = met.select("vec_id", key, best(True).alias("own"), best(False).alias("other")).groupBy("vec_id", key)
+    return out.agg(F.max("own").alias("own"), F.max("other").alias("other")).withColumn("margin", F.col("own") - F.col("other"))
 
 
 def knn_score(queries: DataFrame, base: DataFrame, key: str, k: int = 3, block: int = 4096) -> DataFrame:

@@ -175,10 +175,10 @@ _EVENTS = """ev as (select l_orderkey as kw_id, l_linenumber::bigint as stage_no
 _REPORT = _EVENTS + ", rp as (select stage_no, stage, count(*) as n_in, count(*) filter (label = 'TRASH') as n_blocked, count(*) filter (label = 'GREY') as n_grey, count(*) filter (label = 'VALID') as n_valid, count(*) filter (label <> 'TRASH') as n_out from ev group by 1, 2)"
 
 
-def _streamed(build):
+def _streamed(build, keys):
     def run(spark, sf):
         where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-        return stream.run_available(build(stream.read_log(spark, f"{sf}/events.parquet")), f"{where}/out", f"{where}/state")
+        return stream.run_available(build(stream.read_log(spark, f"{sf}/events.parquet")), f"{where}/out", f"{where}/state", keys)
 
     return run
 
@@ -221,6 +221,6 @@ QUERIES = {
     "keyword_trace": (lambda s, d: report.keyword_trace(_events(s, d)), f"with {_EVENTS}, b as (select kw_id, min(stage_no) as b from ev where label = 'TRASH' group by 1), k as (select ev.* from ev left join b using (kw_id) where b is null or stage_no <= b) select seed_id, kw_id, string_agg(stage || ':' || label, '>' order by stage_no) as path, case arg_max(label, stage_no) when 'TRASH' then 'blocked' when 'GREY' then 'grey' else 'passed' end as status from k group by 1, 2"),
     "trace_details": (lambda s, d: report.trace_details(_events(s, d), tuple(f"s{i}" for i in range(1, 8))), f"with {_EVENTS} select seed_id, kw_id, " + ", ".join(f"max(label) filter (stage = 's{i}') as s{i}" for i in range(1, 8)) + " from ev group by 1, 2"),
     "query_trace": (lambda s, d: report.query_trace(_events(s, d), "GREY", "O").select("kw_id", "stage", "reason"), f"with {_EVENTS} select kw_id, stage, reason from ev where label = 'GREY' and contains(reason, 'O')"),
-    "stream_fold": (_streamed(stream.stream_fold), _STREAM + " select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as hour, seed_id, keyword, count(*) as weight from lg where n_results > 0 group by all"),
-    "stream_yield": (_streamed(stream.stream_yield), _STREAM + " select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as hour, struct, count(*) as requests, sum(n_results)::bigint as suggestions, round(sum(value), 2) as sum_ms from lg group by all"),
+    "stream_fold": (_streamed(stream.stream_fold, ["hour", "seed_id", "keyword"]), _STREAM + " select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as hour, seed_id, keyword, count(*) as weight from lg where n_results > 0 group by all"),
+    "stream_yield": (_streamed(stream.stream_yield, ["hour", "struct"]), _STREAM + " select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as hour, struct, count(*) as requests, sum(n_results)::bigint as suggestions, round(sum(value), 2) as sum_ms from lg group by all"),
 }

@@ -21,6 +21,13 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("seed_id", "seed", F.posexplode("keywords").alias("pos", "keyword"))
 
 
+def read_districts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, city, country) in lower case of a body {name: {city, country}}; entries without a country, or with an unknown one, are left out."""
+    body = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<city: string, country: string>>").alias("m"))
+    rows = body.select(F.explode("m").alias("name", "v")).select(F.lower("name").alias("name"), F.lower(F.coalesce("v.city", F.lit(""))).alias("city"), F.lower("v.country").alias("country"))
+    return rows.where("country is not null and country not in ('', 'unknown')").groupBy("name").agg(F.min(F.struct("city", "country")).alias("d")).select("name", "d.city", "d.country")
+
+
 def gazetteer_multi(cities: DataFrame, countries: DataFrame | None = None, only: str | None = None) -> DataFrame:
     """(name, countries): main and alternate names with all their countries; countries: (name, country) adds names of countries."""
     names = cities.select(F.explode(F.array_append(F.coalesce("alternatenames", F.array()), F.col("name"))).alias("name"), F.lower("country").alias("country"))

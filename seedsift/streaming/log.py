@@ -31,14 +31,24 @@ def stream_yield(log: DataFrame) -> DataFrame:
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "struct", "requests", "suggestions", "sum_ms")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Reads what is there and writes whole results to a table, batch by batch; a batch that is repeated replaces itself."""
+def merged(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of each key: what the last batch that changed it wrote. changes has a column batch."""
+    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    last = changes.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("_l"))
+    return last.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in values))
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Reads what is there; each batch writes only the keys that it changed, and they are merged when read.
+
+    In update mode the state of a window goes once the watermark has passed it. A batch that is repeated replaces itself. Events
+    that come later than the watermark allows are left out.
+    """
     spark = stream.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.parquet(path)
-    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
+    return merged(spark.read.schema(f"{stream.schema.toDDL()}, batch int").parquet(path), keys)

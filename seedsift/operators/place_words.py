@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seedsift.functions import text as X
 from seedsift.operators.geo import geo_stem
-from seedsift.operators.places import FUNCTION
+from seedsift.operators.places import CITY_ADJECTIVES, COMPLEX_MARKERS, FUNCTION, STREET_MARKERS
 
 #: Brands that are spelled like places, marks of proper names, and the bounds of what counts as a city.
 KNOWN_BRANDS = (
@@ -29,6 +29,13 @@ REGION_ENDINGS = ("ская", "ський", "ська", "ский", "ской",
 CITY_ENDINGS = ("", "а", "я", "ск", "к", "ь", "ье", "е", "о", "ів", "ва", "сса", "са", "ы", "і", "и")
 REGION_WORD = "обл"
 
+#: Prepositions before a place, letters that a city's name has more of, and the population from which it counts without a preposition.
+BEFORE_PLACE = (
+    "в", "на", "из", "под", "во", "до", "возле", "с", "со", "от", "ко", "за", "над", "у", "біля", "поруч", "коло", "від", "про",
+    "in", "at", "near", "from", "to", "on", "by", "with", "for", "of", "about", "ў", "каля", "ля", "пры", "w", "na", "przy", "od", "do", "z", "o",
+)
+SHORT_CITY, LARGE_CITY = 3, 50_000
+
 _CYRILLIC = "[а-яёіїєґ]"
 
 
@@ -152,3 +159,67 @@ def foreign_regions(kw: DataFrame, regions: DataFrame, districts: DataFrame, tar
     hits = grams.join(dim, "term").withColumn("_away", F.col("_region").isNotNull() & (F.col("_region") != target.lower()))
     per = hits.groupBy("seed_id", "kw_id").agg(F.bool_or(F.col("n") == 1).alias("_any"), F.min(F.when(F.col("_away"), F.struct("n", "p", "term"))).alias("_b"))
     return per.where("_b is not null and (_b.n = 1 or _any)").select("seed_id", "kw_id", F.concat(F.lit("region:"), "_b.term").alias("reason"))
+
+
+def other_cities(kw: DataFrame, seeds: DataFrame, seed_cities: DataFrame, places: DataFrame, districts: DataFrame, brands: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(seed_id, kw_id, cities) of rows (seed_id, kw_id, keyword) that name a city which is none of their seed's, for seeds that name one.
+
+    seeds: (seed_id, seed); seed_cities: (seed_id, city, country, admin1); places: (word, kind, country, pop, admin1, fclass), as place_lookup gives it for words,
+    stems and pairs; districts: (name, city), brands: (name); the lexicon has case, too. A word counts as it stands, else by its stem. It is no city
+    where it is a word of the seed, a district of any city (but for large places that are none of the seed's), part of a street's or complex's name,
+    short, a brand, a noun that no parse calls a name, the second of two genitives, the region of the seed's city as an adjective, or small and
+    without a preposition before. Pairs count if they are large, no pair of the seed, and not its region.
+    """
+    asked = kw.join(seed_cities.select("seed_id").distinct(), "seed_id", "left_semi")
+    first = lexicon.where("rank = 0").groupBy("word").agg(F.min(F.struct("pos", "case")).alias("_p"))
+    named = lexicon.groupBy("word").agg(F.bool_or(F.arrays_overlap(F.coalesce("grammemes", F.array().cast("array<string>")), _strings(["Geox", "Surn"]))).alias("named"))
+    parses = first.join(named, "word").select("word", "_p.pos", "_p.case", "named")
+    city = places.where("kind = 'city'").select("word", F.upper("country").alias("country"), F.coalesce("pop", F.lit(0)).alias("pop"), F.coalesce("admin1", F.lit("")).alias("admin1"), "fclass")
+    marked = F.lit(True)
+    own_district = districts.join(seed_cities.select("seed_id", "city").distinct(), "city").select("seed_id", F.col("name").alias("word"), marked.alias("allowed")).distinct()
+    any_district = districts.select(F.col("name").alias("word"), marked.alias("district")).distinct()
+    brand = brands.select(F.lower("name").alias("word"), marked.alias("brand")).distinct()
+    of_seed = seeds.select("seed_id", F.explode(X.words("seed")).alias("word"))
+    anchors = of_seed.select("seed_id", "word").unionByName(of_seed.select("seed_id", geo_stem("word").alias("word"))).distinct()
+    own_stems = seed_cities.select("seed_id", geo_stem("city").alias("stem"), F.lit(True).alias("own_city")).distinct()
+    own_region = seed_cities.select("seed_id", F.upper("country").alias("country"), F.coalesce("admin1", F.lit("")).alias("admin1"), F.lit(True).alias("own_region")).distinct()
+
+    words = asked.select("seed_id", "kw_id", X.words("keyword").alias("_w")).select("seed_id", "kw_id", "_w", F.posexplode("_w").alias("p", "raw"))
+    words = words.select("seed_id", "kw_id", "p", "raw", geo_stem("raw").alias("norm"), F.get("_w", F.col("p") - 1).alias("prev"), F.get("_w", F.col("p") + 1).alias("next"))
+    # Each form of a word is looked up once for its seed; a word that any form makes a seed's own or a district is judged as one.
+    forms = words.select("seed_id", "raw", "norm", F.explode(F.array_distinct(F.array("raw", "norm"))).alias("word")).distinct()
+    looked = forms.join(city, "word", "left").join(own_district, ["seed_id", "word"], "left").join(any_district, "word", "left").join(brand, "word", "left")
+    looked = looked.join(anchors.withColumn("anchor", marked), ["seed_id", "word"], "left").withColumn("stem", geo_stem("word")).join(own_stems, ["seed_id", "stem"], "left")
+    looked = looked.join(own_region, ["seed_id", "country", "admin1"], "left").fillna(False, ["allowed", "district", "brand", "anchor", "own_city", "own_region"])
+    large = F.col("fclass").isin("P", "T") & (F.col("pop") > LARGE_CITY) & ~F.col("own_city")
+    mine = F.col("word") == F.col("raw")
+    here = F.struct((~mine).alias("late"), "word", "pop", "fclass", "own_region", "own_city", "brand")
+    per = looked.groupBy("seed_id", "raw", "norm").agg(
+        F.bool_or(F.col("allowed") | F.col("anchor")).alias("_skip"), F.bool_or("district").alias("_district"), F.bool_or(F.coalesce(large, F.lit(False))).alias("_large"),
+        F.bool_or(mine & F.col("brand")).alias("_brand"), F.array_sort(F.collect_list(F.when(F.col("pop").isNotNull() & (F.length("word") > SHORT_CITY), here))).alias("_forms"),
+    )
+    per = per.where(~F.col("_skip") & (~F.col("_district") | F.col("_large")) & (F.size("_forms") > 0))
+    tokens = words.join(per, ["seed_id", "raw", "norm"]).join(parses.withColumnRenamed("word", "raw"), "raw", "left")
+    tokens = tokens.join(parses.select(F.col("word").alias("prev"), F.col("pos").alias("_ppos"), F.col("case").alias("_pcase")), "prev", "left")
+    street = (F.col("raw") != F.col("norm")) & F.col("raw").rlike(f"({'|'.join(CITY_ADJECTIVES)})$") & F.coalesce(F.col("next").isin(*STREET_MARKERS), F.lit(False))
+    complex_ = F.coalesce(F.col("prev").isin(*COMPLEX_MARKERS), F.lit(False))
+    noun = F.coalesce((F.col("pos") == "NOUN") & ~F.col("named"), F.lit(False)) & ~F.col("raw").rlike(r"^[\x00-\x7F]*$")
+    genitives = F.coalesce((F.col("case") == "gent") & (F.col("_pcase") == "gent") & (F.col("_ppos") == "NOUN"), F.lit(False))
+    adjective = F.coalesce(F.col("pos") == "ADJF", F.lit(False))
+    before = F.coalesce(F.col("prev").isin(*BEFORE_PLACE), F.lit(False))
+
+    def counts(x: Column) -> Column:
+        return ~x["brand"] & ~F.col("_brand") & ~(F.coalesce(x["fclass"] == "A", F.lit(False)) & x["own_region"] & adjective) & (before | (x["pop"] > LARGE_CITY))
+
+    chosen = F.get(F.filter("_forms", counts), F.lit(0))
+    single = tokens.where(~street & ~complex_ & ~noun & ~genitives).withColumn("_c", chosen).where("_c is not null and not _c.own_city").select("seed_id", "kw_id", F.col("_c.word").alias("name"))
+
+    pair = words.where("next is not null").select("seed_id", "kw_id", "raw", "next", F.concat("raw", F.lit(" "), "next").alias("word"))
+    seed_pairs = F.expr("if(size(_w) > 1, transform(sequence(0, size(_w) - 2), i -> concat(_w[i], ' ', _w[i + 1])), array())")
+    of_seed_pairs = seeds.select("seed_id", X.words("seed").alias("_w")).select("seed_id", F.explode(seed_pairs).alias("word")).distinct()
+    pairs = pair.join(city.where(F.col("pop") > LARGE_CITY), "word").join(of_seed_pairs, ["seed_id", "word"], "left_anti").join(own_region, ["seed_id", "country", "admin1"], "left")
+    adjectives = parses.where("pos = 'ADJF'").select("word", marked.alias("_adj"))
+    pairs = pairs.join(adjectives.toDF("raw", "_a1"), "raw", "left").join(adjectives.toDF("next", "_a2"), "next", "left")
+    region = (F.col("fclass") == "A") & F.coalesce("own_region", F.lit(False)) & F.coalesce("_a1", "_a2", F.lit(False))
+    double = pairs.where(~F.coalesce(region, F.lit(False))).withColumn("stem", geo_stem("word")).join(own_stems, ["seed_id", "stem"], "left_anti").select("seed_id", "kw_id", F.col("word").alias("name"))
+    return single.unionByName(double).groupBy("seed_id", "kw_id").agg(F.array_sort(F.collect_set("name")).alias("cities"))

@@ -94,6 +94,34 @@ def regions(spark, sf):
     return out.select("seed_id", "keyword", F.array_join("cities", ",").alias("cities"))
 
 
+def _travel(spark, sf):
+    """(seed_id, seed, city, keyword), distinct: a seed's city, and a keyword with another part's words."""
+    part = S.table(spark, sf, "part").select("p_partkey", F.get(X.words("p_name"), F.lit(0)).alias("n1"), F.get(X.words("p_name"), F.lit(1)).alias("n2"))
+    other = part.select(F.col("p_partkey").alias("l_suppkey"), cyrillic("n1").alias("q"), cyrillic("n2").alias("o"))
+    wide = S.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(other, "l_suppkey")
+    c, o, q, k = cyrillic("n2"), F.col("o"), F.col("q"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    shapes = [(c, o), (F.lit("в"), o), (F.concat(o, F.lit("ы")), q), (F.lit("жк"), o), (F.concat(o, F.lit("ский")), F.lit("район")), (q, o), (o, F.lit("дом")), (o, F.concat(q, F.lit("а")))]
+    text = F.coalesce(*(F.when(k == i, F.concat_ws(" ", *x)) for i, x in enumerate(shapes)))
+    seed = (F.ascii("n2") * 10 + F.length("n2")).cast("long")
+    return wide.select(seed.alias("seed_id"), F.concat(c, F.lit(" дом")).alias("seed"), F.when(F.ascii("n2") % 5 != 0, c).alias("city"), text.alias("keyword")).distinct()
+
+
+def other(spark, sf):
+    kw = written(_travel(spark, sf).withColumn("kw_id", F.xxhash64("seed_id", "keyword")))
+    part = S.table(spark, sf, "part").select("p_name", F.get(X.words("p_name"), F.lit(0)).alias("n1"))
+    pairs = part.select(cyrillic("p_name").alias("name"), F.lit("asia").alias("country"), (F.length("n1") * 12000).cast("long").alias("pop"), F.lit("1").alias("admin1"), F.lit("P").alias("fclass")).distinct()
+    named = _places(spark, sf).where("fclass <> 'C'").unionByName(pairs).groupBy("name").agg(F.max(F.struct("pop", "country", "admin1", "fclass")).alias("_p"))
+    places = written(named.select(F.col("name").alias("word"), F.lit("city").alias("kind"), "_p.country", "_p.pop", "_p.admin1", "_p.fclass"))
+    seeds = kw.where("city is not null").select("seed_id", "city").distinct().join(places.select(F.col("word").alias("city"), "country", "admin1"), "city", "left").select("seed_id", "city", "country", "admin1")
+    base = _base(spark, sf)
+    districts = base.where(F.ascii("w") % 4 == 1).select(cyrillic("w").alias("name"), cyrillic(F.lit("anvil")).alias("city"))
+    brands = base.where("length(w) = 3").select(cyrillic("w").alias("name"))
+    case = F.when(F.length("word") % 2 == 0, "gent").otherwise("nomn")
+    lexicon = _lexicon(spark, sf).withColumn("case", case)
+    out = place_words.other_cities(kw, kw.select("seed_id", "seed").distinct(), seeds, places, districts, brands, lexicon)
+    return out.join(kw.select("seed_id", "kw_id", "keyword"), ["seed_id", "kw_id"]).select("seed_id", "keyword", F.array_join("cities", ",").alias("cities"))
+
+
 def foreign(spark, sf):
     kw = written(_keywords(spark, sf))
     base = _base(spark, sf)
@@ -161,6 +189,29 @@ fo as (select seed_id, keyword, {_STEM.format('word')} as name from tk where {_S
   union select tk.seed_id, keyword, ad.city from tk join ad on ad.word = tk.word join kn on kn.name = ad.city where not exists (select 1 from se where se.seed_id = tk.seed_id and upper(se.country) = upper(kn.country) and coalesce(se.admin1, '') = coalesce(kn.admin1, '')))
 select seed_id, keyword, string_agg(distinct name, ',' order by name) as cities from fo where not exists (select 1 from se where se.seed_id = fo.seed_id and {_STEM.format('se.city')} = {_STEM.format('fo.name')}) group by 1, 2"""
 
+_OTHER = _BASE + f""",
+p as (select p_partkey, lower(p_name) as nm, string_split(lower(p_name), ' ')[1] as n1, string_split(lower(p_name), ' ')[2] as n2 from part),
+kw as (select distinct (ascii(n2) * 10 + length(n2))::bigint as seed_id, c || ' дом' as seed, case when ascii(n2) % 5 <> 0 then c end as city, case k when 0 then c || ' ' || o when 1 then 'в ' || o when 2 then o || 'ы ' || q when 3 then 'жк ' || o when 4 then o || 'ский район' when 5 then q || ' ' || o when 6 then o || ' дом' else o || ' ' || q || 'а' end as keyword
+  from (select p.n2, {_cy('p.n2')} as c, {_cy('x.n2')} as o, {_cy('x.n1')} as q, (l_orderkey + l_linenumber) % 8 as k from lineitem join p on l_partkey = p.p_partkey join p x on l_suppkey = x.p_partkey)),
+pw as (select name, arg_max(country, (pop, country, admin1, fclass)) as country, max(pop) as pop, arg_max(admin1, (pop, country, admin1, fclass)) as admin1, arg_max(fclass, (pop, country, admin1, fclass)) as fclass from (select * from pl where fclass <> 'C' union all select distinct {_cy('nm')}, 'asia', length(n1) * 12000, '1', 'P' from p) group by 1),
+se as (select distinct seed_id, kw.city, pw.country, pw.admin1 from kw left join pw on pw.name = kw.city where kw.city is not null),
+di as (select c as name from b where code % 4 = 1), br as (select c as name from b where size = 3),
+lc as (select word, arg_min(pos, rank) as pos, case when length(word) % 2 = 0 then 'gent' else 'nomn' end as cas, bool_or(list_has_any(marks, ['Geox', 'Surn'])) as named from lx group by word),
+tk as (select seed_id, keyword, i, w[i] as raw, {_STEM.format('w[i]')} as norm, w[i - 1] as prev, w[i + 1] as nxt from (select *, unnest(range(1, len(w) + 1)) as i from (select kw.seed_id, keyword, string_split(keyword, ' ') as w from kw where city is not null))),
+sw as (select distinct seed_id, unnest(list_distinct([x, {_STEM.format('x')}])) as word from (select seed_id, unnest(string_split(seed, ' ')) as x from kw)),
+ow as (select seed_id, {_STEM.format('city')} as stem from se),
+fm as (select tk.*, unnest(list_distinct([raw, norm])) as word from tk),
+fl as (select fm.*, pw.pop, pw.fclass, coalesce(fm.word in (select name from br), false) as brand, exists (select 1 from sw where sw.seed_id = fm.seed_id and sw.word = fm.word) as anchor, exists (select 1 from se where se.seed_id = fm.seed_id and se.city = {_cy("'anvil'")}) and fm.word in (select name from di) as allowed, fm.word in (select name from di) as district,
+    exists (select 1 from ow where ow.seed_id = fm.seed_id and ow.stem = {_STEM.format('fm.word')}) as own_city, exists (select 1 from se where se.seed_id = fm.seed_id and upper(se.country) = upper(pw.country) and coalesce(se.admin1, '') = coalesce(pw.admin1, '')) as own_region from fm left join pw on pw.name = fm.word),
+ag as (select seed_id, keyword, i, any_value(raw) as raw, any_value(norm) as norm, any_value(prev) as prev, any_value(nxt) as nxt, bool_or(allowed or anchor) as skip, bool_or(district) as district, bool_or(coalesce(fclass in ('P', 'T') and pop > 50000 and not own_city, false)) as large, bool_or(word = raw and brand) as rbrand from fl group by 1, 2, 3),
+ok as (select ag.*, lc.pos, lc.cas, lc.named, pc.pos as ppos, pc.cas as pcas from ag left join lc on lc.word = raw left join lc pc on pc.word = prev where not skip and (not district or large)
+  and not (raw <> norm and regexp_matches(raw, '(ский|ская|ское|ской|ским|ского|ских)$') and coalesce(nxt = 'район', false)) and not coalesce(prev = 'жк', false)),
+si as (select o.seed_id, o.keyword, arg_min(fl.word, case when fl.word = fl.raw then 0 else 1 end) as name, arg_min(fl.own_city, case when fl.word = fl.raw then 0 else 1 end) as own from ok o join fl on fl.seed_id = o.seed_id and fl.keyword = o.keyword and fl.i = o.i
+  where not coalesce(o.pos = 'NOUN' and not o.named, false) and not coalesce(o.cas = 'gent' and pcas = 'gent' and ppos = 'NOUN', false) and fl.pop is not null and length(fl.word) > 3 and not fl.brand and not o.rbrand
+    and not (fl.fclass = 'A' and fl.own_region and coalesce(o.pos = 'ADJF', false)) and (coalesce(o.prev = 'в', false) or fl.pop > 50000) group by o.seed_id, o.keyword, o.i),
+bi as (select tk.seed_id, keyword, raw || ' ' || nxt as name from tk join pw on pw.name = raw || ' ' || nxt and pw.pop > 50000 where not exists (select 1 from ow where ow.seed_id = tk.seed_id and ow.stem = {_STEM.format("raw || ' ' || nxt")}))
+select seed_id, keyword, string_agg(distinct name, ',' order by name) as cities from (select seed_id, keyword, name from si where not own union all select * from bi) group by 1, 2"""
+
 _FOREIGN = _KW + """,
 rg as (select c || ' область' as name, 'europe' as country from b where size = 4 union all select c, case when code % 2 = 0 then 'africa' else 'asia' end from b where size = 5),
 di as (select c as name from b where size = 4 and code % 2 = 0),
@@ -175,4 +226,5 @@ QUERIES = {
     "region_adjectives": (adjectives, _ADJECTIVES),
     "other_regions": (regions, _REGIONS),
     "foreign_regions": (foreign, _FOREIGN),
+    "other_cities": (other, _OTHER),
 }

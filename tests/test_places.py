@@ -148,6 +148,29 @@ def test_lookup_of_places(spark, lexicon):
     assert {r.word: r.country for r in place_words.place_lookup(words, places_, "ua", lexicon, listed).collect()}["киев"] == "xx"
 
 
+def test_other_cities(spark):
+    lexicon = spark.createDataFrame(
+        [(w, 0, pos, case, marks) for w, pos, case, marks in (
+            ("киев", "NOUN", "nomn", ["Geox"]), ("одесса", "NOUN", "nomn", ["Geox"]), ("одессе", "NOUN", "loct", ["Geox"]), ("кальян", "NOUN", "nomn", []), ("героев", "NOUN", "gent", []), ("днепра", "NOUN", "gent", ["Geox"]),
+            ("киевская", "ADJF", "nomn", []), ("одесская", "ADJF", "nomn", []), ("варшава", "NOUN", "nomn", ["Geox"]), ("харьковский", "ADJF", "nomn", []))],
+        "word string, rank int, pos string, case string, grammemes array<string>",
+    )
+    rows = [("киев", 3, "12", "P", "ua"), ("одесса", 10**6, "17", "P", "ua"), ("одесс", 10**6, "17", "P", "ua"), ("кальян", 10**6, "1", "P", "in"), ("днепр", 10**6, "4", "P", "ua"), ("паркленд", 16000, "1", "P", "dk"), ("час", 10**6, "1", "P", "cz"), ("варшава", 10**6, "1", "P", "pl"),
+            ("гагарина", 20000, "1", "P", "ru"), ("bosch", 10**6, "1", "P", "nl"), ("киевская", 10**6, "12", "A", "ua"), ("одесская", 10**6, "17", "A", "ua"), ("нью йорк", 8 * 10**6, "1", "P", "us"), ("харьковский", 10**6, "7", "P", "ua"), ("софия", 10**6, "7", "P", "bg"), ("ремонт", 10**6, "7", "P", "bg")]
+    known = spark.createDataFrame([(w, "city", c, pop, a, f) for w, pop, a, f, c in rows], "word string, kind string, country string, pop long, admin1 string, fclass string")
+    districts = spark.createDataFrame([("гагарина", "одесса"), ("варшава", "славянск"), ("позняки", "киев")], "name string, city string")
+    brands = spark.createDataFrame([("Bosch",)], "name string")
+    want = {
+        "ремонт киев одесса": ["одесса"], "ремонт в одессе": ["одесс"], "кальян киев": None, "героев днепра": None, "паркленд киев": None, "в паркленд": ["паркленд"], "час киев": None, "варшава": ["варшава"], "гагарина": None, "на гагарина": None,
+        "bosch": None, "киевская": None, "одесская": ["одесская"], "нью йорк": ["нью йорк"], "харьковский район": None, "жк софия": None, "софия": ["софия"], "ремонт": None, "киев": None,
+    }
+    kw = spark.createDataFrame([(1, i, k) for i, k in enumerate(want)] + [(2, 99, "одесса")], "seed_id long, kw_id long, keyword string")
+    seeds = spark.createDataFrame([(1, "ремонт киев"), (2, "ремонт")], "seed_id long, seed string")
+    cities = spark.createDataFrame([(1, "киев", "ua", "12")], "seed_id long, city string, country string, admin1 string")
+    found = {r.kw_id: r.cities for r in place_words.other_cities(kw, seeds, cities, known, districts, brands, lexicon).collect()}
+    assert {k: found.get(i) for i, k in enumerate(want)} == want and 99 not in found
+
+
 def test_regions_abroad(spark):
     kw = spark.createDataFrame([(1, 1, "ремонт крым"), (1, 2, "ремонт пермский край"), (1, 3, "пермский край позняки"), (1, 4, "ремонт волынь")], "seed_id long, kw_id long, keyword string")
     regions = spark.createDataFrame([("крым", "ru"), ("пермский край", "ru"), ("волынь", "ua")], "name string, country string")

@@ -50,7 +50,65 @@ f as (select seed_id, t as tail, coalesce(n >= 2 and ((p[1] = 'CONJ' and list_ha
   coalesce(n = 1 and p[1] = 'NOUN' and c[1] = 'gent' and noun = 'gent' and not coalesce(g > 1 and (sp[g - 1] = 'INFN' or (sp[g - 1] = 'NOUN' and sc[g - 1] = 'nomn')), false), false) as orphan,
   coalesce(n = 1 and p[1] = 'INFN' and not list_contains(sp, 'INFN') and not service, false) as inf from j)"""
 
+#: Detectors by lists of words and phrases, and by the shape of a short tail. The tails below make each fire and keep each from firing.
+TERMS = ["reputation", "location", "time", "contacts", "verb_modifier", "info_intent", "premod_adj", "postmod_adj", "meta", "number_hijack", "short_garbage", "noise_suffix", "prep_modifier", "fragment", "broken_grammar"]
+SAID = (
+    "отзыв", "отзывы", "рядом", "на дому", "срочно", "срочный", "без выходных", "телефон", "номер телефона", "топ", "топ мастер", "быстро", "вручную", "как", "где", "что это", "не работает", "не тут", "новый", "нового", "что означает", "зачем",
+    "рублей", "рубля", "аб", "ок", "бу", "12", "различия", "значит", "после ремонта", "после ремонт", "для", "без", "есть", "можно", "это", "чтобы", "для ремонта", "для ремонтом", "от 12", "мастер",
+)
+
+
+def _terms_lexicon(spark):
+    """word, lemma, pos, case, number, gender, known and grammemes of the words of SAID and of the seeds."""
+    rows = [
+        ("отзыв", "отзыв", "NOUN", "nomn", "sing", "masc", []), ("отзывы", "отзыв", "NOUN", "nomn", "plur", "masc", []), ("рядом", "рядом", "ADVB", None, None, None, []), ("на", "на", "PREP", None, None, None, []), ("дому", "дом", "NOUN", "loct", "sing", "masc", ["inan"]),
+        ("срочно", "срочно", "ADVB", None, None, None, []), ("срочный", "срочный", "ADJF", "nomn", "sing", "masc", []), ("без", "без", "PREP", None, None, None, []), ("выходных", "выходной", "NOUN", "gent", "plur", "masc", ["inan"]), ("телефон", "телефон", "NOUN", "nomn", "sing", "masc", ["inan"]),
+        ("номер", "номер", "NOUN", "nomn", "sing", "masc", ["inan"]), ("телефона", "телефон", "NOUN", "gent", "sing", "masc", ["inan"]), ("топ", "топ", "NOUN", "nomn", "sing", "masc", ["inan"]), ("мастер", "мастер", "NOUN", "nomn", "sing", "masc", ["anim"]),
+        ("быстро", "быстро", "ADVB", None, None, None, []), ("как", "как", "ADVB", None, None, None, ["Ques"]), ("где", "где", "ADVB", None, None, None, ["Ques"]), ("что", "что", "NPRO", "nomn", "sing", None, []), ("это", "это", "PRCL", None, None, None, []),
+        ("не", "не", "PRCL", None, None, None, []), ("работает", "работать", "VERB", None, "sing", None, ["3per"]), ("тут", "тут", "ADVB", None, None, None, []), ("новый", "новый", "ADJF", "nomn", "sing", "masc", []), ("нового", "новый", "ADJF", "gent", "sing", "masc", []),
+        ("рублей", "рубль", "NOUN", "gent", "plur", "masc", ["inan"]), ("рубля", "рубль", "NOUN", "gent", "sing", "masc", ["inan"]), ("ремонта", "ремонт", "NOUN", "gent", "sing", "masc", ["inan"]), ("ремонт", "ремонт", "NOUN", "nomn", "sing", "masc", ["inan"]), ("ремонтом", "ремонт", "NOUN", "ablt", "sing", "masc", ["inan"]),
+        ("после", "после", "PREP", None, None, None, []), ("для", "для", "PREP", None, None, None, []), ("от", "от", "PREP", None, None, None, []), ("есть", "быть", "VERB", None, None, None, ["3per"]), ("можно", "можно", "PRED", None, None, None, []), ("чтобы", "чтобы", "CONJ", None, None, None, []),
+        ("зачем", "зачем", "ADVB", None, None, None, ["Ques"]), ("означает", "означать", "VERB", None, "sing", None, ["3per"]), ("купить", "купить", "INFN", None, None, None, []), ("окно", "окно", "NOUN", "accs", "sing", "neut", ["inan"]), ("дом", "дом", "NOUN", "nomn", "sing", "masc", ["inan"]),
+        ("ок", "ок", "INTJ", None, None, None, []), ("различия", "различие", "NOUN", "nomn", "plur", "neut", ["inan"]), ("значит", "значить", "VERB", None, "sing", None, ["3per"]), ("вручную", "вручную", "ADVB", None, None, None, []),
+    ]
+    return spark.createDataFrame([(w, 0, lemma, pos, case, number, gender, 1.0, True, marks) for w, lemma, pos, case, number, gender, marks in rows], "word string, rank int, lemma string, pos string, case string, number string, gender string, score double, known boolean, grammemes array<string>")
+
+
+def term_signals(spark, sf):
+    """Each line item says one of the tails, on a side of one of three seeds."""
+    item = S.table(spark, sf, "lineitem")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    tail = F.element_at(F.array(*map(F.lit, SAID)), (k % len(SAID) + 1).cast("int"))
+    seed = F.element_at(F.array(F.lit("купить окно"), F.lit("ремонт дом"), F.lit("дом 5")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    side = F.element_at(F.array(F.lit("pre"), F.lit("post")), (F.col("l_partkey") % 2 + 1).cast("int"))
+    rows = item.select((F.col("l_suppkey") % 3).cast("long").alias("seed_id"), seed.alias("seed"), tail.alias("tail"), side.alias("side")).distinct()
+    hits = detectors.dictionary_hits(rows, S.gazetteer(spark, sf), S.brands(spark, sf), TARGET)
+    fired = detectors.signals(hits, _terms_lexicon(spark), TERMS)
+    return fired.select("seed_id", "tail", "side", F.array_join(F.array_sort("positive"), ",").alias("positive"), F.array_join(F.array_sort("negative"), ",").alias("negative"))
+
+
+# What each tail says by itself; the SQL adds what it says beside a verb in the seed (adverbs in о or е), behind a number, and beside a noun that
+# agrees with it.
+_SAYS = {
+    "отзыв": ("reputation", ""), "отзывы": ("reputation", ""), "рядом": ("location", ""), "на дому": ("location", ""), "срочно": ("time", ""), "срочный": ("", ""), "без выходных": ("prep_modifier,time", ""),
+    "телефон": ("contacts", ""), "номер телефона": ("contacts", ""), "топ": ("", ""), "топ мастер": ("reputation", ""), "быстро": ("time", ""), "вручную": ("", ""), "как": ("info_intent", "meta"), "где": ("info_intent", ""),
+    "что это": ("info_intent", "fragment,meta"), "не работает": ("info_intent", "fragment"), "не тут": ("", ""), "новый": ("", ""), "нового": ("", ""), "что означает": ("info_intent", "meta"), "зачем": ("info_intent", "meta"),
+    "рублей": ("", ""), "рубля": ("", ""), "аб": ("", "short_garbage"), "ок": ("", "short_garbage"), "бу": ("", ""), "12": ("", ""), "различия": ("", "noise_suffix"), "значит": ("", "fragment,noise_suffix"), "после ремонта": ("prep_modifier", ""),
+    "после ремонт": ("", ""), "для": ("", "fragment"), "без": ("", "fragment"), "есть": ("", "fragment"), "можно": ("", "fragment"), "это": ("info_intent", "fragment"), "чтобы": ("", "fragment"), "для ремонта": ("prep_modifier", ""),
+    "для ремонтом": ("", "broken_grammar"), "от 12": ("", ""), "мастер": ("", ""),
+}
+_TERMS = (
+    "with sy(tail, positive, negative) as (values " + ", ".join(f"('{t}', '{p}', '{n}')" for t, (p, n) in _SAYS.items()) + "), "
+    + "ki(tail, i) as (select t, i - 1 from (select unnest([" + ", ".join(f"'{t}'" for t in SAID) + "]) as t, unnest(range(1, " + str(len(SAID) + 1) + ")) as i)), "
+    + f"""ro as (select distinct (l_suppkey % 3)::bigint as seed_id, ki.tail, case when l_partkey % 2 = 0 then 'pre' else 'post' end as side from lineitem join ki on i = (l_orderkey + l_linenumber) % {len(SAID)})
+select seed_id, ro.tail, side, array_to_string(list_sort(list_filter(string_split(sy.positive, ',') || [case when seed_id = 0 and ro.tail in ('быстро', 'срочно', 'можно', 'где') then 'verb_modifier' end,
+    case when seed_id > 0 and ro.tail in ('срочный', 'новый') then case side when 'pre' then 'premod_adj' else 'postmod_adj' end end], lambda x: coalesce(x, '') <> '')), ',') as positive,
+  array_to_string(list_sort(list_filter(string_split(sy.negative, ',') || [case when seed_id = 2 and ro.tail in ('рублей', 'выходных') then 'number_hijack' end], lambda x: coalesce(x, '') <> '')), ',') as negative
+from ro join sy on sy.tail = ro.tail"""
+)
+
 QUERIES = {
+    "term_signals": (term_signals, _TERMS),
     "grammar_signals": (
         grammar_signals,
         _with(_GRAMMAR, """select seed_id, tail, case when conj then 'conjunctive' else '' end as positive,

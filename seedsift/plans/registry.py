@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seedsift.plans import agreement_queries, anchor_queries, decision_queries, domain_queries, expand_queries, fold_queries, form_queries, geo_queries, grammar_queries, keyword_queries, place_queries, seed_queries, word_queries
+from seedsift.plans import agreement_queries, anchor_queries, decision_queries, domain_queries, expand_queries, fold_queries, form_queries, geo_queries, grammar_queries, keyword_queries, place_queries, rule_queries, seed_queries, word_queries
 
-MODULES = (keyword_queries, fold_queries, expand_queries, decision_queries, geo_queries, grammar_queries, anchor_queries, domain_queries, agreement_queries, place_queries, seed_queries, word_queries, form_queries)
+MODULES = (keyword_queries, fold_queries, expand_queries, decision_queries, geo_queries, grammar_queries, anchor_queries, domain_queries, agreement_queries, place_queries, seed_queries, word_queries, form_queries, rule_queries)
 
 
 def queries():

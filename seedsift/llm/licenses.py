@@ -37,16 +37,45 @@ class Notice:
     base: bool = False
 
 
+#: Identifiers behind `spdx license identifier`, as normalised, and their labels; an edit may make another identifier, so none is allowed.
+IDENTIFIERS = {
+    "0bsd": "0bsd", "agpl 3 0": "agpl-3", "apache 2 0": "apache-2", "artistic 2 0": "artistic-2", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "bsl 1 0": "bsl-1", "cc by 4 0": "cc-by", "cc by nc 4 0": "cc-by-nc",
+    "cc by nc nd 4 0": "cc-by-nc-nd", "cc by nc sa 4 0": "cc-by-nc-sa", "cc by nd 4 0": "cc-by-nd", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0", "cddl 1 0": "cddl-1", "epl 2 0": "epl-2", "eupl 1 2": "eupl-1", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3",
+    "isc": "isc", "lgpl 2 1": "lgpl-2", "lgpl 3 0": "lgpl-3", "mit": "mit", "mpl 2 0": "mpl-2", "ofl 1 1": "ofl-1", "unlicense": "unlicense", "zlib": "zlib",
+}
+#: (label, words, edits) of names and short notices.
+NAMED = (
+    ("gpl-3", "gnu general public license version 3", 3), ("gpl-2", "gnu general public license version 2", 0), ("gpl", "gnu general public license", 2), ("lgpl", "gnu lesser general public license", 2),
+    ("lgpl", "gnu library general public license", 2), ("agpl", "gnu affero general public license", 2), ("gfdl", "gnu free documentation license", 2), ("bsd", "redistribution and use in source and binary forms", 4),
+    ("bsd-2", "bsd 2 clause license", 0), ("bsd-3", "bsd 3 clause license", 0), ("bsd-2", "simplified bsd license", 2), ("bsd-3", "modified bsd license", 1), ("bsd-3", "new bsd license", 1),
+    ("mit", "permission is hereby granted free of charge", 3), ("mit", "terms of the mit license", 2), ("isc", "isc license", 0), ("isc", "permission to use copy modify and or distribute this software", 4),
+    ("apache-2", "licensed under the apache license", 2), ("apache", "apache software license", 2), ("mpl-2", "mozilla public license", 2), ("epl", "eclipse public license", 2), ("eupl", "european union public licence", 2),
+    ("cddl", "common development and distribution license", 3), ("bsl", "boost software license", 2), ("artistic", "artistic license", 1), ("zlib", "zlib license", 0), ("psf", "python software foundation license", 2),
+    ("ms-pl", "microsoft public license", 2), ("ofl", "sil open font license", 2), ("afl", "academic free license", 2), ("osl", "open software license", 1), ("unlicense", "the unlicense", 0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 4), ("cc-by-nc", "creative commons attribution noncommercial", 2), ("cc-by-nc", "creative commons attribution non commercial", 2),
+    ("cc-by-sa", "creative commons attribution sharealike", 2), ("cc-by-sa", "creative commons attribution share alike", 2), ("cc-by-nd", "creative commons attribution noderivatives", 2),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike", 2), ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives", 2), ("cc-by", "creative commons attribution 4 0 international", 1),
+    ("cc0", "creative commons zero", 1), ("cc0", "cc0 1 0 universal", 0), ("cc0", "public domain dedication", 1), ("cc-by", "cc by 4 0", 0), ("cc-by-sa", "cc by sa", 0), ("cc-by-nd", "cc by nd", 0),
+    ("cc-by-nc-sa", "cc by nc sa", 0), ("cc-by-nc-nd", "cc by nc nd", 0),
+)
 NOTICES = (
     Notice("mit", "under the mit license", 2, True),
     Notice("apache-2", "apache license version 2", 2, True),
     Notice("cc-by-nc", "cc by nc", 0, True),
-    Notice("gpl-3", "gnu general public license version 3", 3),
-    Notice("gpl", "gnu general public license", 2),
-    Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("mit", "permission is hereby granted free of charge", 3),
-    Notice("mpl-2", "mozilla public license", 2),
+    *(Notice(*x) for x in NAMED),
+    *(Notice(label, f"spdx license identifier {x}", 0) for x, label in IDENTIFIERS.items()),
 )
+#: Most notices of a table: they go to every worker.
+MOST_NOTICES = 10_000
+
+
+def notices_of(rows: DataFrame) -> tuple[Notice, ...]:
+    """Notices of a table (label, words, edits, base); words are normalised as texts are, and rows without words are left out."""
+    found = rows.select("label", "words", "edits", "base").where("words is not null and label is not null").distinct().limit(MOST_NOTICES + 1).collect()
+    if len(found) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    flat = lambda t: b" ".join(t.encode().translate(ALNUM).split()).decode()
+    return tuple(Notice(r.label, flat(r.words), r.edits or 0, bool(r.base)) for r in sorted(found, key=str) if flat(r.words))
 
 
 def pieces(words: str, edits: int) -> list[bytes]:

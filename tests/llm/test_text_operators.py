@@ -124,6 +124,32 @@ def test_licenses_match_brute_force(spark):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_catalogue_of_notices(spark):
+    """Each notice is found in clean text, with one letter changed where edits are allowed, under its own label; clean text has none."""
+    clean = " ".join(f"word{i} and other text of a page about something else entirely" for i in range(40))
+    scan = licenses.Scanner().scan
+    assert len(licenses.NOTICES) >= 60 and scan(clean)[5] == ""
+    for x in licenses.NOTICES:
+        assert x.label in scan(f"{clean} {x.words.upper()}. {clean}")[5].split(",")
+        if x.edits:
+            at = len(x.words) // 2
+            changed = x.words[:at] + ("q" if x.words[at] != "q" else "z") + x.words[at + 1 :]
+            assert x.label in scan(f"{clean} {changed} {clean}")[5].split(","), changed
+    for text, label in (
+        ("under the terms of the MIT License", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("BSD 3-Clause License", "bsd-3"), ("GNU Lesser General Public License v3", "lgpl"), ("Creative Commons Attribution-NonCommercial", "cc-by-nc"),
+        ("SPDX-License-Identifier: GPL-2.0", "gpl-2"),
+    ):
+        assert scan(text)[5].split(",") == [label] and scan(text)[1] == 0
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    for r in documents:
+        labels = set(scan(r.text)[5].split(",")) - {""}
+        said = " ".join((r.text or "").lower().replace("-", " ").split())
+        assert not labels or any(w in said for w in ("licen", "cc by", "public domain", "permission", "redistribution")), r.doc_id
+    table = spark.createDataFrame([("own", "My OWN  notice-text", 1, None), ("x", None, 0, False), ("own", "!!", 0, False)], "label string, words string, edits int, base boolean")
+    own = licenses.notices_of(table)
+    assert own == (licenses.Notice("own", "my own notice text", 1),) and licenses.Scanner(own).scan("see my own notise text")[5] == "own"
+
+
 def test_licenses_on_empty_long_and_clashing_input(spark):
     text = "word under the mit license " * 40_000 + "under the mitt license"
     frame = spark.createDataFrame([(1, text, "x")], SCHEMA + ", labels string")

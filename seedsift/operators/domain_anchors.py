@@ -161,7 +161,7 @@ def action_set(valid: DataFrame, grey: DataFrame, axes: DataFrame, lexicon: Data
 
 def judge_domain(
     grey: DataFrame, valid: DataFrame, axes: DataFrame, lexicon: DataFrame, relations: DataFrame | None = None, vectors: DataFrame | None = None,
-    least_score: float = SCORE, least_cosine: float = ACTION_COSINE, first_nouns: int = FIRST_NOUNS, least_grey: int = LEAST_GREY, actions: bool = True,
+    least_score: float = SCORE, least_cosine: float = ACTION_COSINE, first_nouns: int = FIRST_NOUNS, least_grey: int = LEAST_GREY, most_verbs: int = MOST_VERBS, actions: bool = True,
 ) -> DataFrame:
     """(seed_id, keyword, domain_label, domain_reason, anchor_signal, action_signal, near_lemma, near_score), one row for each distinct
     (seed_id, keyword) of grey; null columns of what was not asked.
@@ -180,7 +180,7 @@ def judge_domain(
         scored = scored.withColumn("_cos", F.lit(None).cast("double"))
     else:
         scored = scored.join(_near_to(flat.where(_own_noun()).select("seed_id", "lemma").distinct(), axes, "object", vectors, "_cos"), ["seed_id", "lemma"], "left")
-    acts = action_set(valid, grey, axes, lexicon, vectors, least_cosine).select("seed_id", "lemma", F.lit(True).alias("_acts"))
+    acts = action_set(valid, grey, axes, lexicon, vectors, least_cosine, most_verbs).select("seed_id", "lemma", F.lit(True).alias("_acts"))
     scored = scored.join(acts, ["seed_id", "lemma"], "left")
     per = scored.groupBy("seed_id", "keyword").agg(F.array_sort(F.collect_list(F.struct("p", "word", "lemma", "pos", "_own", "_near", "_cos", "_acts"))).alias("_w"))
     wide = keys.join(per, ["seed_id", "keyword"], "left").join(many, "seed_id").join(axes, "seed_id", "left")

@@ -67,7 +67,7 @@ def actions(spark, sf):
 
 def decisions(spark, sf):
     valid, grey, _, ax, lexicon, vectors = _tables(spark, sf)
-    out = D.judge_domain(grey, valid, ax, lexicon, A._relations(spark, sf), vectors, least_score=LEAST_SCORE, least_cosine=LEAST_COSINE)
+    out = D.judge_domain(grey, valid, ax, lexicon, A._relations(spark, sf), vectors, least_score=LEAST_SCORE, least_cosine=LEAST_COSINE, most_verbs=MOST_VERBS)
     return out.withColumn("near_score", F.round("near_score", 6))
 
 

@@ -374,3 +374,32 @@ def summaries(rows: DataFrame, damage=damaged) -> DataFrame:
 
 def op11_conversation_repair(spark, sf_dir):
     return summaries(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+with recursive tb(i, k, v) as (select i, 0, i::ubigint from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end from tb where k < 8),
+tl as (select list(v order by i) as crc from tb where k = 8),
+c0 as (select dense_rank() over (order by conv_id nulls first) as c, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+c1 as (select c0.*, xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::ubigint), lambda acc, b: xor(acc >> 8, crc[(xor(acc, b) & 255)::int + 1]), 4294967295::ubigint), 4294967295::ubigint) % 20 as kind from c0, tl),
+c2 as (select c, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) from c1 where kind <> 0),
+c3 as (select *, row_number() over (partition by c order by turn nulls first, role, text) as p from c2),
+c4 as (select *, row_number() over (partition by c, role, text order by p) as again, role[1:1] as ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last from c3),
+r as (select c, p, turn, role, text, ini, case when last = '' then 'blank' when again > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault, lag(ini) over (partition by c order by p) as before from c4),
+s as (select c, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal from r group by c),
+go(c, p, v) as (select c, n, [0, 10, 5, 0]::bigint[] from s union all
+  select c, p - 1, [least(u[1], 5 + u[3], 10 + u[4]), least(u[2], 5 + u[3], 10 + u[4]), least(u[3], 5 + u[4]), least(u[4], 5 + u[3])] from (
+    select go.c, go.p, list_transform(range(0, 4), lambda q: least(2 + v[q + 1], case when fault in ('blank', 'duplicate') then 1000000000 else (case fault when 'truncated' then 5 else 0 end)
+      + least(1 + v[case when q = 2 then 4 else 3 end], case when ini = 's' and q = 0 then v[2] when ini = (case when q = 2 then 'a' else 'u' end) then v[case when q = 2 then 4 else 3 end] else 1000000000 end) end)) as u
+    from go join r on r.c = go.c and r.p = go.p) x),
+walk(c, p, q, audit, said) as (select c, 0::bigint, 0, '', []::varchar[] from s union all
+  select c, case when e = 'I' then p else p + 1 end, case e when 'D' then q when 'K' then case when ini = 's' and q = 0 then 1 else fed end else fed end, audit || e,
+    case e when 'D' then said else list_append(said, case when e = 'K' then role else case fed when 3 then 'assistant' else 'user' end end || ':' || case when e = 'I' then '' else text end) end from (
+    select w.c, w.p, q, audit, said, role, text, ini, case when q = 2 then 3 else 2 end as fed, case when r.c is null then 'I' when 2 + b.v[q + 1] = a.v[q + 1] then 'D' when 5 + a.v[case when q = 2 then 4 else 3 end] = a.v[q + 1] then 'I'
+        when fault not in ('blank', 'duplicate') and (case fault when 'truncated' then 5 else 0 end) + case when ini = 's' and q = 0 then b.v[2] when ini = (case when q = 2 then 'a' else 'u' end) then b.v[case when q = 2 then 4 else 3 end] else 1000000000 end = a.v[q + 1] then 'K' else 'R' end as e
+    from walk w join s on s.c = w.c join go a on a.c = w.c and a.p = w.p left join go b on b.c = w.c and b.p = w.p + 1 left join r on r.c = w.c and r.p = w.p + 1 where w.p < s.n or a.v[q + 1] > 0) y),
+done as (select c, arg_max(audit, length(audit)) as audit, arg_max(said, length(audit)) as said from walk group by c)
+select i.conv_id, coalesce(s.gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(go.v[1], 0)::bigint as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from (select distinct c, conv_id from c0) i left join s on s.c = i.c left join go on go.c = i.c and go.p = 0 left join done on done.c = i.c
+"""

@@ -32,4 +32,5 @@ def oracle_sql():
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_conversation_repair": conversations.OP11_SQL,
     }

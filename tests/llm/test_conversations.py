@@ -106,6 +106,18 @@ def test_query_equals_a_plain_search(spark):
     assert sorted((tuple(r) for r in c.op11_conversation_repair(spark, DATA).collect()), key=str) == plain(rows)
 
 
+@pytest.mark.parametrize("n", [0, 60, 600])
+def test_sql_equals_a_plain_search(n):
+    import duckdb
+
+    rows = made(n, n + 1)
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    if rows:
+        con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(con.sql(c.OP11_SQL).fetchall(), key=str) == plain(rows)
+
+
 LETTERS = [chr(65 + i) for i in range(16)]
 
 

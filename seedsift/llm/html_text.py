@@ -49,6 +49,8 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
 _WORDS = re.compile(r"[a-z]+")
 _NAMED = ("class", "id", "role")
+#: Names that say whether something is there, not what an element is: `has-sidebar`, `no-comments`.
+_MODIFIERS = ("has", "have", "with", "without", "no", "not", "is", "hide", "show")
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
@@ -121,8 +123,10 @@ class _Page:
         if name not in ("html", "body", "main", "article"):
             for key in _NAMED:
                 if key in attributes:
-                    spelled = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", attributes[key])
-                    out.extend(f".{w}" for w in _WORDS.findall(spelled.lower()))
+                    spelled = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attributes[key])
+                    for each in spelled.lower().split():
+                        found = _WORDS.findall(each)
+                        out.extend(f".{w}" for w in found if found[0] not in _MODIFIERS)
         if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
             out.append("!hidden")
         return tuple(out)

@@ -80,6 +80,7 @@ def test_unclosed_and_odd_markup():
     assert read("<article><p>a <!-- never closed <p>b") == "a"
     assert read("<article><p>a</p><script>never closed <p>b") == "a"
     assert read("<div class='layout with-sidebar'><article><p>Only words here.</p></article></div>") == "Only words here."
+    assert read(f"<div class='page has-sidebar no-comments'><article><p>{P}</p></article><div class='sidebar'>No</div></div><div>After it all.</div>") == P
     assert read(None) == read("") == read("<p> </p>") == read("<nav>Menu only</nav>") == ""
 
 

@@ -50,7 +50,7 @@ def retailer_signals(spark, sf):
     kw = tails.extract_tail(clean.dedupe_first(S.keywords(spark, sf)))
     pairs = written(kw.select("seed_id", "seed", "tail").where("tail <> ''").distinct())
     size = F.length("name")
-    shops = S.table(spark, sf, "part").select(F.lower("p_type").alias("name")).distinct().unionByName(S.table(spark, sf, "region").limit(1).select(F.lit("nation").alias("name")))
+    shops = S.table(spark, sf, "part").select(F.lower("p_type").alias("name")).distinct().unionByName(S.table(spark, sf, "region").select(F.lit("nation").alias("name")).distinct())
     shops = shops.withColumn("countries", F.when(size == 5, F.array(F.lit("*"))).when(size == 6, F.array(F.lit("europe"))).otherwise(F.array(F.lit("asia"))))
     fired = detectors.signals(detectors.dictionary_hits(pairs, S.gazetteer(spark, sf), S.brands(spark, sf), "ASIA", shops), None, ["retailer", "retailer_foreign"])
     return fired.select("seed_id", "tail", F.array_join(F.concat("positive", "negative"), ",").alias("signals"))

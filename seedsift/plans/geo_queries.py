@@ -39,7 +39,8 @@ tk as (select seed_id, kw_id, unnest(w) as term from kw)"""
 
 
 def _kw(spark, sf):
-    k = S.keywords(spark, sf).groupBy("seed_id", F.col("pos").alias("kw_id")).agg(F.min("keyword").alias("keyword"))
+    """The position leads the keys: strings' minima sort by them, and seeds are few."""
+    k = S.keywords(spark, sf).groupBy(F.col("pos").alias("kw_id"), "seed_id").agg(F.min("keyword").alias("keyword"))
     return k
 
 

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A table that others are joined with is broadcast up to this many rows; beyond, the join shuffles.
+BROADCAST_ROWS = 50_000
 _own: dict[str, str] = {}
 
 
@@ -31,3 +34,9 @@ def written(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def looked_up(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df written once, for joins: as a broadcast if it has at most so many rows, so that what it is joined with stays where it is."""
+    out = written(df)
+    return F.broadcast(out) if out.count() <= most else out

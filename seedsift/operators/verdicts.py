@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedsift.sources.shared import written
+
 
 def make_batches(kw: DataFrame, n: int = 20) -> DataFrame:
-    """(seed_id, bucket, batch, size, prompt): numbered lists of up to n keywords.
+    """(seed_id, bucket, batch, size, prompt): numbered lists of up to n keywords, in the order of a seed's keywords; all of a seed are bucket 0.
 
-    Keywords are dealt to buckets of bounded size by their hash first, so that numbering needs no single
-    task for a seed that owns most rows; each bucket is then cut into batches.
+    Keywords are dealt by ranges of their order, and each range is numbered from the count of those before it, so that
+    numbering needs no single task for a seed that owns most rows.
     """
-    sized = kw.select("seed_id", "keyword").join(kw.groupBy("seed_id").agg(F.ceil(F.count("*") / (50 * n)).alias("_b")), "seed_id")
-    dealt = sized.withColumn("bucket", F.pmod(F.crc32("keyword"), F.col("_b")))
-    listed = dealt.groupBy("seed_id", "bucket").agg(F.array_sort(F.collect_list("keyword")).alias("k"))
-    cut = listed.select("seed_id", "bucket", F.posexplode(F.expr(f"transform(sequence(0, (size(k) - 1) div {n}), i -> slice(k, cast(i * {n} + 1 as int), {n}))")).alias("batch", "k"))
-    lines = F.array_join(F.transform("k", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    return cut.select("seed_id", "bucket", "batch", F.size("k").alias("size"), lines.alias("prompt"))
+    dealt = written(kw.select("seed_id", "keyword").where("keyword is not null").repartitionByRange("seed_id", "keyword").withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy("seed_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("seed_id", "_range").agg(F.count("*").alias("_n")).select("seed_id", "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("seed_id", "_range").orderBy("keyword")) - 1
+    placed = dealt.withColumn("_at", place).join(starts, ["seed_id", "_range"]).withColumn("_at", F.col("_at") + F.col("_start"))
+    cut = placed.groupBy("seed_id", F.expr(f"cast(_at div {n} as int)").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_at", "keyword"))).alias("k"))
+    lines = F.array_join(F.transform("k", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["keyword"])), "\n")
+    return cut.select("seed_id", F.lit(0).cast("long").alias("bucket"), "batch", F.size("k").alias("size"), lines.alias("prompt"))
 
 
 def parse_labels(reply, n) -> Column:

@@ -1,6 +1,18 @@
 """What large tables asked for: results over the bounds of one block, and plans that carry no needless rows."""
 
-from seedsift.operators import geo
+from seedsift.operators import geo, verdicts
+
+
+def test_batches_of_a_seed_are_numbered_as_one(spark):
+    rows = [(s, f"word {i * 7919 % 5000:05d}") for s, m in ((1, 2345), (2, 20), (3, 1)) for i in range(m)]
+    got = verdicts.make_batches(spark.createDataFrame(rows, "seed_id long, keyword string")).collect()
+    want = {}
+    for s in (1, 2, 3):
+        k = sorted(w for x, w in rows if x == s)
+        for at in range(0, len(k), 20):
+            part = k[at : at + 20]
+            want[s, at // 20] = (0, len(part), "\n".join(f"{i}. {w}" for i, w in enumerate(part, 1)))
+    assert {(r.seed_id, r.batch): (r.bucket, r.size, r.prompt) for r in got} == want and len(got) == len(want)
 
 
 def test_known_tokens_hold_all_that_may_be_names(spark):

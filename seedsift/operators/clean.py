@@ -14,7 +14,7 @@ def _first(kw: DataFrame, key: Column, keys: list[str]) -> DataFrame:
     """The first row (by pos, then keyword) of each key. Minima pre-aggregate, so a seed with most of the rows is no hot task."""
     rest = [c for c in kw.columns if c not in keys]
     best = F.min(F.struct("pos", "keyword", *(c for c in rest if c not in ("pos", "keyword")))).alias("_best")
-    out = kw.withColumn("_key", key).where("_key <> ''").groupBy(*keys, "_key").agg(best)
+    out = kw.withColumn("_key", X.settled(key)).where("_key <> ''").groupBy(*keys, "_key").agg(best)
     return out.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest)).select(*kw.columns)
 
 

@@ -1,6 +1,8 @@
 """What large tables asked for: results over the bounds of one block, and plans that carry no needless rows."""
 
-from seedsift.operators import geo, verdicts
+from seedsift.operators import clean, geo, verdicts
+from seedsift.sources import tables as S
+from tests.conftest import DATA
 
 
 def test_batches_of_a_seed_are_numbered_as_one(spark):
@@ -23,3 +25,8 @@ def test_known_tokens_hold_all_that_may_be_names(spark):
     rows = lambda toks: sorted(map(str, geo.by_form(toks, dim).collect()))
     assert rows(known) == rows(geo.tokens(kw)) and len(rows(known)) == 4
     assert known.count() <= 10 < geo.tokens(kw).count()
+
+
+def test_keyword_text_stands_once_in_the_plan(spark):
+    plan = clean.dedupe_first(S.keywords(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN concat_ws") <= 9 and plan.count("regexp_replace") == 1

@@ -44,19 +44,25 @@ def _brands(spark, sf):
 
 
 def _keywords(spark, sf):
-    """(seed_id, seed, keyword), distinct."""
+    """(seed_id, seed, keyword), distinct.
+
+    Line items pass the joins with keys and one word of their other part. Their texts are made of words that stand ready in the part's row, so
+    that equal ones go before they are shuffled, and only distinct ones look up their seed. The parts are shuffled: by the size of their
+    files Spark would send millions of them through the driver.
+    """
     part, item = _parts(spark, sf), S.table(spark, sf, "lineitem")
-    other = part.select(F.col("p_partkey").alias("l_suppkey"), F.col("n1").alias("o1"), F.col("n2").alias("o2"), F.col("ty").alias("ot"))
-    wide = item.join(part, item["l_partkey"] == part["p_partkey"]).join(other, "l_suppkey").join(_seeds(spark, sf), "seed")
-    n1, n2, ty, o1, o2, size = (F.col(c) for c in ("n1", "n2", "ty", "o1", "o2", "size"))
+    shape, se = (F.col("l_orderkey") + F.col("l_linenumber")) % 12, F.concat(cyrillic(F.lit("s")), "size")
+    other = part.select(F.col("p_partkey").alias("l_suppkey"), "n2", cyrillic("n1").alias("c1"), cyrillic("n2").alias("c2")).hint("shuffle_hash")
+    word = F.when(shape == 0, F.col("c2")).when(shape == 9, F.col("n2")).when(shape.isin(2, 6, 10), F.col("c1"))
+    item = item.join(other, "l_suppkey").select("l_partkey", shape.alias("pick"), word.alias("o"))
+    ready = {"c1": cyrillic("n1"), "c2": cyrillic("n2"), "ct": cyrillic("ty"), "om": F.concat(cyrillic("n2"), F.lit("ом")), "se": se, "fe": F.concat(se, F.lit("fe")), "s1": F.concat(F.lit("s"), "size", F.lit("1"))}
+    wide = item.join(part.withColumns(ready).withColumnRenamed("p_partkey", "l_partkey").hint("shuffle_hash"), "l_partkey")
     shapes = [
-        (F.col("seed"), cyrillic(o2)), (cyrillic(n1), cyrillic(n2)), (cyrillic(o1), cyrillic(n2), cyrillic(ty)), (cyrillic(n1), n2, F.concat(cyrillic(F.lit("s")), size, F.lit("fe"))),
-        (cyrillic(n1), cyrillic(n2), F.concat(cyrillic(F.lit("s")), size)), (n1, cyrillic(n2), F.lit("2")), (F.lit("огляд"), cyrillic(o1), n2), (cyrillic(n1), F.lit("їх")),
-        (F.concat(cyrillic(n2), F.lit("ом")), cyrillic(n1)), (o2, F.concat(F.lit("s"), size, F.lit("1"))), (cyrillic(n1), F.concat(cyrillic(n2), F.lit("ом")), cyrillic(o1)), (F.lit("5"), cyrillic(n1)),
+        ("seed", "o"), ("c1", "c2"), ("o", "c2", "ct"), ("c1", "n2", "fe"), ("c1", "c2", "se"), ("n1", "c2", F.lit("2")), (F.lit("огляд"), "o", "n2"), ("c1", F.lit("їх")),
+        ("om", "c1"), ("o", "s1"), ("c1", "om", "o"), (F.lit("5"), "c1"),
     ]
-    pick = (F.col("l_orderkey") + F.col("l_linenumber")) % len(shapes)
-    text = F.coalesce(*(F.when(pick == i, F.concat_ws(" ", *s)) for i, s in enumerate(shapes)))
-    return wide.select("seed_id", "seed", text.alias("keyword")).distinct()
+    text = F.coalesce(*(F.when(F.col("pick") == i, F.concat_ws(" ", *s)) for i, s in enumerate(shapes)))
+    return wide.select("seed", text.alias("keyword")).distinct().join(_seeds(spark, sf), "seed").select("seed_id", "seed", "keyword")
 
 
 def _profiles(spark, sf, lexicon):
@@ -92,7 +98,9 @@ def short(spark, sf):
 def demoted_l2(spark, sf):
     """What the statistics make of grey keywords, those that were demoted among them. A keyword is grey unless it holds its seed and lacks nothing."""
     lexicon = written(_lexicon(spark, sf))
-    judged = written(seed_match.sanity_demotions(_keywords(spark, sf), written(_profiles(spark, sf, lexicon)), lexicon, _brands(spark, sf)))
+    kw, seeds, brands = written(_keywords(spark, sf)), written(_seeds(spark, sf)), written(_brands(spark, sf))
+    profiled = written(seed_match.seed_profiles(seeds, lexicon, brands))
+    judged = written(seed_match.sanity_demotions(kw, profiled, lexicon, _brands(spark, sf)))
     tail = F.array_join(F.filter(X.words("keyword"), lambda w: ~F.array_contains(X.words("seed"), w)), " ")
     label = F.when(F.contains("keyword", F.col("seed")) & F.col("demoted_reason").isNull(), "VALID").otherwise("GREY")
     none = F.array().cast("array<string>")

@@ -20,8 +20,8 @@ def word_df(tails: DataFrame, keys: tuple[str, ...] = ("seed_id",)) -> DataFrame
 
 
 def pmi(tails: DataFrame, df: DataFrame, keys: tuple[str, ...] = ("seed_id",)) -> DataFrame:
-    """(keys, tail, pmi): the least log2(df + 1) over a tail's content words, those of over two letters or all digits; over all, if it has none."""
-    w = tails.select(*keys, "tail").distinct().select(*keys, "tail", F.explode(F.array_distinct(X.words("tail"))).alias("word"))
+    """(keys, tail, pmi): the least log2(df + 1) over a tail's content words, those of over two letters or all digits; over all, if it has none; 0 without words."""
+    w = tails.where("tail is not null").select(*keys, "tail").distinct().select(*keys, "tail", F.explode_outer(F.array_distinct(X.words("tail"))).alias("word"))
     score = F.log2(F.coalesce("df", F.lit(0)) + 1)
     content = (F.length("word") > 2) | X.is_digits("word")
     out = w.join(df, [*keys, "word"], "left").groupBy(*keys, "tail")

@@ -96,7 +96,10 @@ def short(spark, sf):
 
 
 def demoted_l2(spark, sf):
-    """What the statistics make of grey keywords, those that were demoted among them. A keyword is grey unless it holds its seed and lacks nothing."""
+    """What the statistics make of grey keywords, those that were demoted among them. A keyword is grey unless it holds its seed and lacks nothing.
+
+    Every grey tail is decided, and every keyword with a tail counts in its frequencies. Of a tail's grey keywords the least one says whether it was demoted.
+    """
     lexicon = written(_lexicon(spark, sf))
     kw, seeds, brands = written(_keywords(spark, sf)), written(_seeds(spark, sf)), written(_brands(spark, sf))
     profiled = written(seed_match.seed_profiles(seeds, lexicon, brands))
@@ -104,10 +107,8 @@ def demoted_l2(spark, sf):
     tail = F.array_join(F.filter(X.words("keyword"), lambda w: ~F.array_contains(X.words("seed"), w)), " ")
     label = F.when(F.contains("keyword", F.col("seed")) & F.col("demoted_reason").isNull(), "VALID").otherwise("GREY")
     none = F.array().cast("array<string>")
-    kw = judged.select("seed_id", F.xxhash64("keyword").alias("pos"), "keyword", tail.alias("tail"), label.alias("label"), none.alias("positive"), none.alias("negative"), F.col("demoted_reason").isNotNull().alias("demoted"))
-    first = F.min(F.struct("keyword", "demoted"))["demoted"]
-    same = kw.where("tail <> ''").groupBy("seed_id", "tail").agg(first.alias("demoted"), F.bool_or("demoted").alias("_any"), F.bool_and("demoted").alias("_all")).where("_any = _all").select("seed_id", "tail")
-    decided = statistics.l2_decisions(kw.join(same, ["seed_id", "tail"]), 2.0)
+    kw = judged.select("seed_id", F.col("keyword").alias("pos"), tail.alias("tail"), label.alias("label"), none.alias("positive"), none.alias("negative"), F.col("demoted_reason").isNotNull().alias("demoted"))
+    decided = statistics.l2_decisions(kw, 2.0)
     return decided.select("seed_id", "tail", "rule", F.round("pmi", 6).alias("pmi"), "l2_label")
 
 
@@ -175,12 +176,11 @@ select seed_id, keyword, array_to_string(list_transform(list_filter(range(1, len
 
 _L2 = _JUDGED + r""",
 kt as (select seed_id, keyword, array_to_string(list_filter(w, lambda x: not list_contains(string_split(seed, ' '), x)), ' ') as tail, contains(keyword, seed) and demoted_reason is null as ok, demoted_reason is not null as demoted from jd),
-same as (select seed_id, tail from kt where tail <> '' group by 1, 2 having bool_or(demoted) = bool_and(demoted)),
-k as (select kt.* from kt join same on same.seed_id = kt.seed_id and same.tail = kt.tail),
+k as (select * from kt where tail <> ''),
 tw as (select seed_id, keyword, tail, unnest(list_distinct(string_split(tail, ' '))) as word from k),
 df as (select seed_id, word, count(*) as n from tw group by 1, 2),
 pm as (select tw.seed_id, tail, min(log2(n + 1)) as lo, min(log2(n + 1)) filter (length(tw.word) > 2 or regexp_full_match(tw.word, '[0-9]+')) as co from tw join df on df.seed_id = tw.seed_id and df.word = tw.word group by 1, 2),
-gt as (select k.seed_id, k.tail, bool_or(demoted) as demoted, any_value(coalesce(co, lo)) as pmi from k join pm on pm.seed_id = k.seed_id and pm.tail = k.tail where not ok group by 1, 2),
+gt as (select k.seed_id, k.tail, arg_min(demoted, keyword) as demoted, any_value(coalesce(co, lo)) as pmi from k join pm on pm.seed_id = k.seed_id and pm.tail = k.tail where not ok group by 1, 2),
 ru as (select *, case when demoted then 'r0_demoted' when pmi >= 2 then 'r1_pmi' when len(list_filter(string_split(tail, ' '), lambda x: regexp_matches(x, '[0-9]') and regexp_matches(x, '[a-zа-яё]'))) > 0 then 'r28_spec' else 'r6_grey' end as rule from gt)
 select seed_id, tail, rule, round(pmi, 6) as pmi, case when rule in ('r1_pmi', 'r28_spec') then 'VALID' else 'GREY' end as l2_label from ru"""
 

@@ -79,3 +79,13 @@ def test_vectors_decide_between(spark):
     vectors = spark.createDataFrame([(seed, [1.0, 0.0]), (tails[0], [1.0, 1.0]), (tails[1], [0.0, 1.0])], "text string, embedding array<double>")
     got = {r.tail: r.mismatch for r in agreement.category_mismatch(df, vectors).collect()}
     assert got == dict(zip(tails, (False, True, False)))
+
+
+def test_every_grey_tail_is_decided(spark):
+    """Tails without words have no frequency and are decided all the same; of a tail's keywords the first says whether it was demoted."""
+    rows = [(1, "a", "\u00a0", "GREY", False), (1, "b", " ", "GREY", True), (1, "c", "цена", "VALID", False), (1, "d", "цена", "GREY", True), (1, "e", "цена", "GREY", False), (1, "f", "фото", "GREY", False), (1, "g", "фото", "GREY", True)]
+    rows += [(1, "h", "", "GREY", False), (1, "i", None, "GREY", False), (1, "j", "обзор", "TRASH", False)]
+    none = [[], []]
+    kw = spark.createDataFrame([(*r, *none) for r in rows], "seed_id long, pos string, tail string, label string, demoted boolean, positive array<string>, negative array<string>")
+    got = {r.tail: (r.rule, round(2**r.pmi - 1)) for r in statistics.l2_decisions(kw, 1.5).collect()}
+    assert got == {"\u00a0": ("r6_grey", 0), " ": ("r0_demoted", 0), "цена": ("r0_demoted", 3), "фото": ("r1_pmi", 2)}

@@ -48,3 +48,17 @@ def test_equal_keywords_go_before_their_seed_is_looked_up(spark):
     assert joins[0] < distinct[0] < joins[1] < joins[2]
     assert not [line for line in plan[: joins[2]] if "translate(" in line and "concat_ws" in line]
     assert run.count("ShuffledHashJoin") == 2
+
+
+def test_demoted_l2_decides_tails_of_valid_and_demoted_keywords(spark):
+    """A tail that stands beside its whole seed in one keyword and in a demoted one is decided like any other grey tail."""
+    first, valid = {}, set()
+    for r in seed_queries.demotions(spark, DATA).join(seed_queries._seeds(spark, DATA), "seed_id").orderBy("keyword").collect():
+        key = r.seed_id, " ".join(w for w in r.keyword.split() if w not in r.seed.split())
+        if r.seed in r.keyword and r.demoted_reason is None:
+            valid.add(key)
+        elif key[1]:
+            first.setdefault(key, r.demoted_reason is not None)
+    got = seed_queries.demoted_l2(spark, DATA).collect()
+    assert {(r.seed_id, r.tail): r.rule == "r0_demoted" for r in got} == first and len(got) == len(first)
+    assert [k for k in first if first[k] and k in valid]
